@@ -6,19 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import decontam
+from lexspan.llm import decontam, packing, token_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    tokenizer = tokenizer or _tokenizer("word_bpe_49k.json")
+    return token_records.token_records(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    tokenizer = tokenizer or _tokenizer("byte_bpe_50k.json")
+    return packing.best_fit_pack(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_records": op3_token_records,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
     }
 
