@@ -32,6 +32,8 @@ from lexspan.llm import scratch, tokens
 CAPACITY = 1024
 #: Nodes of the search and fillings tried at each; bounds the driver's time, not the pieces packed.
 NODES, FILLINGS = 3_000, 6
+#: Totals below the fullest filling, and largest pieces of three, that are looked at for more fillings.
+DEPTH = 8
 #: At every so many levels of the search the rest is packed by best fit, for a new incumbent.
 INCUMBENT_EVERY = 100
 #: Runs are broadcast up to this many rows; there are a few for each length.
@@ -113,7 +115,7 @@ def fillings(counts: Counts, free: int, waste: int) -> list[tuple[int, ...]]:
             found[:] = [g for g in found if not dominates(f, g)] + [f]
 
     for total in range(free, max(free - waste, 0) - 1, -1):
-        if len(found) >= FILLINGS:
+        if len(found) >= FILLINGS or found and sum(found[0]) - total > DEPTH:
             break
         if total == 0:
             add(())
@@ -121,16 +123,16 @@ def fillings(counts: Counts, free: int, waste: int) -> list[tuple[int, ...]]:
             add((total,))
             if total == free:
                 break
-        for a in have[::-1]:
-            rest = total - int(a)
-            if 0 < rest <= a and counts[rest]:
-                add((int(a), rest))
-            if len(found) >= FILLINGS:
-                break
-            if 2 < rest < 2 * a and len(found) < 2:
-                for b in have[(have <= min(rest - 1, a)) & (have * 2 >= rest)][::-1][:8]:
-                    if counts[rest - b]:
-                        add((int(a), int(b), rest - int(b)))
+        a = have[(have * 2 >= total) & (have < total)]
+        pairs = a[counts[total - a] > 0][::-1][: FILLINGS // 2]
+        for x in pairs:
+            add((int(x), total - int(x)))
+        if not len(pairs):
+            for x in have[(have * 3 >= total) & (have < total)][::-1][:DEPTH]:
+                rest = total - int(x)
+                b = have[(have * 2 >= rest) & (have < rest) & (have <= x)]
+                for y in b[counts[rest - b] > 0][::-1][:1]:
+                    add((int(x), int(y), rest - int(y)))
     return found[:FILLINGS]
 
 
@@ -150,9 +152,9 @@ def pack(counts: Counts) -> list[Run]:
         if not len(left) or len(stack) % INCUMBENT_EVERY == 0:
             more = best_fit(rest)
             if bins + n_bins(more) < fewest:
-                fewest, best = bins + n_bins(more), list(more)
-                while done:
-                    done, run = done
+                fewest, best, link = bins + n_bins(more), list(more), done
+                while link:
+                    link, run = link
                     best.append(run)
         if len(left):
             largest = int(left[-1])
