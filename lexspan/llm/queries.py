@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import decontam, packing, token_records
+from lexspan.llm import decontam, ngram_join, packing, token_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     tokenizer = tokenizer or _tokenizer("word_bpe_49k.json")
     return token_records.token_records(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
@@ -36,6 +40,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_token_records": op3_token_records,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
@@ -44,5 +49,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op5_benchmark_decontamination": decontam.ORACLE_SQL,
     }
