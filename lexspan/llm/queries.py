@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import decontam, ngram_join, packing, token_records
+from lexspan.llm import decontam, jpeg_media, ngram_join, packing, token_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +38,17 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_jpeg_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_media.media_features(jpeg_media.media_columns(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_token_records": op3_token_records,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op7_jpeg_media_columns": op7_jpeg_media_columns,
     }
 
 
