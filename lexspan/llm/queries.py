@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import decontam, jpeg_media, ngram_join, packing, token_records
+from lexspan.llm import decontam, jpeg_media, langid, ngram_join, packing, quality, token_records, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -38,17 +42,28 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_jpeg_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.media_features(jpeg_media.media_columns(_table(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_token_records": op3_token_records,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_jpeg_media_columns": op7_jpeg_media_columns,
+        "op8_toxicity": op8_toxicity,
     }
 
 
