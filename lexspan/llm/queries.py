@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import decontam, jpeg_media, langid, ngram_join, packing, quality, token_records, toxicity
+from lexspan.llm import decontam, html_extract, jpeg_media, langid, line_dedup, ngram_join, packing, quality, token_records, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_file(name: str) -> str:
     """The path of a public tokenizer's file."""
     import public_tokenizers
 
@@ -29,12 +29,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    tokenizer = tokenizer or _tokenizer("word_bpe_49k.json")
+    tokenizer = tokenizer or tokenizer_file("word_bpe_49k.json")
     return token_records.token_records(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    tokenizer = tokenizer or _tokenizer("byte_bpe_50k.json")
+    tokenizer = tokenizer or tokenizer_file("byte_bpe_50k.json")
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
 
 
@@ -54,6 +54,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -64,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_classifier": op6_quality_classifier,
         "op7_jpeg_media_columns": op7_jpeg_media_columns,
         "op8_toxicity": op8_toxicity,
+        "op9_html_extraction": op9_html_extraction,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
@@ -71,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op5_benchmark_decontamination": decontam.ORACLE_SQL,
+        "op10_line_dedup": line_dedup.ORACLE_SQL,
     }
