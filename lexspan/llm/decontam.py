@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.llm import scratch
+
 SPAN, K = 10, 5
 #: Consecutive k-grams of which the smallest is kept, so that SPAN words are always caught.
 WINDOW = SPAN - K + 1
@@ -139,6 +141,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that no window of an item occurs in."""
+    hit = decontaminate(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
+    hit = scratch.written(hit, "hit")
+    hit, _ = _bounded(hit)
+    return documents.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+
+
 ORACLE_SQL = rf"""
 WITH iw AS (SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, w[i:i + least(len(w), {SPAN}) - 1] AS g
