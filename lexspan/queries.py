@@ -1,15 +1,588 @@
-"""All queries of the library by name, with SQL that gives the same rows."""
+"""All queries of the library by name over the given tables, with SQL that gives the same rows.
+
+Tables stand for what the operators work on: documents are the corpus, words of benchmark the
+dictionary, labels the judge's decisions, embeddings (times 8) next-token scores whose target is the
+label, two vectors a path; conversations are generations.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexspan.functions import diversity, stats
+from lexspan.functions import text as T
+from lexspan.operators import audit as A
+from lexspan.operators import corpus as C
+from lexspan.operators import coverage as V
+from lexspan.operators import repair as R
+from lexspan.operators import summary as S
+from lexspan.plans import grids
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+TEMPERATURES = [0.7, 1.0, 1.5]
+RECIPES = [grids.Recipe("strict", 2, 0.8), grids.Recipe("usual", 3, 0.95), grids.Recipe("loose", 5, 0.99)]
+STRATA = grids.parse_strata("1:200:20,201:2000:40,2001:20000:40")
+CONTEXT, SEED = 16, 13
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[name] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles at nine decimals: sums have no fixed order. Counts are 64-bit."""
+    kinds = {"double": lambda c: F.round(c, 9), "int": lambda c: c.cast("long")}
+    return df.select(*[kinds[k](F.col(c)).alias(c) if k in kinds else F.col(c) for c, k in df.dtypes])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- audits and coverage -------------------------------------------------------------------------
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = F.expr("vec_id div 2")
+    return table(spark, sf_dir, "embeddings").select(
+        sample.alias("sample_id"), (F.col("vec_id") % 2).cast("int").alias("word_token_index"), F.concat(F.lit("model-"), sample % 3).alias("model"), F.concat(F.lit("w"), sample % 20).alias("word"),
+        F.col("label").alias("token_id"), F.lit(2).alias("word_token_count"), F.transform("embedding", lambda v: v.cast("double") * 8).alias("logits"))
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.score_target(scores(spark, sf_dir), "logits", "token_id", TEMPERATURES)
+
+
+AUDIT = """b AS (SELECT vec_id // 2 AS sample_id, vec_id % 2 AS word_token_index, 'model-' || ((vec_id // 2) % 3) AS model, 'w' || ((vec_id // 2) % 20) AS word, label AS token_id,
+  list_transform(embedding, lambda v: cast(v AS DOUBLE) * 8) AS x FROM embeddings),
+t AS (SELECT b.*, temperature, list_max(x) AS mx FROM b, (VALUES (cast(0.7 AS DOUBLE)), (cast(1.0 AS DOUBLE)), (cast(1.5 AS DOUBLE))) AS v(temperature)),
+e AS (SELECT *, list_transform(x, lambda v: exp((v - mx) / temperature)) AS e FROM t),
+p AS (SELECT *, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e),
+q AS (SELECT *, p[token_id + 1] AS probability, list_max(p) AS top_probability FROM p),
+r AS (SELECT *, len(list_filter(p, lambda v: v > probability)) + 1 AS rank FROM q),
+audit AS (SELECT *, probability / top_probability AS ratio, list_sum(list_sort(p, 'DESC')[1:rank]) AS cumulative FROM r)"""
+GRID = "grid(decoder, parameter) AS (VALUES " + ", ".join(f"('{d}', cast({p} AS DOUBLE))" for d, p in grids.grid_rows()) + ")"
+PATHS = f"""{AUDIT}, {GRID},
+paths AS (SELECT model, temperature, sample_id, word, max(rank) AS wr, max(cumulative - probability) AS ma, min(ratio) AS mr FROM audit GROUP BY ALL),
+checked AS (SELECT *, CASE decoder WHEN 'top_k' THEN wr <= parameter WHEN 'top_p' THEN ma <= parameter ELSE mr >= parameter END AS survives FROM paths, grid)"""
+CONTEXT_SQL = f"""{PATHS},
+cov AS (SELECT model, temperature, decoder, parameter, count(*) FILTER (survives) AS covered_contexts, count(*) AS total_contexts, count(*) FILTER (survives) / count(*) AS coverage FROM checked GROUP BY ALL)"""
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.extremes(audit(spark, sf_dir), ["model", "temperature", "sample_id", "word"])
+
+
+def context_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.context_coverage(paths(spark, sf_dir), grids.grid(spark), ["model", "temperature"])
+
+
+@query("audit_rows", f"""WITH {AUDIT} SELECT model, temperature, sample_id, word_token_index, rank, round(probability, 9) AS probability, round(top_probability, 9) AS top_probability,
+  round(ratio, 9) AS ratio, round(cumulative, 9) AS cumulative FROM audit""")
+def _(spark, sf_dir):
+    a = audit(spark, sf_dir)
+    return a.select("model", "temperature", "sample_id", "word_token_index", "rank", "probability", "top_probability", F.col("probability_ratio_to_top").alias("ratio"), F.col("cumulative_probability").alias("cumulative"))
+
+
+@query("audit_top_tokens", f"""WITH {AUDIT}, x AS (SELECT sample_id, word_token_index, temperature, unnest(p) AS v, unnest(range(0, len(p))) AS id FROM audit),
+o AS (SELECT *, row_number() OVER (PARTITION BY sample_id, word_token_index, temperature ORDER BY v DESC, id) AS place FROM x)
+SELECT sample_id, word_token_index, temperature, place, id AS token_id, round(v, 9) AS probability FROM o WHERE place <= 5""")
+def _(spark, sf_dir):
+    a = audit(spark, sf_dir).select("sample_id", "word_token_index", "temperature", F.posexplode("top_tokens").alias("place", "t"))
+    return a.select("sample_id", "word_token_index", "temperature", (F.col("place") + 1).alias("place"), "t.token_id", "t.probability")
+
+
+@query("rank_neighbors", f"""WITH {AUDIT}, x AS (SELECT sample_id, word_token_index, temperature, token_id AS target, unnest(p) AS v, unnest(range(0, len(p))) AS id FROM audit),
+o AS (SELECT *, row_number() OVER w AS place, lag(id) OVER w AS above, lead(id) OVER w AS below FROM x WINDOW w AS (PARTITION BY sample_id, word_token_index, temperature ORDER BY v DESC, id))
+SELECT sample_id, word_token_index, temperature, coalesce(above, -1) AS above, coalesce(below, -1) AS below FROM o WHERE id = target""")
+def _(spark, sf_dir):
+    a = audit(spark, sf_dir)
+    return a.select("sample_id", "word_token_index", "temperature", F.coalesce(F.get("neighbors_above", F.lit(0))["token_id"], F.lit(-1)).alias("above"), F.coalesce(F.get("neighbors_below", F.lit(0))["token_id"], F.lit(-1)).alias("below"))
+
+
+@query("coverage_context", f"WITH {CONTEXT_SQL} SELECT model, temperature, decoder, parameter, covered_contexts, total_contexts, round(coverage, 9) AS coverage FROM cov")
+def _(spark, sf_dir):
+    return context_coverage(spark, sf_dir)
+
+
+WORD_SQL = """w AS (SELECT model, temperature, word, {p}, bool_or(survives) AS a, bool_and(survives) AS l, count(*) FILTER (survives) AS c, count(*) AS n FROM {t} GROUP BY ALL)
+SELECT model, temperature, {p}, count(*) FILTER (a) AS covered_words_any, count(*) FILTER (l) AS covered_words_all, count(*) AS total_words, cast(sum(c) AS BIGINT) AS covered_contexts,
+  cast(sum(n) AS BIGINT) AS total_contexts, round(count(*) FILTER (a) / count(*), 9) AS any_coverage, round(count(*) FILTER (l) / count(*), 9) AS all_coverage FROM w GROUP BY ALL"""
+
+
+@query("coverage_word", f"WITH {PATHS}, " + WORD_SQL.format(p="decoder, parameter", t="checked"))
+def _(spark, sf_dir):
+    return V.word_coverage(paths(spark, sf_dir), grids.grid(spark), ["model", "temperature"])
+
+
+RECIPE_SQL = f"""{AUDIT}, recipes(recipe, k, tp) AS (VALUES {", ".join(f"('{r.name}', {r.top_k}, cast({r.top_p} AS DOUBLE))" for r in RECIPES)}),
+ok AS (SELECT model, temperature, sample_id, word, recipe, rank <= k AND (cumulative - probability) / list_sum(list_sort(p, 'DESC')[1:k]) <= tp AS ok FROM audit, recipes),
+rp AS (SELECT model, temperature, sample_id, word, recipe, bool_and(ok) AS survives FROM ok GROUP BY ALL)"""
+
+
+def recipe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.recipe_paths(audit(spark, sf_dir), ["model", "temperature", "sample_id", "word"], RECIPES)
+
+
+@query("recipe_context", f"WITH {RECIPE_SQL} SELECT model, temperature, recipe, count(*) FILTER (survives) AS covered, count(*) AS total, round(count(*) FILTER (survives) / count(*), 9) AS coverage FROM rp GROUP BY ALL")
+def _(spark, sf_dir):
+    g = recipe_paths(spark, sf_dir).groupBy("model", "temperature", "recipe").agg(F.count_if("survives").alias("covered"), F.count("*").alias("total"))
+    return g.withColumn("coverage", F.col("covered") / F.col("total"))
+
+
+@query("recipe_word", f"WITH {RECIPE_SQL}, " + WORD_SQL.format(p="recipe", t="rp"))
+def _(spark, sf_dir):
+    return V.recipe_words(recipe_paths(spark, sf_dir), ["model", "temperature"])
+
+
+MEANS_SQL = f"""{PATHS}, cx AS (SELECT model, temperature, word, sample_id, count(*) FILTER (survives) AS h, count(*) AS n FROM checked GROUP BY ALL),
+means AS (SELECT model, temperature, word, count(*) AS evaluated_contexts, cast(sum(n) AS BIGINT) AS evaluated_settings, sum(h) / sum(n) AS mean_coverage, count(*) FILTER (h > 0) / count(*) AS any_reachable_rate,
+  cast(2 AS DOUBLE) AS mean_token_count FROM cx GROUP BY ALL)"""
+
+
+def word_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.word_means(paths(spark, sf_dir).drop("n_tokens").withColumn("n_tokens", F.lit(2)), grids.grid(spark), ["model", "temperature"])
+
+
+@query("word_means", f"WITH {MEANS_SQL} SELECT model, temperature, word, evaluated_contexts, evaluated_settings, round(mean_coverage, 9) AS mean_coverage, round(any_reachable_rate, 9) AS any_reachable_rate, mean_token_count FROM means")
+def _(spark, sf_dir):
+    return word_means(spark, sf_dir)
+
+
+@query("word_means_all_models", f"""WITH {MEANS_SQL} SELECT model, temperature, word, evaluated_contexts, evaluated_settings, round(mean_coverage, 9) AS mean_coverage, round(any_reachable_rate, 9) AS any_reachable_rate, mean_token_count FROM means
+UNION ALL SELECT 'ALL_MODELS', NULL, word, cast(sum(evaluated_contexts) AS BIGINT), cast(sum(evaluated_settings) AS BIGINT), round(avg(mean_coverage), 9), round(avg(any_reachable_rate), 9), avg(mean_token_count) FROM means GROUP BY word""")
+def _(spark, sf_dir):
+    return V.with_all_models(word_means(spark, sf_dir), ["word"])
+
+
+@query("audit_completeness", """WITH x AS (SELECT 'model-' || ((vec_id // 2) % 3) AS model, vec_id // 2 AS sample_id, vec_id % 2 AS i, temperature FROM embeddings, (VALUES (cast(0.7 AS DOUBLE)), (cast(1.0 AS DOUBLE)), (cast(1.5 AS DOUBLE))) AS v(temperature) WHERE vec_id % 11 <> 3)
+SELECT model, temperature, sample_id, count(*) AS n_rows, cast(2 AS BIGINT) AS expected, count(*) = 2 AND count(DISTINCT i) = 2 AS complete FROM x GROUP BY ALL""")
+def _(spark, sf_dir):
+    return A.completeness(audit(spark, sf_dir).where("(sample_id * 2 + word_token_index) % 11 <> 3"))
+
+
+@query("audit_keep_last", f"""WITH {AUDIT}, d AS (SELECT model, temperature, sample_id, word_token_index, rank, 1 AS pos FROM audit UNION ALL SELECT model, temperature, sample_id, word_token_index, rank + 1000, 2 FROM audit WHERE sample_id % 5 = 0),
+l AS (SELECT *, row_number() OVER (PARTITION BY model, temperature, sample_id, word_token_index ORDER BY pos DESC) AS n FROM d),
+k AS (SELECT * FROM l WHERE n = 1 AND (sample_id * 2 + word_token_index) % 11 <> 3), c AS (SELECT sample_id FROM k GROUP BY sample_id, model, temperature HAVING count(*) = 2)
+SELECT model, temperature, sample_id, word_token_index, rank FROM k WHERE sample_id IN (SELECT sample_id FROM c)""")
+def _(spark, sf_dir):
+    a = audit(spark, sf_dir).select("model", "temperature", "sample_id", "word_token_index", "word_token_count", "rank").where("(sample_id * 2 + word_token_index) % 11 <> 3")
+    twice = a.withColumn("pos", F.lit(1)).union(a.where("sample_id % 5 = 0").withColumn("rank", F.col("rank") + 1000).withColumn("pos", F.lit(2)))
+    return A.retain_complete(twice, "pos").drop("pos", "word_token_count")
+
+
+@query("explorer_rollup", f"""WITH {AUDIT} SELECT model, temperature, sample_id, word, max(rank) AS worst_rank, round(product(probability), 9) AS probability_product,
+  string_agg(cast(token_id AS VARCHAR), ',' ORDER BY word_token_index) AS steps FROM audit GROUP BY ALL""")
+def _(spark, sf_dir):
+    e = V.explorer(audit(spark, sf_dir), ["model", "temperature", "sample_id", "word"])
+    return e.select("model", "temperature", "sample_id", "word", "worst_rank", "probability_product", F.array_join(F.transform("steps", lambda s: s["token_id"].cast("string")), ",").alias("steps"))
+
+
+@query("models_found", f"""WITH {PATHS} SELECT word, decoder, parameter, count(*) FILTER (survives) AS found, count(*) AS models, count(*) FILTER (survives) > 0 AS any_model, bool_and(survives) AS all_models FROM checked GROUP BY ALL""")
+def _(spark, sf_dir):
+    return V.models_found(V.on_grid(paths(spark, sf_dir), grids.grid(spark)), ["word", "decoder", "parameter"])
+
+
+STATUS = "CASE WHEN m >= 0.8 THEN 'Excellent' WHEN m >= 0.5 THEN 'Good' WHEN m >= 0.1 THEN 'Fair' WHEN m >= 0.01 THEN 'Poor' ELSE 'Missed' END"
+
+
+@query("probability_status", f"WITH {AUDIT}, x AS (SELECT word, model, avg(probability) AS m, avg(rank) AS r FROM audit GROUP BY ALL) SELECT word, model, round(m, 9) AS mean_probability, round(r, 9) AS mean_rank, {STATUS} AS status FROM x")
+def _(spark, sf_dir):
+    g = audit(spark, sf_dir).groupBy("word", "model").agg(F.avg("probability").alias("mean_probability"), F.avg("rank").alias("mean_rank"))
+    return g.withColumn("status", V.probability_status(F.col("mean_probability")))
+
+
+@query("leaderboard", f"""WITH {CONTEXT_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY model, temperature ORDER BY coverage DESC, parameter) AS n FROM cov WHERE decoder = 'top_p')
+SELECT model, temperature, decoder, parameter, round(coverage, 9) AS coverage, row_number() OVER (PARTITION BY temperature ORDER BY coverage DESC, model) AS place FROM best WHERE n = 1""")
+def _(spark, sf_dir):
+    return V.leaderboard(context_coverage(spark, sf_dir), ["temperature"])
+
+
+@query("coverage_gap", f"""WITH {CONTEXT_SQL}, m AS (SELECT model, temperature, max(coverage) AS c FROM cov WHERE decoder = 'top_p' GROUP BY ALL)
+SELECT a.temperature, round(a.c, 9) AS left_coverage, round(b.c, 9) AS right_coverage, round(b.c - a.c, 9) AS gap FROM m AS a JOIN m AS b ON a.temperature = b.temperature AND a.model = 'model-0' AND b.model = 'model-1'""")
+def _(spark, sf_dir):
+    return S.coverage_gap(context_coverage(spark, sf_dir).where("decoder = 'top_p'"), "model", "model-0", "model-1", ["temperature"])
+
+
+@query("coverage_by_word_group", f"""WITH {PATHS} SELECT temperature, cast(substr(word, 2) AS BIGINT) % 4 AS word_group, decoder, parameter, count(*) FILTER (survives) AS covered_contexts, count(*) AS total_contexts,
+  round(count(*) FILTER (survives) / count(*), 9) AS coverage FROM checked GROUP BY ALL""")
+def _(spark, sf_dir):
+    p = paths(spark, sf_dir).withColumn("word_group", F.substring("word", 2, 9).cast("long") % 4)
+    return V.context_coverage(p, grids.grid(spark), ["temperature", "word_group"])
+
+
+# ---- corpus --------------------------------------------------------------------------------------
+
+WORD = r"[\p{L}\p{Nl}\p{No}](?:[\p{L}\p{Nl}\p{No}]|[''’\-])*"
+NORMAL = r"regexp_replace(lower(t), '^[''’\-]+|[''’\-]+$', '', 'g')"
+FREQUENCY = f"""tok AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '{WORD}')) AS t FROM documents), nw AS (SELECT source, {NORMAL} AS word FROM tok),
+freq AS (SELECT word, count(*) AS count FROM nw GROUP BY word), ranked AS (SELECT word, count, row_number() OVER (ORDER BY count DESC, word) AS rank FROM freq)"""
+
+
+def frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.word_frequency(table(spark, sf_dir, "documents"))
+
+
+@query("word_frequency", f"WITH {FREQUENCY} SELECT word, count FROM freq")
+def _(spark, sf_dir):
+    return frequency(spark, sf_dir)
+
+
+@query("word_frequency_groups", f"WITH {FREQUENCY} SELECT source, word, count(*) AS count FROM nw GROUP BY ALL UNION ALL SELECT NULL, word, count FROM freq")
+def _(spark, sf_dir):
+    return C.word_frequency(table(spark, sf_dir, "documents"), group="source")
+
+
+@query("frequency_ranked", f"WITH {FREQUENCY} SELECT word, count, rank FROM ranked")
+def _(spark, sf_dir):
+    return C.ranked(frequency(spark, sf_dir))
+
+
+@query("corpus_stats", f"""WITH t AS (SELECT lang, doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS t FROM documents), n AS (SELECT lang, count(*) AS tokens, count(DISTINCT {NORMAL}) AS types FROM t GROUP BY lang)
+SELECT d.lang, count(*) AS books, any_value(n.tokens) AS tokens, any_value(n.types) AS types FROM documents AS d JOIN n ON n.lang = d.lang GROUP BY d.lang""")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    counts = C.word_frequency(d, group="lang").where("lang is not null").groupBy("lang").agg(F.sum("count").alias("tokens"), F.count("*").alias("types"))
+    return d.groupBy("lang").agg(F.count("*").alias("books")).join(counts, "lang")
+
+
+@query("ascii_frequency", r"SELECT w AS word, count(*) AS count FROM (SELECT unnest(regexp_extract_all(lower(text), '[A-Za-z][A-Za-z''\-]*')) AS w FROM documents) GROUP BY w")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.explode(T.ascii_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+
+
+LEXICAL = r"[\p{L}\p{Nl}\p{No}]+(?:[''’\-][\p{L}\p{Nl}\p{No}]+)*"
+
+
+@query("lexical_tokens", f"SELECT replace(lower(w), 'ß', 'ss') AS token, count(*) AS count FROM (SELECT unnest(regexp_extract_all(text, '{LEXICAL}')) AS w FROM documents) GROUP BY 1")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.explode(T.lexical_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("count"))
+
+
+DICTIONARY = f"dict AS (SELECT DISTINCT {NORMAL} AS word FROM (SELECT unnest(regexp_extract_all(text, '{WORD}')) AS t FROM benchmark))"
+
+
+@query("rank_band", f"WITH {FREQUENCY} SELECT word, count, rank FROM ranked WHERE rank BETWEEN 100 AND 3000 AND length(word) >= 4")
+def _(spark, sf_dir):
+    return C.rank_band(C.ranked(frequency(spark, sf_dir)), 100, 3000, 4)
+
+
+@query("dictionary_semijoin", f"WITH {FREQUENCY}, {DICTIONARY} SELECT word, count, rank FROM ranked WHERE rank <= 5000 AND word IN (SELECT word FROM dict)")
+def _(spark, sf_dir):
+    return C.rank_band(C.ranked(frequency(spark, sf_dir)), 1, 5000, 1, C.dictionary(table(spark, sf_dir, "benchmark")))
+
+
+@query("strata_sample", f"""WITH {FREQUENCY}, s(k, low, high, n) AS (VALUES {", ".join(f"({i}, {s.low}, {s.high}, {s.count})" for i, s in enumerate(STRATA))}),
+o AS (SELECT low || '-' || high AS stratum, word, rank, count, n, row_number() OVER (PARTITION BY k ORDER BY md5((k + {SEED}) || '|' || word), word) AS i FROM ranked JOIN s ON rank BETWEEN low AND high)
+SELECT stratum, word, rank, count FROM o WHERE i <= n""")
+def _(spark, sf_dir):
+    return C.strata_sample(C.ranked(frequency(spark, sf_dir)), STRATA, SEED)
+
+
+TARGETS = f"targets AS (SELECT word FROM (SELECT word FROM ranked WHERE rank BETWEEN 50 AND 1500 AND length(word) >= 4 AND word IN (SELECT word FROM dict)) ORDER BY md5('{SEED}|' || word), word LIMIT 60)"
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    band = C.rank_band(C.ranked(frequency(spark, sf_dir)), 50, 1500, 4, C.dictionary(table(spark, sf_dir, "benchmark")))
+    return C.sample_words(band, 60, SEED)
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.occurrences(table(spark, sf_dir, "documents"), targets(spark, sf_dir), CONTEXT, lowercase_only=True)
+
+
+OFFSETS = rf"""tiles AS (SELECT doc_id, text, regexp_extract_all(text, '(?s){WORD}|[^\p{{L}}\p{{Nl}}\p{{No}}]+') AS x FROM documents WHERE text IS NOT NULL),
+ti AS (SELECT doc_id, unnest(x) AS tok, unnest(range(1, len(x) + 1)) AS k FROM tiles),
+off AS (SELECT doc_id, tok, k, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM ti),
+wo AS (SELECT doc_id, tok, e - length(tok) AS s, e, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM off WHERE regexp_matches(tok, '^[\p{{L}}\p{{Nl}}\p{{No}}]')),
+wl AS (SELECT *, lag(s, {CONTEXT}) OVER (PARTITION BY doc_id ORDER BY i) AS f FROM wo),
+hits AS (SELECT coalesce(a.word, b.word) AS word, wl.* FROM wl LEFT JOIN targets AS a ON lower(tok) = a.word LEFT JOIN targets AS b ON regexp_replace(lower(tok), '[''’\-]+$', '') = b.word
+  WHERE i >= {CONTEXT} AND (a.word IS NOT NULL OR b.word IS NOT NULL) AND NOT regexp_matches(tok, '^\p{{Lu}}')),
+ctx AS (SELECT h.word, h.doc_id, cast(s AS BIGINT) AS start, cast(e AS BIGINT) AS "end", tok AS matched, regexp_replace(substr(text, cast(f AS BIGINT) + 1, cast(s - f AS BIGINT)), '^\s+|\s+$', '', 'g') AS prefix FROM hits AS h JOIN documents AS d ON d.doc_id = h.doc_id)"""
+CONTEXTS = f"{FREQUENCY}, {DICTIONARY}, {TARGETS}, {OFFSETS}"
+
+
+@query("token_offsets", f"WITH targets AS (SELECT '' AS word), {OFFSETS} SELECT doc_id, i AS index, tok AS token, cast(s AS BIGINT) AS start, cast(e AS BIGINT) AS \"end\" FROM wo")
+def _(spark, sf_dir):
+    return C.token_offsets(table(spark, sf_dir, "documents"))
+
+
+@query("context_windows", f"WITH {CONTEXTS} SELECT * FROM ctx")
+def _(spark, sf_dir):
+    return contexts(spark, sf_dir).drop("excerpt")
+
+
+@query("quota_contexts", f"WITH {CONTEXTS} SELECT word, doc_id, start FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY md5('{SEED}|' || word || '|' || doc_id || '|' || start)) AS n FROM ctx) WHERE n <= 10")
+def _(spark, sf_dir):
+    c = contexts(spark, sf_dir).select("word", "doc_id", "start")
+    return C.per_word(c, 10, [C.order_key(SEED, F.col("word"), F.col("doc_id"), F.col("start"))])
+
+
+@query("missing_words", f"WITH {CONTEXTS} SELECT t.word, count(c.word) AS found FROM targets AS t LEFT JOIN ctx AS c ON c.word = t.word GROUP BY t.word HAVING count(c.word) < 25")
+def _(spark, sf_dir):
+    return C.missing_words(targets(spark, sf_dir), contexts(spark, sf_dir), 25)
+
+
+@query("circular_order", f"WITH {CONTEXTS} SELECT word, doc_id, start, row_number() OVER (PARTITION BY word ORDER BY doc_id * 100000 + start < 50000000, doc_id * 100000 + start) AS turn FROM ctx")
+def _(spark, sf_dir):
+    c = contexts(spark, sf_dir).select("word", "doc_id", "start").withColumn("at", F.col("doc_id") * 100000 + F.col("start"))
+    return C.circular_order(c, F.lit(50_000_000), "at").select("word", "doc_id", "start", "turn")
+
+
+@query("accepted_contexts", f"""WITH {CONTEXTS}, j AS (SELECT c.word, c.doc_id, c.start, row_number() OVER (PARTITION BY c.word ORDER BY c.doc_id, c.start) AS n FROM ctx AS c JOIN labels AS l ON l.doc_id = c.doc_id AND l.quality = 1 AND l.toxic = 0),
+f AS (SELECT word FROM j WHERE n <= 3 GROUP BY word HAVING count(*) = 3 ORDER BY md5('{SEED}|' || word), word LIMIT 20)
+SELECT word, doc_id, start, 'sample-' || lpad(cast(row_number() OVER (ORDER BY md5('{SEED}|' || word), word, doc_id, start) AS VARCHAR), 6, '0') AS sample_id FROM j WHERE n <= 3 AND word IN (SELECT word FROM f)""")
+def _(spark, sf_dir):
+    decisions = table(spark, sf_dir, "labels").select("doc_id", (F.expr("quality = 1 and toxic = 0")).alias("accepted"))
+    c = contexts(spark, sf_dir).select("word", "doc_id", "start").join(decisions, "doc_id", "left").withColumn("w", C.order_key(SEED, F.col("word")))
+    out = C.accept(c, F.coalesce("accepted", F.lit(False)), 3, 20, [F.col("doc_id"), F.col("start")], [F.col("w")])
+    return out.select("word", "doc_id", "start", "sample_id")
+
+
+@query("generation_seed", "SELECT doc_id, (13 + cast('0x' || substr(sha256('13|' || source || '|' || doc_id || '|0.7'), 1, 8) AS BIGINT)) % 2147483648 AS seed FROM documents")
+def _(spark, sf_dir):
+    h = F.sha2(F.concat_ws("|", F.lit("13"), "source", F.col("doc_id").cast("string"), F.lit("0.7")), 256)
+    return table(spark, sf_dir, "documents").select("doc_id", ((F.lit(13) + F.conv(F.substring(h, 1, 8), 16, 10).cast("long")) % 2147483648).alias("seed"))
+
+
+@query("language_names", "SELECT CASE lower(lang) WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' ELSE coalesce(nullif(trim(lang), ''), 'English') END AS language, count(*) AS documents FROM documents GROUP BY 1")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(T.normalize_language(F.col("lang")).alias("language")).agg(F.count("*").alias("documents"))
+
+
+@query("slugs", "SELECT page_id, coalesce(nullif(trim(regexp_replace(lower(url), '[^A-Za-z0-9]+', '_', 'g'), '_'), ''), 'words') AS slug FROM pages")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
+
+
+@query("html_text")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query("boilerplate_strip", "SELECT doc_id, length(text) + 2 AS n FROM documents WHERE text IS NOT NULL")
+def _(spark, sf_dir):
+    marked = F.concat(F.lit("licence\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n"), F.col("text"), F.lit("\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\nmore"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.length(T.strip_boilerplate(marked)).alias("n"))
+
+
+# ---- diversity and statistics --------------------------------------------------------------------
+
+TOKENS = f"list_transform(regexp_extract_all(text, '{LEXICAL}'), lambda x: replace(lower(x), 'ß', 'ss'))"
+
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as generations: each source is a model, each id a configuration and a sample."""
+    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("tokens", T.lexical_tokens(F.col("text")))
+    rows = d.select(
+        F.concat(F.lit("m"), F.expr("doc_id % 3")).alias("model"), F.expr("doc_id div 18").alias("sample_id"), F.when(F.expr("doc_id % 18 div 3 < 2"), "top_k").when(F.expr("doc_id % 18 div 3 < 4"), "top_p").otherwise("min_p").alias("decoder"),
+        F.expr("doc_id % 18 div 3 % 2").alias("end"), (F.size("tokens") >= 200).alias("reached"), diversity.type_token_ratio(F.col("tokens")).alias("ttr"), F.size("tokens").cast("double").alias("mtld"), "text")
+    first = {d: (lo, hi) for d, lo, hi in grids.ENDPOINTS}
+    parameter = F.lit(None).cast("double")
+    for name, (lo, hi) in first.items():
+        parameter = F.when(F.col("decoder") == name, F.when(F.col("end") == 0, F.lit(lo)).otherwise(F.lit(hi))).otherwise(parameter)
+    return rows.withColumn("parameter", parameter).drop("end")
+
+
+GENERATIONS = f"""gt AS (SELECT *, {TOKENS} AS tokens, doc_id % 18 // 3 AS c FROM documents WHERE text IS NOT NULL),
+gen AS (SELECT 'm' || (doc_id % 3) AS model, doc_id // 18 AS sample_id, CASE WHEN c < 2 THEN 'top_k' WHEN c < 4 THEN 'top_p' ELSE 'min_p' END AS decoder,
+  cast(CASE c WHEN 0 THEN 10 WHEN 1 THEN 80 WHEN 2 THEN 0.8 WHEN 3 THEN 0.99 WHEN 4 THEN 0.1 ELSE 0.01 END AS DOUBLE) AS parameter, len(tokens) >= 200 AS reached,
+  CASE WHEN len(tokens) > 0 THEN len(list_distinct(tokens)) / len(tokens) ELSE 0.0 END AS ttr, cast(len(tokens) AS DOUBLE) AS mtld, text FROM gt)"""
+GEN_SUMMARY = f"""{GENERATIONS}, gs AS (SELECT model, decoder, parameter, count(*) AS contexts, count(*) FILTER (reached) AS completed, count(*) FILTER (reached) / count(*) AS completion_rate,
+{", ".join(f"coalesce(avg({m}) FILTER (reached), 0) AS mean_{m}, coalesce(median({m}) FILTER (reached), 0) AS median_{m}, coalesce(stddev_pop({m}) FILTER (reached), 0) AS sd_{m}" for m in S.METRICS)} FROM gen GROUP BY ALL)"""
+
+
+@query("ttr", f"WITH {GENERATIONS} SELECT model, sample_id, decoder, parameter, round(ttr, 9) AS ttr FROM gen")
+def _(spark, sf_dir):
+    return generations(spark, sf_dir).select("model", "sample_id", "decoder", "parameter", "ttr")
+
+
+MTLD_SQL = """{rec} t AS (SELECT conv_id, turn, {tokens} AS tokens FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT conv_id, turn, tokens, 0 AS i, cast(0 AS DOUBLE) AS f, cast([] AS VARCHAR[]) AS types, 0 AS n FROM t
+  UNION ALL SELECT conv_id, turn, tokens, i + 1, CASE WHEN full_ THEN f + 1 ELSE f END, CASE WHEN full_ THEN [] ELSE ty END, CASE WHEN full_ THEN 0 ELSE n + 1 END
+  FROM (SELECT *, CASE WHEN list_contains(types, tokens[i + 1]) THEN types ELSE list_append(types, tokens[i + 1]) END AS ty, len(CASE WHEN list_contains(types, tokens[i + 1]) THEN types ELSE list_append(types, tokens[i + 1]) END) / (n + 1) <= cast(0.72 AS DOUBLE) AS full_ FROM f WHERE i < len(tokens))),
+l AS (SELECT conv_id, turn, len(tokens) AS m, f + CASE WHEN n > 0 THEN (1.0::DOUBLE - len(types) / n) / (1.0::DOUBLE - 0.72::DOUBLE) ELSE 0 END AS f FROM f WHERE i = len(tokens))
+SELECT conv_id, turn, round(CASE WHEN m = 0 THEN 0 WHEN f > 0 THEN m / f ELSE m END, 9) AS mtld FROM l"""
+
+
+@query("mtld", MTLD_SQL.format(rec="WITH RECURSIVE", tokens=TOKENS))
+def _(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    return c.select("conv_id", "turn", diversity.mtld(T.lexical_tokens(F.col("text"))).alias("mtld"))
+
+
+@query("mtld_bidirectional")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", diversity.mtld(T.lexical_tokens(F.col("text")), bidirectional=True).alias("mtld"))
+
+
+@query("generation_summary", f"""WITH {GEN_SUMMARY} SELECT model, decoder, parameter, contexts, completed, round(completion_rate, 9) AS completion_rate,
+{", ".join(f"round(mean_{m}, 9) AS mean_{m}, round(median_{m}, 9) AS median_{m}, round(sd_{m}, 9) AS sd_{m}, round(CASE WHEN completed < 2 THEN mean_{m} ELSE mean_{m} - 1.96 * sd_{m} / sqrt(completed) END, 9) AS {m}_low, round(CASE WHEN completed < 2 THEN mean_{m} ELSE mean_{m} + 1.96 * sd_{m} / sqrt(completed) END, 9) AS {m}_high" for m in S.METRICS)} FROM gs""")
+def _(spark, sf_dir):
+    return S.generation_summary(generations(spark, sf_dir), ["model", "decoder", "parameter"])
+
+
+@query("completion_summary", f"""WITH {GEN_SUMMARY}, o AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY completion_rate, decoder, parameter) AS i FROM gs)
+SELECT model, count(*) AS configurations, round(avg(completion_rate), 9) AS mean_rate, round(min(completion_rate), 9) AS min_rate, round(max(completion_rate), 9) AS max_rate, max(decoder) FILTER (i = 1) AS lowest_decoder, max(parameter) FILTER (i = 1) AS lowest_parameter FROM o GROUP BY model""")
+def _(spark, sf_dir):
+    return S.completion_summary(S.generation_summary(generations(spark, sf_dir), ["model", "decoder", "parameter"]), ["model"])
+
+
+@query("metric_outliers", f"""WITH {GENERATIONS}, m AS (SELECT *, 'ttr' AS metric, ttr AS value FROM gen WHERE reached UNION ALL SELECT *, 'mtld', mtld FROM gen WHERE reached),
+o AS (SELECT *, row_number() OVER (PARTITION BY model, metric ORDER BY value DESC, sample_id, decoder, parameter) AS i FROM m)
+SELECT model, metric, round(value, 9) AS maximum, sample_id, decoder, parameter, left(text, 300) AS text_preview FROM o WHERE i = 1""")
+def _(spark, sf_dir):
+    return S.outliers(generations(spark, sf_dir), ["model"])
+
+
+RANK = "rank() OVER (PARTITION BY {b} ORDER BY {v}) + (count(*) OVER (PARTITION BY {b}, {v}) - 1) / 2.0"
+PEARSON = "covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+COV_JOIN = f"""{CONTEXT_SQL}, {GEN_SUMMARY}, j AS (SELECT 'model-' || right(gs.model, 1) AS model, temperature, gs.decoder, gs.parameter, mean_ttr, mean_mtld, coverage FROM gs JOIN cov ON cov.model = 'model-' || right(gs.model, 1) AND cov.decoder = gs.decoder AND cov.parameter = gs.parameter)"""
+JOIN_SQL = f"""{COV_JOIN},
+k AS (SELECT model, temperature, 'all_filters' AS filters, * EXCLUDE (model, temperature) FROM j UNION ALL SELECT model, temperature, decoder, * EXCLUDE (model, temperature) FROM j),
+v AS (SELECT model, temperature, filters, 'mean_ttr' AS metric, coverage AS x, mean_ttr AS y FROM k UNION ALL SELECT model, temperature, filters, 'mean_mtld', coverage, mean_mtld FROM k),
+rk AS (SELECT *, {RANK.format(b="model, temperature, filters, metric", v="x")} AS rx, {RANK.format(b="model, temperature, filters, metric", v="y")} AS ry FROM v)"""
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = S.generation_summary(generations(spark, sf_dir), ["model", "decoder", "parameter"]).withColumn("model", F.concat(F.lit("model-"), F.right("model", F.lit(1))))
+    return S.with_coverage(summary, context_coverage(spark, sf_dir), ["model", "decoder", "parameter"])
+
+
+def _joined_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = S.generation_summary(generations(spark, sf_dir), ["model", "decoder", "parameter"]).withColumn("model", F.concat(F.lit("model-"), F.right("model", F.lit(1))))
+    return summary.join(context_coverage(spark, sf_dir).select("model", "temperature", "decoder", "parameter", "coverage"), ["model", "decoder", "parameter"])
+
+
+@query("diversity_with_coverage", f"WITH {COV_JOIN} SELECT model, temperature, decoder, parameter, round(mean_ttr, 9) AS mean_ttr, round(mean_mtld, 9) AS mean_mtld, round(coverage, 9) AS coverage FROM j")
+def _(spark, sf_dir):
+    return _joined_t(spark, sf_dir).select("model", "temperature", "decoder", "parameter", "mean_ttr", "mean_mtld", "coverage")
+
+
+@query("coverage_correlations", f"""WITH {JOIN_SQL} SELECT model, temperature, filters, metric, count(*) AS n, round({PEARSON.format(x="x", y="y")}, 9) AS pearson, round({PEARSON.format(x="rx", y="ry")}, 9) AS spearman
+FROM rk GROUP BY model, temperature, filters, metric HAVING count(*) >= 3""")
+def _(spark, sf_dir):
+    return S.filter_correlations(_joined_t(spark, sf_dir), ["model", "temperature"], ["mean_ttr", "mean_mtld"])
+
+
+ORDERS = "o AS (SELECT o_orderpriority AS g, cast(o_custkey AS DOUBLE) AS x, o_totalprice AS y, o_orderkey AS k FROM orders)"
+
+
+@query("group_correlations", f"""WITH {ORDERS}, r AS (SELECT g, x, y, {RANK.format(b="g", v="x")} AS rx, {RANK.format(b="g", v="y")} AS ry FROM o)
+SELECT g, 'y' AS metric, count(*) AS n, round({PEARSON.format(x="x", y="y")}, 9) AS pearson, round({PEARSON.format(x="rx", y="ry")}, 9) AS spearman FROM r GROUP BY g""")
+def _(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").alias("y"))
+    return stats.correlations(o, ["g"], "x", ["y"])
+
+
+@query("holm", """WITH p AS (SELECT c_nationkey, c_custkey, abs(c_acctbal) / 100000 AS p FROM customer), s AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY c_nationkey) AS m FROM p WINDOW w AS (PARTITION BY c_nationkey ORDER BY p, c_custkey))
+SELECT c_nationkey, c_custkey, round(p, 9) AS p, round(least(1, max((m - i + 1) * p) OVER (PARTITION BY c_nationkey ORDER BY i)), 9) AS adjusted FROM s""")
+def _(spark, sf_dir):
+    p = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", (F.abs("c_acctbal") / 100000).alias("p"))
+    return stats.holm(p, "p", ["c_nationkey"], ["c_custkey"], "adjusted")
+
+
+@query("paired_effects", f"""WITH {GENERATIONS}, e AS (SELECT a.model, a.decoder, b.ttr - a.ttr AS d1, b.mtld - a.mtld AS d2 FROM gen AS a JOIN gen AS b USING (model, sample_id, decoder) WHERE a.reached AND b.reached
+  AND (a.decoder, a.parameter, b.parameter) IN (('top_k', 10, 80), ('top_p', cast(0.8 AS DOUBLE), cast(0.99 AS DOUBLE)), ('min_p', cast(0.1 AS DOUBLE), cast(0.01 AS DOUBLE)))),
+d AS (SELECT model, decoder, 'ttr' AS metric, d1 AS d FROM e UNION ALL SELECT model, decoder, 'mtld', d2 FROM e),
+r AS (SELECT model, decoder, metric, d, {RANK.format(b="model, decoder, metric", v="abs(d)")} AS r FROM d WHERE d <> 0),
+w AS (SELECT model, decoder, metric, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS s FROM r GROUP BY ALL)
+SELECT model, decoder, metric, count(*) AS pairs, round(avg(d), 9) AS mean_difference, round(median(d), 9) AS median_difference, round(coalesce(any_value(s), 0), 9) AS statistic FROM d LEFT JOIN w USING (model, decoder, metric) GROUP BY ALL""")
+def _(spark, sf_dir):
+    e = S.paired_effects(generations(spark, sf_dir), ["model"], grids.ENDPOINTS)
+    return e.select("model", "decoder", "metric", "pairs", "mean_difference", "median_difference", "statistic")
+
+
+@query("paired_effects_holm")
+def _(spark, sf_dir):
+    e = S.paired_effects(generations(spark, sf_dir), ["model"], grids.ENDPOINTS)
+    return stats.holm(e, "p", [], ["model", "decoder", "metric"], "p_holm")
+
+
+@query("pooled_spearman", f"""WITH {COV_JOIN}, pr AS (SELECT model, temperature, {RANK.format(b="model, temperature", v="coverage")} AS rx, {RANK.format(b="model, temperature", v="mean_ttr")} AS ry FROM j),
+c AS (SELECT model, rx - avg(rx) OVER (PARTITION BY model, temperature) AS x, ry - avg(ry) OVER (PARTITION BY model, temperature) AS y FROM pr)
+SELECT round(sum(x * y) / nullif(sqrt(sum(x * x) * sum(y * y)), 0), 9) AS rho, count(DISTINCT model) AS clusters FROM c""")
+def _(spark, sf_dir):
+    return S.pooled_spearman(S.panel_ranks(_joined_t(spark, sf_dir), ["model", "temperature"], "mean_ttr"), "model")
+
+
+@query("cluster_bootstrap", """WITH s AS (SELECT o_orderpriority AS g, o_custkey % 40 AS k, sum(o_totalprice) AS t, cast(count(*) AS DOUBLE) AS n FROM orders GROUP BY ALL),
+num AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS i FROM s), z AS (SELECT g, count(*) AS m FROM s GROUP BY g),
+dr AS (SELECT g, d, cast('0x' || substr(md5('7|' || d || '|' || q), 1, 8) AS BIGINT) % m AS i FROM z, range(1, 201) AS a(d), range(1, 41) AS b(q) WHERE q <= m),
+st AS (SELECT dr.g, d, sum(t) / sum(n) AS v FROM dr JOIN num ON num.g = dr.g AND num.i = dr.i GROUP BY ALL)
+SELECT g, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM st GROUP BY g""")
+def _(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("g"), (F.col("o_custkey") % 40).alias("k")).agg(F.sum("o_totalprice").alias("t"), F.count("*").cast("double").alias("n"))
+    b = stats.cluster_bootstrap(o, ["g"], "k", ["t", "n"], F.col("t") / F.col("n"), 200, 7)
+    return b.select("g", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("permutation_p")
+def _(spark, sf_dir):
+    j = _joined_t(spark, sf_dir).withColumn("o", F.concat_ws("|", "decoder", F.format_string("%08.3f", F.col("parameter"))))
+    return stats.permutation_p(j, ["model", "temperature"], "o", "coverage", "mean_ttr", 1000)
+
+
+# ---- maintenance ---------------------------------------------------------------------------------
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return d.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn("lang", F.lit("xx"))
+
+
+@query("changed_samples", "SELECT doc_id FROM documents WHERE doc_id % 7 = 0 AND text IS NOT NULL")
+def _(spark, sf_dir):
+    return R.changed(table(spark, sf_dir, "documents"), edited(spark, sf_dir), "doc_id", ["text", "source"])
+
+
+@query("merged_audit", f"WITH {AUDIT} SELECT sample_id, temperature, word_token_index, CASE WHEN sample_id % 5 = 0 THEN rank + 1000 ELSE rank END AS rank FROM audit WHERE NOT (sample_id % 5 = 0 AND word_token_index = 1)")
+def _(spark, sf_dir):
+    a = audit(spark, sf_dir).select("sample_id", "temperature", "word_token_index", F.col("rank").cast("long").alias("rank"))
+    delta = a.where("sample_id % 5 = 0 and word_token_index = 0").withColumn("rank", F.col("rank") + 1000)
+    return R.merged(a, delta, delta.select("sample_id").distinct(), "sample_id")
+
+
+@query("replacement_match", """WITH rej AS (SELECT doc_id AS sample_id, source AS word, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents WHERE doc_id % 10 = 1),
+used AS (SELECT DISTINCT n_chars FROM documents WHERE doc_id % 10 = 2), c AS (SELECT doc_id AS candidate, source AS word, n_chars FROM documents WHERE doc_id % 10 = 3 AND n_chars NOT IN (SELECT n_chars FROM used)),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n_chars ORDER BY candidate) AS k FROM c) WHERE k = 1), t AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY candidate) AS turn FROM u)
+SELECT sample_id, word, candidate, n_chars FROM rej JOIN t USING (word, turn)""")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    rejected = d.where("doc_id % 10 = 1").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("word"))
+    candidates = d.where("doc_id % 10 = 3").select(F.col("doc_id").alias("candidate"), F.col("source").alias("word"), "n_chars")
+    return R.replacements(rejected, candidates, d.where("doc_id % 10 = 2").select("n_chars"), ["n_chars"], [F.col("candidate")]).select("sample_id", "word", "candidate", "n_chars")
+
+
+REASON = "CASE WHEN toxic = 1 THEN 'toxic' ELSE 'low_quality' END"
+
+
+@query("decision_reasons", f"SELECT reason, count(*) AS decisions, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM (SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'accepted' ELSE {REASON} END AS reason FROM labels) GROUP BY reason")
+def _(spark, sf_dir):
+    return R.decision_reasons(table(spark, sf_dir, "labels"), F.expr("quality = 1 and toxic = 0"), F.expr(REASON))
+
+
+@query("rejection_examples", f"""WITH r AS (SELECT l.doc_id, {REASON} AS reason, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM labels AS l JOIN documents AS d ON d.doc_id = l.doc_id WHERE NOT (quality = 1 AND toxic = 0)),
+n AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY doc_id) AS n FROM r) SELECT reason, n, doc_id, CASE WHEN length(x) > 80 THEN '…' || right(x, 80) ELSE x END AS excerpt FROM n WHERE n <= 5""")
+def _(spark, sf_dir):
+    log = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return R.rejection_examples(log, F.expr("quality = 1 and toxic = 0"), F.expr(REASON), 5, [F.col("doc_id")], "text", 80).select("reason", "n", "doc_id", "excerpt")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
