@@ -4,10 +4,12 @@ A document's set holds its distinct runs of SHINGLE words (the whole text as one
 fewer words; nothing where it has none). Two sets link when their Jaccard similarity is 0.8 or more.
 
 Two such sets of sizes n and m share, under any total order of tokens, one of the first
-n - ceil(0.8 n) + 1 tokens of the one and of the other. Orders here put tokens of many documents last
-and are random otherwise. Candidates come from a join on the prefix tokens of the first order; those
-whose prefixes under the second and third order share nothing are dropped before the sets are
-compared. Equal sets are one class from the start.
+n - ceil(0.8 n) + 1 tokens of the one and of the other, and k of them if each prefix is k - 1 tokens
+longer; here k is an eighth of the smaller set. Orders put tokens of many documents last and are
+random otherwise. Candidates come from a join on the prefix tokens of the first order. A set that
+shares too few of these with all others together is out; pairs whose prefixes under the second and
+third order share too few are dropped before their sets are compared. Equal sets are one class from
+the start.
 
 How common a token is comes from one count table of fixed size over all documents (each token counts
 in one slot); any table gives a right order, a good one keeps common passages out of prefixes.
@@ -19,7 +21,8 @@ components can be missed: any two linked sets share a prefix token, and are comp
 already connected.
 
 Cases: null and empty texts have an empty set, size 0, and are their own component; repeated rows
-each get a row, in one component if not empty; an empty table gives an empty result; other columns
+each get a row, in one component if not empty (rows of one id but different texts count as one node
+that has all their sets); an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.llm import scratch
@@ -39,16 +42,18 @@ from lexspan.llm.components import components
 
 SHINGLE = 5
 ORDERS = 3
+#: A set must share one in so many of its tokens within prefixes, which are longer by as much.
+MARGIN = 8
 #: Slots of the count table, and rows that it is sent in.
 SLOTS, BLOCKS = 1 << 20, 32
 #: Rounds of pivots before pairs between components are listed, and pivots that a group can have.
-ROUNDS, PIVOTS = 2, 4
+ROUNDS, PIVOTS = 3, 4
 #: Parts of a common token's postings.
 SALTS = 16
 #: Classes to compare are broadcast up to this many rows (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Postings and sets that a task may hold.
-POSTINGS, SETS = 2_000_000, 4_000
+POSTINGS, SETS = 2_000_000, 2_000
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _ASCII = bytes.maketrans(UPPER, LOWER)
@@ -85,12 +90,36 @@ def links(n: int, m: int, shared: int) -> bool:
     return 9 * shared >= 4 * (n + m)
 
 
+def margin(n):
+    """How many prefix tokens a set of this size must share, at least 1."""
+    return np.maximum(1, n // MARGIN)
+
+
+def prefix_size(n):
+    return n - least_common(n) + margin(n)
+
+
 def prefix(tokens: np.ndarray, ranks: np.ndarray, order: int) -> np.ndarray:
-    """The first tokens under an order: by how common they are, and at random within that."""
-    n = len(tokens)
-    p = n - least_common(n) + 1
+    """The first tokens under an order, in that order: by how common they are, and at random within that."""
+    p = int(prefix_size(len(tokens)))
     key = (ranks[(tokens >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(tokens, 11 + order) >> np.uint64(8))
-    return tokens[np.argpartition(key, p - 1)[:p]] if p < n else tokens
+    first = np.argpartition(key, p - 1)[:p] if p < len(tokens) else np.arange(len(tokens))
+    return tokens[first[np.argsort(key[first])]]
+
+
+def levels(n: int, p: int) -> np.ndarray:
+    """For each place in a prefix: 2 where one of two sets must share if it is the smaller, 1 where the
+    larger one must, else 0. The smaller one shares 8/9 of its tokens, the larger one 4/5."""
+    at = np.arange(p)
+    return (at < n - (8 * n + 8) // 9 + 1).astype(np.int32) + (at < n - least_common(n) + 1)
+
+
+#: Documents that are hashed at a time.
+SLICE = 1_000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
@@ -103,7 +132,7 @@ SIGNED = "doc_id long, n int, digest long, block int, counts binary"
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end BLOCKS rows with this task's counts of tokens."""
     counts, seen = np.zeros(SLOTS, np.uint32), set()
-    for batch in batches:
+    for batch in _slices(batches):
         docs, sizes, digests, new = batch.column(0).to_pylist(), [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text)
@@ -146,13 +175,14 @@ def commonness(signed: DataFrame) -> np.ndarray:
     return ranks.astype(np.uint8)
 
 
-POSTED = "token long, salt int, digest long, n int"
+#: size: four times the size of the set, plus the level of the token's place.
+POSTED = "token long, salt int, digest long, size int"
 
 
 def _postings(ranks):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             tokens, digests, sizes = [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
@@ -164,12 +194,12 @@ def _postings(ranks):
                 first = prefix(s, ranks.value, 0)
                 tokens.append(first)
                 digests.append(np.full(len(first), digest ^ (1 << 63), np.uint64))
-                sizes.append(np.full(len(first), len(s), np.int32))
+                sizes.append(len(s) * 4 + levels(len(s), len(first)))
             if tokens:
                 t, d = np.concatenate(tokens), np.concatenate(digests)
                 common = ranks.value[(t >> np.uint64(44)).astype(np.int64)] > 0
                 salt = np.where(common, (d % np.uint64(SALTS)).astype(np.int32), -1).astype(np.int32)
-                yield _batch({"token": (t.view(np.int64), pa.int64()), "salt": (salt, pa.int32()), "digest": (d.view(np.int64), pa.int64()), "n": (np.concatenate(sizes), pa.int32())})
+                yield _batch({"token": (t.view(np.int64), pa.int64()), "salt": (salt, pa.int32()), "digest": (d.view(np.int64), pa.int64()), "size": (np.concatenate(sizes).astype(np.int32), pa.int32())})
 
     return post
 
@@ -190,27 +220,39 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     more = np.append(same, False) | np.append([False], same) | (salt >= 0)
     for i in range(0, int(more.sum()), 1 << 17):
         part = np.flatnonzero(more)[i : i + (1 << 17)]
-        yield _batch({"token": (token[part], pa.int64()), "digest": (digest[part], pa.int64()), "n": (n[part], pa.int32())})
+        yield _batch({"token": (token[part], pa.int64()), "digest": (digest[part], pa.int64()), "size": (n[part], pa.int32())})
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each text, once for each part that compares it."""
     for batch in batches:
-        blobs = [shingles(text).tobytes() for text in batch.column(1).to_pylist()]
-        yield _batch({"rep": (batch.column(0).to_pylist(), pa.int64()), "tokens": (blobs, pa.large_binary() if sum(map(len, blobs)) >> 31 else pa.binary())})
+        for rep, text, parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            n = len(parts)
+            yield _batch({"part": (parts, pa.int32()), "a": ([rep] * n, pa.int64()), "b": ([None] * n, pa.int64()), "tokens": ([shingles(text).tobytes()] * n, pa.binary())})
 
 
 def _compared(ranks):
     """Pairs that link, of rows (part, a, b, tokens): sets of a part (b null) come before its pairs."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-        firsts: dict[tuple[int, int], frozenset] = {}
+        # Rows of the same id but different texts are one node that has all their sets.
+        sets: dict[int, list[np.ndarray]] = {}
+        firsts: dict[tuple[int, int, int], frozenset] = {}
         part = None
 
-        def first(x: int, order: int) -> frozenset:
-            if (x, order) not in firsts:
-                firsts[x, order] = frozenset(prefix(sets[x], ranks.value, order).tolist())
-            return firsts[x, order]
+        def first(x: int, i: int, order: int) -> frozenset:
+            if (x, i, order) not in firsts:
+                firsts[x, i, order] = frozenset(prefix(sets[x][i], ranks.value, order).tolist())
+            return firsts[x, i, order]
+
+        def linked(a: int, i: int, b: int, j: int) -> bool:
+            x, y = sets[a][i], sets[b][j]
+            least = min(margin(len(x)), margin(len(y)))
+            if any(len(first(a, i, k) & first(b, j, k)) < least for k in range(ORDERS)):
+                return False
+            at = np.searchsorted(x, y)
+            at[at == len(x)] = 0
+            return links(len(x), len(y), int((x[at] == y).sum()))
 
         for batch in batches:
             out = []
@@ -220,26 +262,27 @@ def _compared(ranks):
                     sets.clear()
                     firsts.clear()
                 if b is None:
-                    sets[a] = np.frombuffer(tokens, np.uint64)
-                elif not any(first(a, k).isdisjoint(first(b, k)) for k in range(1, ORDERS)):
-                    x, y = sets[a], sets[b]
-                    at = np.searchsorted(x, y)
-                    at[at == len(x)] = 0
-                    if links(len(x), len(y), int((x[at] == y).sum())):
-                        out.append((a, b))
+                    new, own = np.frombuffer(tokens, np.uint64), sets.setdefault(a, [])
+                    if len(new) and not any(np.array_equal(new, x) for x in own):
+                        own.append(new)
+                elif any(linked(a, i, b, j) for i in range(len(sets[a])) for j in range(len(sets[b]))):
+                    out.append((a, b))
             a, b = zip(*out, strict=True) if out else ((), ())
             yield _batch({"a": (a, pa.int64()), "b": (b, pa.int64())})
 
     return compare
 
 
-def verified(pairs: DataFrame, sets: DataFrame, n_sets: int, ranks) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     """Those of the pairs (a, b) whose sets link. A part holds the sets of its pairs, each once."""
+    ends = scratch.written(pairs.select(F.col("a").alias("rep"), "a").union(pairs.select("b", "a")), "ends")
+    n_sets = ends.select("rep").distinct().count()
     parts = max(1, -(-n_sets // SETS))
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int"))
-    need = dealt.select("part", F.col("a").alias("rep")).union(dealt.select("part", "b")).distinct()
-    rows = need.join(sets, "rep").select("part", F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
-    rows = rows.union(dealt.select("part", "a", "b", F.lit(None).cast("binary")))
+    part = F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int")
+    need = scratch.written(ends.groupBy("rep").agg(F.collect_set(part).alias("parts")), "needed")
+    need = F.broadcast(need) if n_sets <= BROADCAST_ROWS else need
+    sets = texts.join(need, F.col("doc_id") == F.col("rep")).select("rep", "text", "parts").mapInArrow(_set_rows, "part int, a long, b long, tokens binary")
+    rows = sets.union(pairs.select(part, "a", "b", F.lit(None).cast("binary")))
     rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("b").isNotNull())
     return rows.mapInArrow(_compared(ranks), "a long, b long")
 
@@ -253,36 +296,50 @@ def link_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranks = spark.sparkContext.broadcast(commonness(both))
     reps = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
 
-    n_posted = signed.agg(F.sum(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_posted) // POSTINGS + 1)
+    n_posted = signed.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_posted) // 3 // POSTINGS + 1)
     posted = texts.select("text").mapInArrow(_postings(ranks), POSTED).repartition(tasks, "token", "salt")
-    shared = posted.mapInArrow(_shared, "token long, digest long, n int").join(reps, ["digest", "n"])
-    shared = scratch.written(shared.select("token", "rep", "n"), "shared")
-
-    needed = scratch.written(shared.select("rep").distinct(), "needed")
-    n_sets = needed.count()
-    here = F.broadcast(needed) if n_sets <= BROADCAST_ROWS else needed
-    found = texts.join(here, F.col("doc_id") == F.col("rep")).select("rep", "text")
-    sets = scratch.written(found.mapInArrow(_set_rows, "rep long, tokens binary").dropDuplicates(["rep"]), "sets")
+    written = scratch.written(posted.mapInArrow(_shared, "token long, digest long, size int"), "shared")
+    shared = written.select("token", "digest", F.shiftright("size", 2).alias("n"), (F.col("size") % 4).alias("level"))
+    # A set that shares fewer prefix tokens than any partner would need has none.
+    smallest = F.floor((4 * F.col("n") + 4) / 5)
+    enough = shared.groupBy("digest", "n").count().where(F.col("count") >= F.greatest(F.lit(1), F.floor(smallest / MARGIN)))
+    # The larger the share of its tokens that others have, the likelier a set is amid its near copies.
+    enough = enough.join(reps, ["digest", "n"]).select("digest", "n", "rep", (F.col("count") / F.col("n")).alias("central"))
+    enough = scratch.written(enough, "enough")
+    here = F.broadcast(enough) if enough.count() <= BROADCAST_ROWS else enough
+    active = scratch.written(shared.join(here, ["digest", "n"]).select("token", "rep", "n", "level", "central"), "active")
+    scratch.release(written)
 
     linked, labels = None, spark.createDataFrame([], "id long, comp long")
     for turn in range(ROUNDS + 1):
-        posts = shared.join(labels, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        mixed = posts.groupBy("token").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min_by(F.struct("rep", "n", "comp"), F.xxhash64(F.lit(turn), F.pmod("token", F.lit(PIVOTS)), "rep")).alias("pivot")).where("lo < hi")
+        posts = active.join(labels, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", "level", "central", F.coalesce("comp", "rep").alias("comp"))
+        # Pivots are the most central sets first, then any; many tokens of a group agree on them.
+        turn_order = F.struct((-F.col("central") if turn % 2 == 0 else F.lit(0.0)).alias("c"), F.xxhash64(F.lit(turn), F.pmod("token", F.lit(PIVOTS)), "rep").alias("h"))
+        mixed = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "n", "comp"), turn_order).alias("pivot")).where("lo < hi")
         fits = lambda m: (5 * F.col("n") >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col("n"))
         if turn < ROUNDS:
             met = posts.join(mixed.select("token", F.col("pivot.rep").alias("r"), F.col("pivot.n").alias("m"), F.col("pivot.comp").alias("c")), "token")
             met = met.where((F.col("comp") != F.col("c")) & fits("m"))
         else:
             open_posts = posts.join(mixed.select("token"), "token")
-            other = open_posts.select("token", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("c"))
-            met = open_posts.join(other, "token").where((F.col("comp") < F.col("c")) & fits("m"))
-        pairs = scratch.written(met.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct(), "pairs")
+            # Again a set is out that shares too few tokens with sets of other components.
+            still = open_posts.groupBy("rep").agg(F.count("*").alias("k"), F.first("n").alias("n0"))
+            still = still.where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.floor((4 * F.col("n0") + 4) / 5) / MARGIN))).select("rep")
+            open_posts = scratch.written(open_posts.join(still, "rep"), "open")
+            # The smaller set comes with its shortest prefix, the larger one with a longer one.
+            other = open_posts.where("level >= 1").select("token", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("c"))
+            smaller = (F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("rep") < F.col("r"))
+            met = open_posts.where("level = 2").join(other, "token").where((F.col("comp") != F.col("c")) & smaller & fits("m"))
+        # Rounds of pivots only merge what is quick to find, so they ask for more than one common token;
+        # the last round leaves nothing out.
+        met = met.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), F.least("n", "m").alias("n"))
+        pairs = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("n").alias("n"))
+        pairs = pairs.where(F.col("common") >= F.greatest(F.lit(1), F.floor(F.col("n") / (4 * MARGIN)) if turn < ROUNDS else F.lit(1)))
+        pairs = scratch.written(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
             break
-        new = scratch.written(verified(pairs, sets, n_sets, ranks), "links")
+        new = scratch.written(verified(pairs, texts, ranks), "links")
         linked = new if linked is None else linked.union(new)
         labels = components(linked)
     return signed, labels
@@ -310,3 +367,23 @@ reach AS (SELECT a AS doc_id, a AS r FROM both_ways UNION SELECT reach.doc_id, b
 SELECT w.doc_id, cast(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) AS m USING (doc_id)
 """
+
+
+def _without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id isn't among ids; these are broadcast up to a bound, else the join shuffles."""
+    ids = scratch.written(ids.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return documents.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """`documents` with one row of each component: that of its smallest doc_id, and once where ids repeat."""
+    joined = scratch.written(ngram_join(documents), "components")
+    out = _without(documents, joined.where("component_id <> doc_id"))
+    repeated = joined.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id"))
+    repeated = scratch.written(repeated, "repeated")
+    if repeated.isEmpty():
+        return out
+    same = F.col("doc_id").cast("long") == F.col("repeated_id")
+    twice = out.join(repeated, same, "left_semi").withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return out.join(repeated, same, "left_anti").unionByName(twice.where("_turn = 1").drop("_turn"))
