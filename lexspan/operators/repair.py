@@ -29,7 +29,7 @@ def merged(base: DataFrame, delta: DataFrame, changed_keys: DataFrame, key: str)
     check = ids.withColumn("c", F.lit(True)).join(side(base, "b"), key, "left").join(side(delta, "d"), key, "full")
     bad = F.col("c").isNull() | F.col("b").isNull() | F.col("d").isNull()
     fine = check.where(F.when(bad, F.raise_error(F.concat(F.lit("cannot merge sample "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).select(key)
-    return base.join(ids, key, "left_anti").unionByName(delta.join(fine, key, "left_semi").select(base.columns))
+    return base.join(fine, key, "left_anti").unionByName(delta.join(fine, key, "left_semi").select(base.columns))
 
 
 def replacements(rejected: DataFrame, candidates: DataFrame, used: DataFrame, location: list[str], order: list[Column]) -> DataFrame:
