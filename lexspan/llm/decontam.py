@@ -143,10 +143,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, that no window of an item occurs in."""
-    hit = decontaminate(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
+    key = scratch.fresh("hit")  # documents may have columns of any name
+    hit = decontaminate(documents, benchmark).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
     hit = scratch.written(hit, "hit")
     hit, _ = _bounded(hit)
-    return documents.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return documents.join(hit, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
 
 
 ORACLE_SQL = rf"""

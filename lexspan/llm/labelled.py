@@ -24,5 +24,5 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, by: int, held_ou
     if n > rows:
         known = known.where(F.pmod(F.xxhash64("id", F.lit(label)), F.lit(1_000_000)) < int(1e6 * rows / n))
     known = F.broadcast(known)  # about `rows` rows at most
-    found = documents.join(known, F.col("doc_id") == F.col("id")).select(F.coalesce("text", F.lit("")).alias("t"), "y", "id")
+    found = documents.select("doc_id", "text").join(known, F.col("doc_id") == F.col("id")).select(F.coalesce("text", F.lit("")).alias("t"), "y", "id")
     return sorted((r.id, r.t, r.y) for r in found.collect())

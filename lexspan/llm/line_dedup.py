@@ -106,14 +106,15 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`documents` with its texts less later copies of runs, and n_lines and n_deleted."""
     spans = later_copies(documents, min_words).groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["end"] - 1))))
-    spans = scratch.written(spans.select(F.col("doc_id").alias("span_doc"), gone.alias("gone_lines")), "spans")
+    key, lost = scratch.fresh("doc"), scratch.fresh("lost")  # documents may have columns of any name
+    spans = scratch.written(spans.select(F.col("doc_id").alias(key), gone.alias(lost)), "spans")
     spans = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
-    out = documents.join(spans, F.col("doc_id").cast("long") == F.col("span_doc"), "left")
+    out = documents.join(spans, F.col("doc_id").cast("long") == F.col(key), "left")
     lines = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
+    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(lost, i)), "\n")
     return out.select(
-        *[F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else documents[c] for c in documents.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_deleted"))
+        *[F.when(F.col(lost).isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else documents[c] for c in documents.columns],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_deleted"))
 
 
 def digest(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

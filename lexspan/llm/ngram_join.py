@@ -371,19 +371,21 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS c FROM rea
 
 def _without(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id isn't among ids; these are broadcast up to a bound, else the join shuffles."""
-    ids = scratch.written(ids.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    key = scratch.fresh("gone")  # documents may have columns of any name
+    ids = scratch.written(ids.select(F.col("doc_id").alias(key)).distinct(), "gone")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return documents.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    return documents.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """`documents` with one row of each component: that of its smallest doc_id, and once where ids repeat."""
     joined = scratch.written(ngram_join(documents), "components")
     out = _without(documents, joined.where("component_id <> doc_id"))
-    repeated = joined.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id"))
+    key, turn = scratch.fresh("repeated"), scratch.fresh("turn")
+    repeated = joined.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
     repeated = scratch.written(repeated, "repeated")
     if repeated.isEmpty():
         return out
-    same = F.col("doc_id").cast("long") == F.col("repeated_id")
-    twice = out.join(repeated, same, "left_semi").withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return out.join(repeated, same, "left_anti").unionByName(twice.where("_turn = 1").drop("_turn"))
+    same = F.col("doc_id").cast("long") == F.col(key)
+    twice = out.join(repeated, same, "left_semi").withColumn(turn, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return out.join(repeated, same, "left_anti").unionByName(twice.where(F.col(turn) == 1).drop(turn))

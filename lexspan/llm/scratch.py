@@ -25,6 +25,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a written table early, once no result reads it any more."""
     jvm = spark.sparkContext._jvm

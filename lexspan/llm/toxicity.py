@@ -16,6 +16,7 @@ an empty table gives an empty result; other columns are ignored; whole texts are
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -216,7 +217,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     share = float(y.mean()) if len(y) else 0.0
     if len(set(y)) < 2:
         return Model(frozenset(), None, (np.zeros(1), np.zeros(1)), share)
-    words = [cores(t) for t, _ in rows]
+    words = [list(map(sys.intern, cores(t))) for t, _ in rows]  # each word is held once
     both = list(zip(words, y.astype(int), strict=True))
     fold = np.arange(len(rows)) % FOLDS
     crossed = [Lexicon(learn_lexicon([r for r, f in zip(both, fold, strict=True) if f != k])) for k in range(FOLDS)]
