@@ -53,7 +53,7 @@ SALTS = 16
 #: Classes to compare are broadcast up to this many rows (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Postings and sets that a task may hold.
-POSTINGS, SETS = 2_000_000, 2_000
+POSTINGS, SETS = 400_000, 1_000
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _ASCII = bytes.maketrans(UPPER, LOWER)
