@@ -338,7 +338,7 @@ def link_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.where(F.col("common") >= F.greatest(F.lit(1), F.floor(F.col("n") / (4 * MARGIN)) if turn < ROUNDS else F.lit(1)))
         pairs = scratch.written(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
-            break
+            continue  # pivots that fit no other set leave pairs to later rounds
         new = scratch.written(verified(pairs, texts, ranks), "links")
         linked = new if linked is None else linked.union(new)
         labels = components(linked)

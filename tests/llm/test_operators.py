@@ -81,6 +81,16 @@ def test_ngram_join_of_a_group_around_the_threshold(spark):
     assert sorted(map(tuple, ngram_join.ngram_join(df).collect())) == components_by_force(texts)
 
 
+def test_ngram_join_of_copies_that_a_longer_text_quotes(spark):
+    # The longest text is the pivot of all that the others share with it, and fits none of them in size.
+    passage, other = prose(300, 70), prose(300, 71)
+    texts = [(0, edited(passage, 3, 72)), (1, edited(passage, 3, 73)), (2, passage + " " + other), (3, other)]
+    expected = components_by_force(texts)
+    assert expected[1][2] == 0
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.ngram_join(df).collect())) == expected
+
+
 def test_one_of_each(docs, empty):
     kept = sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect())
     assert kept == sorted({c for _, n, c in components_by_force(TEXTS)})
