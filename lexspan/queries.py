@@ -387,7 +387,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null").withColumn("tokens", T.lexical_tokens(F.col("text")))
     rows = d.select(
         F.concat(F.lit("m"), F.expr("doc_id % 3")).alias("model"), F.expr("doc_id div 18").alias("sample_id"), F.when(F.expr("doc_id % 18 div 3 < 2"), "top_k").when(F.expr("doc_id % 18 div 3 < 4"), "top_p").otherwise("min_p").alias("decoder"),
-        F.expr("doc_id % 18 div 3 % 2").alias("end"), (F.size("tokens") >= 200).alias("reached"), diversity.type_token_ratio(F.col("tokens")).alias("ttr"), F.size("tokens").cast("double").alias("mtld"), "text")
+        F.expr("doc_id % 18 div 3 % 2").alias("end"), (F.size("tokens") >= 200).alias("reached"), diversity.type_token_ratio(F.col("tokens")).alias("ttr"), diversity.mtld(F.col("tokens")).alias("mtld"), "text")
     first = {d: (lo, hi) for d, lo, hi in grids.ENDPOINTS}
     parameter = F.lit(None).cast("double")
     for name, (lo, hi) in first.items():
