@@ -559,10 +559,11 @@ used AS (SELECT DISTINCT n_chars FROM documents WHERE doc_id % 10 = 2), c AS (SE
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n_chars ORDER BY candidate) AS k FROM c) WHERE k = 1), t AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY candidate) AS turn FROM u)
 SELECT sample_id, word, candidate, n_chars FROM rej JOIN t USING (word, turn)""")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    rejected = d.where("doc_id % 10 = 1").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("word"))
-    candidates = d.where("doc_id % 10 = 3").select(F.col("doc_id").alias("candidate"), F.col("source").alias("word"), "n_chars")
-    return R.replacements(rejected, candidates, d.where("doc_id % 10 = 2").select("n_chars"), ["n_chars"], [F.col("candidate")]).select("sample_id", "word", "candidate", "n_chars")
+    decisions = table(spark, sf_dir, "labels").select("doc_id", F.coalesce(F.expr("quality = 1 and toxic = 0"), F.lit(False)).alias("accepted"))
+    d = table(spark, sf_dir, "documents").join(decisions, "doc_id", "left")
+    rejected = d.where("not accepted").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("word"))
+    candidates = d.where("accepted is null").select(F.col("doc_id").alias("candidate"), F.col("source").alias("word"), "n_chars")
+    return R.replacements(rejected, candidates, d.where("accepted").select("n_chars"), ["n_chars"], [F.col("candidate")]).select("sample_id", "word", "candidate", "n_chars")
 
 
 REASON = "CASE WHEN toxic = 1 THEN 'toxic' ELSE 'low_quality' END"
