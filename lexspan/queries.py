@@ -515,7 +515,7 @@ def _(spark, sf_dir):
 c AS (SELECT model, rx - avg(rx) OVER (PARTITION BY model, temperature) AS x, ry - avg(ry) OVER (PARTITION BY model, temperature) AS y FROM pr)
 SELECT round(sum(x * y) / nullif(sqrt(sum(x * x) * sum(y * y)), 0), 9) AS rho, count(DISTINCT model) AS clusters FROM c""")
 def _(spark, sf_dir):
-    return S.pooled_spearman(S.panel_ranks(_joined_t(spark, sf_dir), ["model", "temperature"], "mean_ttr"), "model")
+    return S.pooled_spearman(S.panel_ranks(_joined_t(spark, sf_dir), ["model", "temperature"], "mean_ttr"), "model", 10_000)
 
 
 @query("cluster_bootstrap", """WITH s AS (SELECT o_orderpriority AS g, o_custkey % 40 AS k, sum(o_totalprice) AS t, cast(count(*) AS DOUBLE) AS n FROM orders GROUP BY ALL),
@@ -525,14 +525,14 @@ st AS (SELECT dr.g, d, sum(t) / sum(n) AS v FROM dr JOIN num ON num.g = dr.g AND
 SELECT g, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM st GROUP BY g""")
 def _(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("g"), (F.col("o_custkey") % 40).alias("k")).agg(F.sum("o_totalprice").alias("t"), F.count("*").cast("double").alias("n"))
-    b = stats.cluster_bootstrap(o, ["g"], "k", ["t", "n"], F.col("t") / F.col("n"), 200, 7)
+    b = stats.cluster_bootstrap(o, ["g"], "k", ["t", "n"], F.col("t") / F.col("n"), 2_000, 7)
     return b.select("g", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("permutation_p")
 def _(spark, sf_dir):
     j = _joined_t(spark, sf_dir).withColumn("o", F.concat_ws("|", "decoder", F.format_string("%08.3f", F.col("parameter"))))
-    return stats.permutation_p(j, ["model", "temperature"], "o", "coverage", "mean_ttr", 1000)
+    return stats.permutation_p(j, ["model", "temperature"], "o", "coverage", "mean_ttr", 10_000)
 
 
 # ---- maintenance ---------------------------------------------------------------------------------
