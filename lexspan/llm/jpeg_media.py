@@ -2,16 +2,16 @@
 
 Storing: each payload byte is one 8x8 block of constant luminance, ROW blocks to a row. With a
 quantiser of 8 a block's DC coefficient is the byte less 128, so nothing is lost, and the thumbnail at
-an eighth of the size is the payload. A JPEG is at most 65,535 pixels high; a longer payload
-goes on in further JPEGs behind the first one. Scans have a restart marker every INTERVAL blocks.
+an eighth of the size is the payload. A JPEG holds at most MAX_ROWS rows of blocks; a longer payload
+goes on in further JPEGs behind the first one, so that the memory of a task doesn't grow with a text. Scans have a restart marker every INTERVAL blocks.
 
 Reading: markers are parsed, scans are Huffman-decoded (any baseline tables, components, sampling and
 restart intervals; AC coefficients are skipped), and DC terms give the thumbnail. All restart
 intervals of a batch of images are decoded side by side in numpy, one symbol of each at a time.
 
 Cases: a null text counts as empty, whose payload is ROW spaces; a null doc_id is kept; repeated rows
-each get a row, equal texts equal values; an empty table gives an empty result; other columns are
-ignored; broken media raise ValueError.
+each get a row, equal texts equal values; a very long text is worked on JPEG by JPEG; an empty table
+gives an empty result; other columns, whatever their names, are ignored; broken media raise ValueError.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -29,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROW, FILL, INTERVAL = 192, 32, 48
-MAX_ROWS = 65535 // 8
-#: Payload bytes that are handled together.
-CHUNK = 1 << 21
+#: Rows of blocks in a JPEG (the format allows 8,191).
+MAX_ROWS = 1_024
+#: Payload bytes that are encoded or decoded together: a dozen arrays of 8 bytes for each of them.
+CHUNK = 1 << 18
+#: Rows of an Arrow batch that are turned into Python objects together.
+SLICE = 200
 #: Fixed values of JPEG: code lengths and symbols of the usual luminance DC table.
 DC_BITS, DC_SYMBOLS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))
 #: The only AC symbol that is needed here: end of block, in one bit.
@@ -110,10 +113,11 @@ def _scans(parts: list[bytes]) -> list[bytes]:
 def encode(payloads: list[bytes]) -> list[bytes]:
     """The JPEGs that keep each payload."""
     most = MAX_ROWS * ROW
-    parts = [(i, p[k : k + most]) for i, p in enumerate(payloads) for k in range(0, len(p), most)]
+    parts = ((i, p[k : k + most]) for i, p in enumerate(payloads) for k in range(0, len(p), most))
     out: list[list[bytes]] = [[] for _ in payloads]
-    for (i, p), scan in zip(parts, _scans([p for _, p in parts]) if parts else [], strict=True):
-        out[i] += [_head(len(p) // ROW), scan, b"\xff\xd9"]
+    for held in _in_chunks(parts, lambda r: len(r[1])):
+        for (i, p), scan in zip(held, _scans([p for _, p in held]), strict=True):
+            out[i] += [_head(len(p) // ROW), scan, b"\xff\xd9"]
     return [b"".join(x) for x in out]
 
 
@@ -276,70 +280,119 @@ def thumbnail(image: Image, dc: np.ndarray) -> np.ndarray:
     return np.clip((grid * image.quant[q] + 4 >> 3) + 128, 0, 255).astype(np.uint8)
 
 
+def images(media: bytes) -> Iterator[Image]:
+    """The JPEGs that stand one behind the other."""
+    at = 0
+    while at < len(media):
+        image, at = parse(media, at)
+        yield image
+
+
+def thumbnails(media: Iterable[bytes]) -> Iterator[tuple[int, Image, np.ndarray]]:
+    """(which of the media, image, thumbnail) in order; no more than CHUNK bytes of scans at a time."""
+    found = ((i, image) for i, data in enumerate(media) for image in images(data))
+    for held in _in_chunks(found, lambda r: sum(map(len, r[1].lanes))):
+        groups: dict[tuple, list[Image]] = {}
+        for _, x in held:
+            groups.setdefault((tuple(sorted(x.tables.items())), tuple(x.parts), x.interval), []).append(x)
+        thumbs = {id(x): thumbnail(x, dc) for same in groups.values() for x, dc in zip(same, dc_terms(same), strict=True)}
+        yield from ((i, x, thumbs[id(x)]) for i, x in held)
+
+
 def decode(media: list[bytes]) -> list[list[tuple[Image, np.ndarray]]]:
     """The images of each of the media with their thumbnails."""
-    found: list[list[Image]] = []
-    groups: dict[tuple, list[Image]] = {}
-    for data in media:
-        at, own = 0, []
-        while at < len(data):
-            image, at = parse(data, at)
-            own.append(image)
-            groups.setdefault((tuple(sorted(image.tables.items())), tuple(image.parts), image.interval), []).append(image)
-        found.append(own)
-    thumbs = {id(x): thumbnail(x, dc) for same in groups.values() for x, dc in zip(same, dc_terms(same), strict=True)}
-    return [[(x, thumbs[id(x)]) for x in own] for own in found]
+    out: list[list[tuple[Image, np.ndarray]]] = [[] for _ in media]
+    for i, image, thumb in thumbnails(media):
+        out[i].append((image, thumb))
+    return out
+
+
+def _bands(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of `parts` parts of n begins, and how many it has; parts share some where n is smaller."""
+    edges = np.arange(parts) * n // parts
+    return edges, np.maximum(np.diff(np.append(edges, n)), 1)
 
 
 def thumbnail_hash(thumb: np.ndarray) -> str:
-    """64 bits: of 8 rows, whether each of 9 columns' means is above the one to its left."""
-    rows = thumb[(2 * np.arange(8) + 1) * thumb.shape[0] // 16].astype(np.float64)
-    edges = np.arange(9) * thumb.shape[1] // 9
-    widths = np.diff(np.append(edges, thumb.shape[1]))
-    means = np.add.reduceat(rows, edges, axis=1) / np.maximum(widths, 1)
-    return np.packbits(np.diff(means, axis=1) > 0).tobytes().hex()
+    """64 bits: in 8 bands of rows, whether each of 9 columns' means is above the one to its left."""
+    (top, high), (left, wide) = _bands(thumb.shape[0], 8), _bands(thumb.shape[1], 9)
+    sums = np.add.reduceat(np.add.reduceat(thumb, top, axis=0, dtype=np.int64), left, axis=1)
+    return np.packbits(np.diff(sums / high[:, None] / wide, axis=1) > 0).tobytes().hex()
 
 
-def _in_chunks(rows: Iterator[tuple], size) -> Iterator[list[tuple]]:
+def _in_chunks(rows: Iterable[tuple], size: Callable[[tuple], int]) -> Iterator[list[tuple]]:
+    """Rows in lists of CHUNK bytes or, where a single row has more, of this row."""
     held, n = [], 0
     for row in rows:
-        held.append(row)
-        n += size(row)
-        if n >= CHUNK:
+        own = size(row)
+        if held and n + own > CHUNK:
             yield held
             held, n = [], 0
+        held.append(row)
+        n += own
     if held:
         yield held
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield from zip(*[c.to_pylist() for c in b.slice(i, SLICE).columns], strict=True)
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = ((d, *payload(t)) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-    for held in _in_chunks(rows, lambda r: len(r[1])):
+    for held in _in_chunks(((d, *payload(t)) for d, t in _rows(batches)), lambda r: len(r[1])):
         media = encode([p for _, p, _ in held])
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[2] for r in held], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in held], pa.int64()), pa.array([r[2] for r in held], pa.int64()), pa.array(media, pa.binary())],
+            ["doc_id", "n_bytes", "media"])
+
+
+FEATURES = {
+    "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
+    "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "width": pa.int32(), "height": pa.int32()}
+
+
+class _Digest:
+    """What is known of one of the media after its images so far."""
 
+    def __init__(self):
+        self.sha, self.tail, self.n, self.features, self.width, self.height = hashlib.sha256(), b"", 0, [], 0, 0
 
-FEATURES = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(),
-            "media_sha256": pa.string(), "feature": pa.string(), "width": pa.int32(), "height": pa.int32()}
+    def add(self, image: Image, thumb: np.ndarray) -> None:
+        data = thumb.tobytes()
+        self.sha.update(data)
+        self.tail = (self.tail + data[-16:])[-16:]
+        self.n += len(data)
+        self.features.append(f"{image.width}x{image.height}:{thumbnail_hash(thumb)}")
+        self.width, self.height = max(self.width, image.width), self.height + image.height
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-    for held in _in_chunks(rows, lambda r: len(r[2])):
-        out = []
-        for (doc, n, media), images in zip(held, decode([m for *_, m in held]), strict=True):
-            back = b"".join(t.tobytes() for _, t in images)
-            feature = ",".join(f"{x.width}x{x.height}:{thumbnail_hash(t)}" for x, t in images)
-            out.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, images[0][0].width, sum(x.height for x, _ in images)))
+    for held in _in_chunks(_rows(batches), lambda r: len(r[2])):
+        found = [_Digest() for _ in held]
+        for i, image, thumb in thumbnails(m for *_, m in held):
+            found[i].add(image, thumb)
+        out = [(doc, n, x.n, x.sha.hexdigest(), zlib.crc32(x.tail), len(media), hashlib.sha256(media).hexdigest(), ",".join(x.features), x.width, x.height)
+               for (doc, n, media), x in zip(held, found, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), FEATURES.values(), strict=True)], list(FEATURES))
 
 
+MEDIA = "doc_id long, n_bytes long, media binary"
+_KINDS = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}
+FEATURES_DDL = ", ".join(f"{k} {_KINDS[v]}" for k, v in FEATURES.items())
+
+
 def media_columns(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text as a column of baseline JPEGs."""
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store, MEDIA)
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """What is read back from the media: sizes, digests, dimensions and thumbnail hashes."""
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, ", ".join(f"{k} {kinds[v]}" for k, v in FEATURES.items()))
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, FEATURES_DDL)
+
+
+def stored_features(documents: DataFrame) -> DataFrame:
+    """media_features(media_columns(documents)), with both steps in one worker for each task."""
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _features(_store(batches)), FEATURES_DDL)

@@ -47,7 +47,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jpeg_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg_media.media_features(jpeg_media.media_columns(_table(spark, sf_dir, "documents")))
+    return jpeg_media.stored_features(_table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

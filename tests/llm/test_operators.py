@@ -221,14 +221,29 @@ def test_media(docs, empty):
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(own), len(full), zlib.crc32(full[-16:])) and r.feature
     stored = {r.media for r in media.where("doc_id = 14").collect()}
     assert len(stored) == 1 and next(iter(stored)).startswith(b"\xff\xd8")
+    assert sorted(map(tuple, jpeg_media.stored_features(docs).collect())) == sorted(map(tuple, jpeg_media.media_features(media).collect()))
     assert jpeg_media.media_features(jpeg_media.media_columns(empty)).count() == 0
     big = bytes(random.Random(1).randbytes(192 * 9000))
     (images,) = jpeg_media.decode(jpeg_media.encode([big]))
-    assert len(images) == 2 and b"".join(t.tobytes() for _, t in images) == big
+    assert len(images) == -(-9000 // jpeg_media.MAX_ROWS) and b"".join(t.tobytes() for _, t in images) == big
     with pytest.raises(ValueError):
         jpeg_media.decode([b"\xff\xd8\xff\xd9"])
 
 
+def test_media_of_many_small_and_some_long_rows(spark):
+    texts = [(i, prose(i % 7, i)) for i in range(3000)] + [(5000 + i, prose(90_000, i)) for i in range(2)] + [(None, "z"), (5000, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("media", F.lit(1)).withColumn("n_bytes", F.lit("x"))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.payload_sha256, r.feature.count(":")) for r in jpeg_media.stored_features(df).collect())
+    full = [(-1 if d is None else d, jpeg_media.payload(t)[0]) for d, t in texts]
+    most = jpeg_media.MAX_ROWS * jpeg_media.ROW
+    assert got == sorted((d, hashlib.sha256(p).hexdigest(), -(-len(p) // most)) for d, p in full)
+
+
+def test_every_payload_byte_enters_the_thumbnail_hash():
+    rows = np.full((64, 192), 100, np.uint8)
+    assert len({jpeg_media.thumbnail_hash(rows + (np.arange(64) == k)[:, None] * np.linspace(0, 50, 192).astype(np.uint8)) for k in (0, 1, 63)} - {jpeg_media.thumbnail_hash(rows)}) == 2
+
+
 def test_media_reads_other_baseline_files():
     """Three components, 2x2 sampling, AC coefficients, no restarts; written bit by bit."""
     dc, ac = ((0, 3) + (0,) * 14, (0, 3, 6)), ((0, 2, 2) + (0,) * 13, (0x00, 0x11, 0xF0, 0x02))
