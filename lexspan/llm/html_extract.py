@@ -1,18 +1,25 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
-A page is a sequence of words, which score positive, and tags, which score negative, with weights
-from labelled pages: those whose article or main element says where the text is. One linear scan finds
-the contiguous region with the highest sum. The region then grows to the innermost element around it
-that holds text blocks (so that short first and last paragraphs aren't lost), and what is not its
-text in there is left out: menus, headers and footers of the page, sidebars, notices, adverts, forms,
-scripts, styles and readers' comments, by their tags or by what their class, id or role say.
+A page is a sequence of words and tags. Tags score negative. A word scores by where it stands: the sum
+of the weights of the elements around it, of their names and of the words of their class, id, role and
+label. All weights are fitted to labelled pages, those whose article or main element says where the
+text is; weights that these pages say nothing about stay at the prior ones below.
 
-Text: character references are decoded; white space in a block is one space; blocks are trimmed and
-joined by a line end, in page order. Nothing else is dropped or cut.
+An element whose words sum up to less than nothing is boilerplate (a menu, sidebar, notice, advert,
+reader comments, ...) and counts as nothing, from the innermost elements outwards. One
+linear scan over what is left finds the contiguous region with the highest sum; the blocks that it
+touches are the text. Where nothing scores above zero, names say too much about the page (a class
+"search" around all of it): the scan is repeated without the words of class, id, role and label.
+Scripts, styles, form controls and hidden elements hold no text, whatever their score.
+
+Text: character references are decoded; white space in a block, also a br, is one space; blocks are
+trimmed and joined by a line end, in page order. Nothing else is dropped or cut.
 
 Cases: null and empty pages, and pages without words, give an empty text; unclosed tags end with what
-holds them, unclosed raw text and comments with the page; repeated rows give equal texts; an empty
-table gives an empty result; other columns are ignored.
+holds them, unclosed raw text and comments with the page; a quote only opens a value behind an equals
+sign; very long and very deep pages take time in proportion to their length; repeated rows give equal
+texts; rows of a null page_id are kept; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,75 +28,102 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that weights are learned from, about.
-FIT_ROWS = 1_000
+#: Labelled pages that weights are fitted to, about, and how long these may be, in characters; both bound the driver.
+FIT_ROWS, FIT_CHARS = 1_000, 100_000
+#: All labelled words together weigh as much as up to so many words against the prior's one, half of it with so many pages.
+EVIDENCE, EVIDENCE_PAGES = 100.0, 50
+#: The range of a tag's score.
+TAG_SCORES = (-0.5, -0.1)
+
 #: Kinds of HTML elements.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NOT_TEXT = set("script style title head nav footer aside form button select option textarea iframe object svg canvas template dialog menu noscript input datalist audio video map noembed noframes".split())
-HOLDERS = set("article main section div body td table center blockquote html".split())
-CONTENT = {"article", "main"}
+INLINE = set(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup"
+    " time tt u var wbr".split())
+NO_TEXT = set("script style title head select option textarea iframe object svg canvas template button datalist audio video map noembed noframes noscript".split())
+LABELS = {"article", "main"}
 #: Elements that end when another of their kind begins, and by what else.
-CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|ad|ads|adv|advert|adverts|advertisement|adbox|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|alert|sidebar|side|"
-    r"aside|footer|header|masthead|comment|comments|commentlist|reply|replies|respond|disqus|discussion|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|"
-    r"searchbox|breadcrumb|breadcrumbs|popup|modal|overlay|widget|toolbar|pagination|pager|contentinfo|complementary|skip|legal|copyright|tags|taglist)(?:$|[\s_-])", re.I)
-#: Class words that say the opposite, before the ones above are looked at.
-KEPT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+)""", re.S)
+CLOSED_BY = {
+    "p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
+    "option": {"option"}}
+#: What can't be closed from inside by an element of the ones above.
+SCOPES = {"ul": {"li"}, "ol": {"li"}, "dl": {"dt", "dd"}, "table": {"tr", "td", "th"}}
+
+#: Prior weights: of any word, of words in an element of a name, and in one whose class, id, role or label has a word.
+BIAS = 1.0
+PRIOR_TAGS = {
+    "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -2.5, "label": -3.0, "a": -1.0, "address": -1.0,
+    "p": 1.5, "h1": 0.5, "h2": 0.5, "h3": 0.5, "blockquote": 1.0, "pre": 1.0, "article": 1.0, "main": 1.0}
+PRIOR_NAMES = {
+    -9.0: "ad ads adbox advert adverts advertisement adv banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr"
+          " masthead menu menubar modal nav navbar navigation newsletter notice pager pagination popup promo promotion respond share sharing sidebar"
+          " signup social sponsor sponsored subscribe subscription toolbar contentinfo",
+    -4.0: "alert aside complementary copyright discussion header legal login overlay recommended replies reply search searchbox side skip tags taglist widget",
+    -2.0: "related",
+    0.5: "article body content entry main post story text",
+}
+#: Where a page has an article or main element, what stands outside all of these.
+OUTSIDE, PRIOR_OUTSIDE = "(outside)", -9.0
+
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.S)
+NAME_WORD = re.compile(r"[a-z]+|[0-9]+")
 WORD = re.compile(r"\S+")
 
+#: What is known of where a word stands: names of elements around it, and words of their names with a dot before.
+Context = frozenset
+
 
 @dataclass
 class Node:
     tag: str
     parent: int
-    first: int
-    end: int = -1
-    skipped: bool = False
+    context: Context
+    silent: bool
+    pruned: bool = False
 
 
 @dataclass
 class Page:
-    """Tokens of a page: (text or None, tag or None, node that it stands in), and its elements."""
+    """Tokens of a page (text or None, tag or None, node that it stands in), its elements, and whether one is labelled."""
 
     tokens: list[tuple[str | None, str | None, int]] = field(default_factory=list)
-    nodes: list[Node] = field(default_factory=lambda: [Node("html", -1, 0)])
-
-
-def _is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
-    if tag in NOT_TEXT or tag == "header" and not in_content:
-        return True
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
-        return True
-    found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    if tag in ("html", "body", "article", "main"):
-        return False
-    named = [found.get(k, "") for k in ("class", "id", "role", "aria-label")]
-    bad = any(NAMES.search(x) for x in named if x)
-    return bad and not any(KEPT_NAMES.fullmatch(x) for x in named if x) or "display:none" in found.get("style", "").replace(" ", "").lower()
-
-
-def parse(html: str) -> Page:
+    nodes: list[Node] = field(default_factory=lambda: [Node("", -1, Context(), False)])
+    labelled: bool = False
+
+
+def _about(tag: str, attributes: str) -> tuple[Iterable[str], bool]:
+    """What an element's start says of the words in it, and whether it is hidden."""
+    says = [tag] if tag not in ("html", "body") else []
+    if not attributes.strip(" /"):
+        return says, False
+    found = {}
+    for k, v in ATTRIBUTE.findall(attributes):
+        found.setdefault(k.lower(), v.strip("\"'"))
+    if tag not in ("html", "body"):
+        says += ["." + w for k in ("class", "id", "role", "aria-label") for w in NAME_WORD.findall(found.get(k, "").lower())]
+    style = re.sub(r"\s", "", found.get("style", "").lower())
+    return says, "hidden" in found or "display:none" in style or "visibility:hidden" in style
+
+
+def parse(html: str, known: Container[str] | None = None) -> Page:
+    """known: all that a context needs to say of a word's place."""
     page = Page()
     nodes, tokens = page.nodes, page.tokens
-    stack, at, n = [0], 0, len(html)
+    stack, n_open, at, n = [0], Counter(), 0, len(html)
 
-    def close(depth: int) -> None:
-        while len(stack) > depth:
-            nodes[stack.pop()].end = len(tokens)
+    def pop() -> None:
+        n_open[nodes[stack.pop()].tag] -= 1
 
     while at < n:
         m = TOKEN.search(html, at)
@@ -103,77 +137,133 @@ def parse(html: str) -> Page:
             continue
         tag, attributes = m[2].lower(), m[3]
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    close(k)
-                    break
+            if n_open[tag]:
+                while nodes[stack[-1]].tag != tag:
+                    pop()
+                pop()
             tokens.append((None, "/" + tag, stack[-1]))
             continue
-        if tag not in INLINE and nodes[stack[-1]].tag in INLINE:
-            # A block ends unclosed inline elements around it, unless these are links or the like that hold it whole.
-            while len(stack) > 1 and nodes[stack[-1]].tag in INLINE:
-                close(len(stack) - 1)
-        top = nodes[stack[-1]].tag
-        if top in CLOSED_BY and (tag in CLOSED_BY[top] if CLOSED_BY[top] else tag not in INLINE and tag not in VOID):
-            close(len(stack) - 1)
+        if tag not in INLINE:  # a block ends unclosed inline elements around it
+            while nodes[stack[-1]].tag in INLINE:
+                pop()
+        ends = CLOSED_BY.get(nodes[stack[-1]].tag, ())
+        while ends is None and tag not in INLINE and tag not in VOID or ends and tag in ends:
+            pop()
+            ends = CLOSED_BY.get(nodes[stack[-1]].tag, ())
         around = nodes[stack[-1]]
-        in_content = any(nodes[k].tag in CONTENT for k in stack)
-        node = Node(tag, stack[-1], len(tokens), skipped=around.skipped or _is_boilerplate(tag, attributes, in_content))
+        says, hidden = _about(tag, attributes)
+        says = [x for x in says if known is None or x in known]
+        context = around.context if around.context.issuperset(says) else around.context.union(says)
         tokens.append((None, tag, stack[-1]))
+        page.labelled |= tag in LABELS
         if tag in VOID:
             continue
-        nodes.append(node)
+        nodes.append(Node(tag, stack[-1], context, around.silent or hidden or tag in NO_TEXT))
         stack.append(len(nodes) - 1)
+        n_open[tag] += 1
         if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]|$(?!\n)", re.I).search(html, at)
+            end = re.compile(rf"</{tag}[\s/>]|\Z", re.I).search(html, at)
             tokens.append((html[at : end.start()], None, stack[-1]))
             at = end.start()
         elif attributes.endswith("/") and tag in ("svg", "path"):
-            close(len(stack) - 1)
-    close(0)
+            pop()
     return page
 
 
+def prior() -> dict[str, float]:
+    return {**PRIOR_TAGS, **{"." + w: x for x, words in PRIOR_NAMES.items() for w in words.split()}, OUTSIDE: PRIOR_OUTSIDE}
+
+
 @dataclass
 class Weights:
-    """word: of a word in text; skipped: of one that can't be text; tags: of tags by name, and other."""
+    """words: of what is known of a word's place; tags: scores of tags by name (other: of any other)."""
 
-    word: float = 1.0
-    skipped: float = -1.0
-    other: float = -2.0
+    bias: float = BIAS
+    words: dict[str, float] = field(default_factory=prior)
     tags: dict[str, float] = field(default_factory=dict)
+    other: float = -0.3
+
+    def word(self, context: Context, outside: bool, named: bool = True) -> float:
+        total = sum(self.words.get(x, 0.0) for x in context if named or x[0] != ".")
+        return self.bias + total + outside * self.words.get(OUTSIDE, 0.0)
 
 
-def learn(pages: list[str]) -> Weights:
-    """Weights from pages that have an article or main element: log odds of standing inside it."""
+def learn(pages: Iterable[str]) -> Weights:
+    """The most likely weights, given the prior ones, of a logistic model of whether a word is in a labelled element."""
     inside, outside = Counter(), Counter()
+    tags_in, tags_out, m = Counter(), Counter(), 0
     for page in map(parse, pages):
-        spans = [(x.first, x.end) for x in page.nodes if x.tag in CONTENT]
-        if not spans:
+        if not page.labelled:
             continue
-        for i, (text, tag, node) in enumerate(page.tokens):
-            tally = inside if any(a <= i < b for a, b in spans) else outside
+        m += 1
+        for text, tag, node in page.tokens:
+            context = page.nodes[node].context
+            held = not context.isdisjoint(LABELS)
             if tag:
-                tally[tag] += 1
-            elif not page.nodes[node].skipped:
-                tally[""] += len(WORD.findall(text))
-    n, m = sum(inside.values()), sum(outside.values())
+                if tag.lstrip("/") not in LABELS:
+                    (tags_in if held else tags_out)[tag] += 1
+            elif not page.nodes[node].silent:
+                # What the label itself is made of says nothing new, and keeps its prior weight.
+                (inside if held else outside)[context - LABELS] += len(WORD.findall(text))
+    weights = Weights()
+    n = sum(inside.values()) + sum(outside.values())
     if not n:
-        return Weights()
-    odds = lambda x: math.log((inside[x] + 1) / (n + 2)) - math.log((outside[x] + 1) / (m + 2))
-    # Words score positive and tags negative, the less the more often they stand within texts.
-    tags = {t: -min(8.0, max(0.2, 1.5 - odds(t))) for t in (inside | outside) if t}
-    return Weights(word=max(0.5, min(3.0, odds(""))), tags=tags)
-
-
-def best_region(page: Page, weights: Weights) -> tuple[int, int]:
-    """First token and end of the contiguous region with the highest sum; empty where none is positive."""
+        return weights
+    contexts = sorted((inside | outside).keys(), key=sorted)
+    names = sorted(set().union(*contexts))
+    x = np.array([[1.0, *(k in c for k in names)] for c in contexts])
+    yes, no = (np.array([t[c] for c in contexts]) * EVIDENCE * m / (m + EVIDENCE_PAGES) / n for t in (inside, outside))
+    start = np.array([weights.bias, *(weights.words.get(k, 0.0) for k in names)])
+    w = start.copy()
+    for _ in range(50):  # Newton's method with step halving; convex, and well conditioned by the prior
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve(np.eye(len(w)) + (x.T * ((yes + no) * p * (1 - p))) @ x, x.T @ (yes - (yes + no) * p) - (w - start))
+        if abs(step).max() < 1e-9:
+            break
+        w = w + step * min(1.0, 2.0 / abs(step).max())
+    weights.bias = float(w[0])
+    weights.words |= dict(zip(names, w[1:].tolist(), strict=True))
+    lo, hi = TAG_SCORES
+    n_in, n_out = sum(tags_in.values()), sum(tags_out.values())
+    for t in tags_in | tags_out:
+        odds = math.log((tags_in[t] + 1) / (n_in + 2)) - math.log((tags_out[t] + 1) / (n_out + 2))
+        weights.tags[t] = lo + (hi - lo) / (1 + math.exp(-odds))
+    return weights
+
+
+def scored(page: Page, weights: Weights, named: bool = True) -> list[float]:
+    """The score of each token, 0 in elements that hold no text or sum up to less than nothing; these are marked."""
+    nodes, known = page.nodes, {}
+
+    def word(context: Context) -> float:
+        if context not in known:
+            known[context] = weights.word(context, page.labelled and LABELS.isdisjoint(context), named)
+        return known[context]
+
+    scores, sums, words = [], [0.0] * len(nodes), [0] * len(nodes)
+    for text, tag, node in page.tokens:
+        if nodes[node].silent:
+            scores.append(0.0)
+            continue
+        n = 0 if tag else len(WORD.findall(text))
+        scores.append(weights.tags.get(tag, weights.other) if tag else n * word(nodes[node].context) if n else 0.0)
+        sums[node] += scores[-1] if n else 0.0
+        words[node] += n
+    for k in range(len(nodes) - 1, 0, -1):  # children come behind their parents
+        x = nodes[k]
+        x.pruned = x.silent or x.tag not in INLINE and x.tag not in ("html", "body") and words[k] > 0 and sums[k] < 0
+        if not x.pruned:
+            sums[x.parent] += sums[k]
+            words[x.parent] += words[k]
+    for x in nodes[1:]:
+        x.pruned = x.pruned or nodes[x.parent].pruned
+    return [0.0 if nodes[node].pruned else s for s, (*_, node) in zip(scores, page.tokens, strict=True)]
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """First and end of the contiguous run with the highest sum, the first and shortest such; empty where none is positive."""
     best, found, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (text, tag, node) in enumerate(page.tokens):
-        if tag:
-            score = weights.tags.get(tag, weights.other)
-        else:
-            score = len(WORD.findall(text)) * (weights.skipped if page.nodes[node].skipped else weights.word)
+    for i, score in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
         total += score
@@ -182,46 +272,56 @@ def best_region(page: Page, weights: Weights) -> tuple[int, int]:
     return found
 
 
+def _is_break(token: tuple) -> bool:
+    return token[1] is not None and token[1].lstrip("/") not in INLINE
+
+
 def extract(html: str | None, weights: Weights) -> str:
     """The main text of a page."""
-    page = parse(html or "")
-    first, end = best_region(page, weights)
+    page = parse(html or "", weights.words)
+    first, end = best_region(scored(page, weights))
+    if first == end:
+        first, end = best_region(scored(page, weights, named=False))
     if first == end:
         return ""
-    nodes = page.nodes
-    k = min((k for k, x in enumerate(nodes) if x.tag in HOLDERS and not x.skipped and x.first <= first and end <= x.end), key=lambda k: nodes[k].end - nodes[k].first)
-    # An element within an article or main one isn't the whole text of it.
-    up = k
-    while up >= 0:
-        if nodes[up].tag in CONTENT:
-            k = up
-        up = nodes[up].parent
-    first, end = nodes[k].first, nodes[k].end
+    tokens = page.tokens
+    while first > 0 and not _is_break(tokens[first - 1]):  # whole blocks
+        first -= 1
+    while end < len(tokens) and not _is_break(tokens[end]):
+        end += 1
     blocks: list[list[str]] = [[]]
-    for text, tag, node in page.tokens[first:end]:
-        if tag:
-            if tag.lstrip("/") not in INLINE:
-                blocks.append([])
-        elif not nodes[node].skipped:
+    for token in tokens[first:end]:
+        text, tag, node = token
+        if _is_break(token):
+            blocks.append([])
+        elif tag:
+            blocks[-1].append(" " if tag == "br" else "")
+        elif not page.nodes[node].pruned:
             blocks[-1].append(text)
     joined = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(b for b in joined if b)
 
 
 def train(pages: DataFrame, rows: int = FIT_ROWS) -> Weights:
-    """Weights from about `rows` of the pages that have an article or main element."""
-    known = pages.where(F.lower("html").rlike("<(article|main)[ >]"))
+    """Weights from about `rows` of the pages of bounded length that have an article or main element."""
+    known = pages.where(F.lower("html").rlike("<(article|main)[ >]") & (F.length("html") <= FIT_CHARS))
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(1e6 * rows / n))
     return learn(sorted(r.html for r in known.select("html").collect()))
 
 
+#: Rows of an Arrow batch that are turned into Python objects together.
+SLICE = 500
+
+
 def _extracted(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             texts = [extract(h, weights.value) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                ["page_id", "url", "text", "n_chars"])
 
     return run
 

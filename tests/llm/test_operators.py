@@ -207,10 +207,48 @@ def test_packing_search():
             assert sum(filling) <= 64
             for x in filling:
                 used[x] += n
+        assert all(f == tuple(sorted(f, reverse=True)) for f, _ in runs)
         assert (used == counts).all() and packing.lower_bound(counts) <= packing.n_bins(runs) <= packing.n_bins(packing.best_fit(counts))
     assert packing.n_bins(packing.pack(np.bincount([6, 5, 5, 4, 4, 3, 3], minlength=11))) == 3
 
 
+def fewest_bins(lengths, cap):
+    """By dynamic programming over subsets: bins, and what is used of the last one."""
+    best = [(1, 0)] + [(99, 0)] * ((1 << len(lengths)) - 1)
+    for done, (bins, used) in enumerate(best):
+        for i, x in enumerate(lengths):
+            if not done >> i & 1:
+                best[done | 1 << i] = min(best[done | 1 << i], (bins, used + x) if used + x <= cap else (bins + 1, x))
+    return best[-1][0]
+
+
+def test_packing_search_finds_the_optimum():
+    gained = 0
+    for i in range(200):
+        r = random.Random(i)
+        cap = r.choice([20, 50, 100, 1024])
+        low, high = r.choice([(1, cap), (cap // 5, cap // 2), (cap // 8, 2 * cap // 3)])
+        lengths = [r.randint(max(1, low), high) for _ in range(r.randint(5, 11))]
+        search = packing.Search(np.bincount(lengths, minlength=cap + 1))
+        assert packing.n_bins(search.run()) == fewest_bins(lengths, cap) and search.proven
+        gained += packing.n_bins(packing.best_fit(np.bincount(lengths, minlength=cap + 1))) > packing.n_bins(search.best)
+    assert gained  # best fit alone does not find them all
+
+
+def test_fillings_are_those_that_no_other_dominates():
+    for i in range(60):
+        r = random.Random(i)
+        counts, free = np.bincount([r.randint(1, 9) for _ in range(7)], minlength=13), r.randint(3, 12)
+        found = {()}
+        for x in range(1, 13):
+            found |= {tuple(sorted((*f, *[x] * n), reverse=True)) for f in found for n in range(1, int(counts[x]) + 1)}
+        fit = {f for f in found if sum(f) <= free}
+        best = {f for f in fit if not any(g != f and packing.dominates(g, f) for g in fit)}
+        for price in packing.PRICES:
+            got = [f for f in packing.fillings(counts, free, free, price) if f is not None]
+            assert best <= set(got) <= fit and len(got) == len(set(got)) and len(got) <= 2 * len(best)
+
+
 def test_media(docs, empty):
     media = jpeg_media.media_columns(docs)
     got = {(r.doc_id, r.payload_sha256): r for r in jpeg_media.media_features(media).collect()}
@@ -387,3 +425,40 @@ def test_html(spark):
     assert texts[2].split("\n") == ["Head", "Some text in here that is read by all.", "Bye."]
     assert (texts[3], texts[4], texts[5], texts[7]) == ("", "", "plain words only", "")
     assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_best_region_by_force():
+    for i in range(300):
+        r = random.Random(i)
+        scores = [r.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(r.randint(0, 14))]
+        sums = [(sum(scores[a:b]), -a, -b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        best = max([x for x in sums if x[0] > 0], default=(0, 0, 0))
+        a, b = html_extract.best_region(scores)
+        assert sum(scores[a:b]) == best[0]
+
+
+def test_html_weights_decide():
+    learned = html_extract.learn(["<nav><p>a b c</p></nav><article><p>d e f g</p></article>"] * 20)
+    flat = html_extract.Weights(words={})
+    pages = [ARTICLE, PAGE, "<nav><p>Menu words that are many</p></nav><div><p>A text.</p></div>"]
+    assert all(html_extract.extract(p, learned) != html_extract.extract(p, flat) for p in pages)
+    # Prior weights hold where labelled pages say nothing; what these say often enough moves them.
+    odd = "<div class='zork'>never text at all</div><article><p>words of the text</p></article>"
+    moved = html_extract.learn([odd] * 200).words
+    assert moved[".zork"] < -0.5 < 0 < moved["p"] and moved["aside"] == html_extract.prior()["aside"]
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<p class="legal">This legal text is the article</p>', "This legal text is the article"),
+    ("<div class='search results'><p>main text ...</p></div>", "main text ..."),
+    ("<article><p>One two three.</p><div class='related-work'><p>Others did this.</p></div><p>End.</p></article>", "One two three.\nOthers did this.\nEnd."),
+    ("<p title=don't>Hello .</p><p>more text</p>", "Hello .\nmore text"),
+    ("<p title=\"a > b\">x<br>y</p><!-- <p>no</p> --><p hidden>no</p>", "x y"),
+    ("<div>a</div>" * 3000, "\n".join("a" * 3000)),
+    ("<div class='c'>" * 20000 + "deep text", "deep text"),
+    ("<p>" + "long text " * 50000, ("long text " * 50000).strip()),
+    ("</div>" * 20000 + "<p>x &lt; y &amp;&nbsp;z", "x < y & z"),
+])
+def test_html_cases(page, text):
+    for weights in (html_extract.Weights(), html_extract.learn([ARTICLE])):
+        assert html_extract.extract(page, weights) == text
