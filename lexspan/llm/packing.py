@@ -6,11 +6,13 @@ each length, at most one count for each length up to the capacity. The search ru
 on the driver, whatever the number of documents; pieces then take their places by rank among pieces
 of their length.
 
-Search: best-fit decreasing gives the first incumbent. Bin completion branches on the fillings
-around the largest piece that is left, of which only undominated ones are tried (a filling is
-dominated if its pieces fit, as into bins, into the pieces of another). A branch ends where its waste
-exceeds what a better solution can have; each node's rest is packed by best fit to find new
-incumbents. It stops at a proven lower bound, or after NODES nodes with the best solution so far.
+Search: best-fit decreasing gives the first incumbent. Bin completion branches on the fillings around
+the largest piece that is left: all undominated ones, of any number of pieces (a filling is dominated
+if its pieces fit, as into bins, into the pieces of another), those first that waste little and, at a
+price for each piece, keep small pieces for later. A branch ends where its waste exceeds what a better
+solution can have; the rest of some nodes is packed by best fit for new incumbents. Discrepancies from
+the first filling are allowed one by one, so that a small input is searched to its end. It stops at a
+proven lower bound, when all branches are done, or after NODES nodes with the best solution so far.
 
 Cases: a null text counts as empty, which is one piece with the end id; a null doc_id is kept;
 repeated rows are packed each; an empty table gives no pieces; other columns are ignored.
@@ -19,8 +21,11 @@ repeated rows are packed each; an empty table gives no pieces; other columns are
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import pairwise
+from dataclasses import dataclass
+from heapq import heappop, heappush
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +35,22 @@ from pyspark.sql import functions as F
 from lexspan.llm import scratch, tokens
 
 CAPACITY = 1024
-#: Nodes of the search and fillings tried at each; bounds the driver's time, not the pieces packed.
-NODES, FILLINGS = 3_000, 6
-#: Totals below the fullest filling, and largest pieces of three, that are looked at for more fillings.
-DEPTH = 8
+#: Nodes of the search; bounds the driver's time (a few seconds), not the pieces packed.
+NODES = 4_000
+#: Prices of a piece, in tokens of waste, that fillings are ordered by in one probe after the other.
+PRICES = (0, 8, 2)
+#: Fillings of each total that are put in order before the others follow.
+LOOK = 8
 #: At every so many levels of the search the rest is packed by best fit, for a new incumbent.
-INCUMBENT_EVERY = 100
+INCUMBENT_EVERY = 20
 #: Runs are broadcast up to this many rows; there are a few for each length.
 BROADCAST_ROWS = 200_000
 
 Counts = np.ndarray
+#: Lengths of the pieces of a bin, the largest first.
+Filling = tuple[int, ...]
 #: A filling and in how many bins it occurs.
-Run = tuple[tuple[int, ...], int]
+Run = tuple[Filling, int]
 
 
 def lower_bound(counts: Counts) -> int:
@@ -91,100 +100,178 @@ def n_bins(runs: list[Run]) -> int:
     return sum(n for _, n in runs)
 
 
-def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the pieces of b fit into those of a as bins."""
+def dominates(a: Filling, b: Filling) -> bool:
+    """Whether the pieces of b (the largest first) fit into those of a as bins."""
+    room = list(a)
 
-    def place(i: int, room: list[int]) -> bool:
+    def place(i: int) -> bool:
         if i == len(b):
             return True
-        for j in {r: j for j, r in enumerate(room) if r >= b[i]}.values():
-            if place(i + 1, [*room[:j], room[j] - b[i], *room[j + 1 :]]):
-                return True
+        tried = set()
+        for j, r in enumerate(room):
+            if r >= b[i] and r not in tried:
+                tried.add(r)
+                room[j] -= b[i]
+                if place(i + 1):
+                    return True
+                room[j] = r
         return False
 
-    return place(0, list(a))
+    return sum(a) >= sum(b) and (sum(b) <= max(a, default=0) or place(0))
 
 
-def fillings(counts: Counts, free: int, waste: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of up to three pieces into free space, least waste first."""
-    have = np.flatnonzero(counts[: free + 1])
-    found: list[tuple[int, ...]] = []
+class Sums:
+    """Which totals up to a limit can be made of the pieces, and of which."""
 
-    def add(f: tuple[int, ...]) -> None:
-        if all(counts[x] >= f.count(x) for x in set(f)) and not any(dominates(g, f) for g in found):
-            found[:] = [g for g in found if not dominates(f, g)] + [f]
+    def __init__(self, counts: Counts, limit: int):
+        self.counts, self.sizes, self.bits = counts, np.flatnonzero(counts[: limit + 1]).tolist(), []
+        mask, made = (1 << (limit + 1)) - 1, 1
+        for x in self.sizes:
+            for _ in range(min(int(counts[x]), limit // x)):
+                made |= made << x
+            made &= mask
+            self.bits.append(made)  # bit t: sizes up to this one can make t
 
-    for total in range(free, max(free - waste, 0) - 1, -1):
-        if len(found) >= FILLINGS or found and sum(found[0]) - total > DEPTH:
-            break
-        if total == 0:
-            add(())
-        elif counts[total]:
-            add((total,))
-            if total == free:
-                break
-        a = have[(have * 2 >= total) & (have < total)]
-        pairs = a[counts[total - a] > 0][::-1][: FILLINGS // 2]
-        for x in pairs:
-            add((int(x), total - int(x)))
-        if not len(pairs):
-            for x in have[(have * 3 >= total) & (have < total)][::-1][:DEPTH]:
-                rest = total - int(x)
-                b = have[(have * 2 >= rest) & (have < rest) & (have <= x)]
-                for y in b[counts[rest - b] > 0][::-1][:1]:
-                    add((int(x), int(y), rest - int(y)))
-    return found[:FILLINGS]
+    def fillings(self, total: int) -> Iterator[Filling]:
+        """All fillings of this total, those with the largest pieces first."""
+        return self._below(len(self.sizes) - 1, total, ())
 
+    def _below(self, i: int, total: int, own: Filling) -> Iterator[Filling]:
+        if not total:
+            yield own
+            return
+        for j in range(min(i, bisect_right(self.sizes, total) - 1), -1, -1):
+            if not self.bits[j] >> total & 1:
+                return
+            x = self.sizes[j]
+            for n in range(min(int(self.counts[x]), total // x), 0, -1):
+                yield from self._below(j - 1, total - n * x, own + (x,) * n)
 
-def pack(counts: Counts) -> list[Run]:
-    """Fillings with their numbers of bins, as few bins as the search finds."""
-    cap = len(counts) - 1
-    total = int((counts * np.arange(cap + 1)).sum())
-    bound, best, nodes = lower_bound(counts), best_fit(counts), 0
-    fewest = n_bins(best)
-    # Each entry: counts that are left, runs so far (linked), bins and waste so far, fillings to try.
-    stack: list[tuple] = []
-
-    def enter(rest: Counts, done: tuple, bins: int, waste: int) -> None:
-        nonlocal best, fewest, nodes
-        nodes += 1
-        left = np.flatnonzero(rest)
-        if not len(left) or len(stack) % INCUMBENT_EVERY == 0:
+
+def fillings(counts: Counts, free: int, waste: int, price: int) -> Iterator[Filling | None]:
+    """The undominated fillings of a free space that leave no more than `waste` of it.
+
+    Those of least waste plus price for each piece come first, as far as the first LOOK of each total
+    go; then all others. A filling that another one dominates comes behind it or, as None, not at all.
+    """
+    if not free or counts[free]:
+        yield (free,) if free else ()  # nothing else can be better
+        return
+    sums, seen, ordered, others = Sums(counts, free), [], [], []
+
+    def undominated(f: Filling) -> bool:
+        return not any(g is not f and dominates(g, f) for g in seen)
+
+    for total in range(free, max(free - waste, 0) - 1, -1):
+        while ordered and ordered[0][0] <= free - total + price:  # no later one is better
+            f = heappop(ordered)[2]
+            yield f if undominated(f) else None
+        rest = sums.fillings(total)
+        for f in islice(rest, LOOK):
+            heappush(ordered, (free - total + price * len(f), len(seen), f))
+            seen.append(f)
+        others.append(rest)
+    for f in chain((heappop(ordered)[2] for _ in range(len(ordered))), chain.from_iterable(others)):
+        if undominated(f):
+            seen.append(f)
+            yield f
+        else:
+            yield None
+
+
+@dataclass
+class Node:
+    """A state of the search: counts that are left, what was done (linked), and what is to be tried."""
+
+    rest: Counts
+    done: tuple
+    bins: int
+    waste: int
+    largest: int
+    options: Iterator[Filling | None]
+    #: Discrepancies that are still allowed, from here on.
+    turns: int
+    #: A filling that was taken as often as it goes, and is still to be tried once.
+    again: Filling | None = None
+
+
+class Search:
+    """Bin completion over counts of lengths; `best` is the incumbent."""
+
+    def __init__(self, counts: Counts, nodes: int = NODES):
+        self.counts, self.cap = counts.astype(np.int64), len(counts) - 1
+        self.total = int((self.counts * np.arange(self.cap + 1)).sum())
+        self.bound, self.best, self.nodes = lower_bound(counts), best_fit(counts), nodes
+        self.fewest = n_bins(self.best)
+        self.proven = self.fewest == self.bound
+
+    def run(self) -> list[Run]:
+        probe, limit = self.nodes // len(PRICES), 0
+        while not self.proven and self.nodes > 0:
+            for price in PRICES:
+                self.proven = self.proven or self._probe(price, limit, min(self.nodes, self.nodes if limit else probe))
+            limit = 2 * limit + 1
+        return self.best
+
+    def _spare(self, waste: int) -> int:
+        """What may still be wasted by a solution with fewer bins than the incumbent."""
+        return (self.fewest - 1) * self.cap - self.total - waste
+
+    def _enter(self, stack: list[Node], rest: Counts, done: tuple, bins: int, waste: int, turns: int, price: int) -> None:
+        self.nodes -= 1
+        sizes = np.flatnonzero(rest)
+        if not len(sizes) or len(stack) % INCUMBENT_EVERY == INCUMBENT_EVERY - 1:
             more = best_fit(rest)
-            if bins + n_bins(more) < fewest:
-                fewest, best, link = bins + n_bins(more), list(more), done
+            if bins + n_bins(more) < self.fewest:
+                self.fewest, self.best = bins + n_bins(more), list(more)
+                link = done
                 while link:
                     link, run = link
-                    best.append(run)
-        if len(left):
-            largest = int(left[-1])
-            rest = rest.copy()
-            rest[largest] -= 1
-            spare = (fewest - 1) * cap - total - waste
-            options = iter(fillings(rest, cap - largest, spare)) if spare >= 0 else iter(())
-            rest[largest] += 1
-            stack.append((rest, done, bins, waste, largest, options))
-
-    if fewest > bound:
-        enter(counts.astype(np.int64), (), 0, 0)
-    while stack and fewest > bound and nodes < NODES:
-        rest, done, bins, waste, largest, options = stack[-1]
-        f = next(options, None)
-        spare = (fewest - 1) * cap - total - waste
-        if f is None or spare < 0:
-            stack.pop()
-            continue
-        filling = (largest, *f)
-        lost = cap - sum(filling)
-        times = min(int(rest[x]) // filling.count(x) for x in set(filling))
-        if lost:
-            times = min(times, spare // lost)
-        if times > 0:
-            after = rest.copy()
-            for x in filling:
-                after[x] -= times
-            enter(after, (done, (filling, times)), bins + times, waste + lost * times)
-    return best
+                    self.best.append(run)
+        if len(sizes) and self._spare(waste) >= 0:
+            largest, others = int(sizes[-1]), rest.copy()
+            others[largest] -= 1
+            stack.append(Node(rest, done, bins, waste, largest, fillings(others, self.cap - largest, self._spare(waste), price), turns))
+
+    def _probe(self, price: int, limit: int, nodes: int) -> bool:
+        """Search with up to `limit` discrepancies on a path; whether the incumbent is proven best."""
+        stack, cut, least = [], False, self.nodes - nodes
+        self._enter(stack, self.counts, (), 0, 0, limit, price)
+        while stack and self.fewest > self.bound and self.nodes > least:
+            node = stack[-1]
+            if node.turns < 0 or self._spare(node.waste) < 0:
+                cut = cut or node.turns < 0
+                stack.pop()
+                continue
+            if node.again is not None:
+                filling, times, node.again = node.again, 1, None
+            else:
+                try:
+                    f = next(node.options)
+                except StopIteration:
+                    stack.pop()
+                    continue
+                if f is None:
+                    self.nodes -= 1  # so that looking for fillings is bounded too
+                    continue
+                filling = (node.largest, *f)
+                times = min(int(node.rest[x]) // filling.count(x) for x in set(filling))
+                if times > 1 and (len(filling) > 2 or sum(filling) < self.cap):  # else it is right as often as it goes
+                    node.again = filling
+            node.turns -= 1
+            lost = self.cap - sum(filling)
+            times = min(times, self._spare(node.waste) // lost) if lost else times
+            if times > 0:
+                rest = node.rest.copy()
+                for x in filling:
+                    rest[x] -= times
+                self._enter(stack, rest, (node.done, (filling, times)), node.bins + times, node.waste + lost * times, node.turns + 1, price)
+        return self.fewest == self.bound or not stack and not cut
+
+
+def pack(counts: Counts) -> list[Run]:
+    """Fillings with their numbers of bins, as few bins as the search finds."""
+    return Search(counts).run()
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
