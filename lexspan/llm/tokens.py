@@ -1,9 +1,10 @@
 """Token ids of whole texts, with a cache of the ids of words.
 
 A text is cut where the tokenizer itself can't join: at single spaces and line ends between other
-characters. The ids of the parts don't depend on each other, so they are looked up in a cache, and
-only unseen parts go to the tokenizer. A text with other white space goes to it whole. The ids are
-those of encoding the text at once; the tests hold both against each other.
+characters, and between letters and the punctuation behind them. The ids of the parts don't depend on
+each other, so they are looked up in a cache, and only unseen parts go to the tokenizer. A text with
+other white space, or with the content of one of the tokenizer's added tokens, goes to it whole. The
+ids are those of encoding the text at once; the tests hold both against each other.
 """
 
 from __future__ import annotations
@@ -13,8 +14,14 @@ from array import array
 
 import numpy as np
 
-#: Parts kept by each Python worker; then the cache starts anew. Bounds its memory to about 300 MB.
-CACHE_PARTS = 1_500_000
+#: Parts kept of those used last, and as many of those used before; about 150 bytes each, so 130 MB a worker at most.
+CACHE_PARTS = 450_000
+#: Ends of parts that are kept.
+TAILS = 10_000
+#: Parts longer than this aren't kept.
+LONGEST = 64
+#: Signs that stand behind letters as tokens of their own; not the apostrophe, which can begin a token with letters.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Irregular(Exception):
@@ -24,23 +31,35 @@ class _Irregular(Exception):
 class _Parts(dict):
     """Ids of parts, as bytes. glue stands before each part in its text."""
 
-    def __init__(self, encode, glue: str = "", spaced: bool = True):
+    def __init__(self, encode, glue: str = "", spaced: bool = True, share: int = 0):
         super().__init__()
-        self.encode, self.glue, self.spaced = encode, glue, spaced
+        self.encode, self.glue, self.spaced, self.share, self.older, self.tails = encode, glue, spaced, share, {}, {}
 
     def __missing__(self, part: str) -> bytes:
-        if self.spaced and (not part or any(map(str.isspace, part))):
-            raise _Irregular
-        if len(self) >= CACHE_PARTS:
-            self.clear()
-        if len(part) > 2 and part[-1] in ",." and part[:-1].isalpha():
-            ids = self[part[:-1]] + self.encode(part[-1])
-        else:
-            ids = self.encode(self.glue + part)
-        if len(part) <= 64:
+        ids = self.older.pop(part, None)
+        if ids is None:
+            if self.spaced and part.split() != [part]:
+                raise _Irregular
+            letters = part.rstrip(SIGNS)
+            if letters != part and letters.isalpha():
+                ids = self[letters] + self._tail(part[len(letters) :])
+            else:
+                ids = self.encode(self.glue + part)
+        if len(part) <= LONGEST:
+            if len(self) >= self.share:
+                self.older = dict(self)
+                self.clear()
             self[part] = ids
         return ids
 
+    def _tail(self, signs: str) -> bytes:
+        ids = self.tails.get(signs)
+        if ids is None:
+            ids = self.encode(signs)
+            if len(self.tails) < TAILS and len(signs) <= LONGEST:
+                self.tails[signs] = ids
+        return ids
+
 
 class Encoder:
     """Encodes texts by a tokenizer file of the `tokenizers` library, without special tokens."""
@@ -51,16 +70,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype(self.code)
         # A tokenizer that drops white space yields nothing for a space, and parts need no glue.
         self.drops_space = not len(self._ids(" \n "))
         if self.drops_space:
-            self.words = _Parts(self._ids, spaced=False)
+            self.words = _Parts(self._ids, spaced=False, share=CACHE_PARTS)
             self.lowers = all(self._ids(chr(c)) == self._ids(chr(c + 32)) for c in range(ord("A"), ord("Z") + 1))
         else:
-            self.first, self.rest = _Parts(self._ids), _Parts(self._ids, glue=" ")
+            few = CACHE_PARTS // 8  # only the first part of each line has no space before it
+            self.first, self.rest = _Parts(self._ids, share=few), _Parts(self._ids, glue=" ", share=CACHE_PARTS - few)
             self.newline = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
@@ -68,16 +88,17 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
+        return np.frombuffer(self._ids(text) if any(t in text for t in self.added) else self._joined(text), self.dtype)
+
+    def _joined(self, text: str) -> bytes:
         if self.drops_space:
             if self.lowers and text.isascii():
                 text = text.lower()
-            found = b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
-        else:
-            try:
-                found = self.newline.join(map(self._line, text.split("\n")))
-            except _Irregular:
-                found = self._ids(text)
-        return np.frombuffer(found, self.dtype)
+            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        try:
+            return self.newline.join(map(self._line, text.split("\n")))
+        except _Irregular:
+            return self._ids(text)
 
     def _line(self, line: str) -> bytes:
         parts = iter(line.split(" "))
