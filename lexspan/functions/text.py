@@ -11,6 +11,7 @@ WORD = rf"{LETTER}(?:{LETTER}|['’\-])*"
 LEXICAL = rf"{LETTER}+(?:['’\-]{LETTER}+)*"
 ASCII_WORD = r"[A-Za-z][A-Za-z'\-]*"
 EDGES = r"^['’\-]+|['’\-]+$"
+END_MARKS = r"['’\-]$"
 SPACE_ENDS = r"(?U)^\s+|\s+$"
 #: Names of languages by code; and prose around the texts of a well-known library.
 LANGUAGES = {"en": "English", "es": "Spanish"}

@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspan import stored
 from lexspan.functions import text as T
 
 #: Dictionaries and target words are broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Target words that are looked up in the row of a text; more of them go through a join.
+TARGETS = 10_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if a count shows that it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, written once, to be broadcast if a count shows that it is small enough."""
+    df = stored.written(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def word_frequency(corpus: DataFrame, text: str = "text", group: str | None = None) -> DataFrame:
-    """word, count; with a group, counts of each group and, as group null, of all together."""
-    tokens = corpus.select(*([group] if group else []), F.explode(T.words(F.col(text))).alias("t"))
-    tokens = tokens.select(*([group] if group else []), T.normalize_word(F.col("t")).alias("word")).where("word <> ''")
+    """word, count; with a group, counts of each group and, as group null, of all together.
+
+    Tokens are counted as they stand; only the different ones are normalised, and their counts summed.
+    """
+    by = [group] if group else []
+    tokens = stored.spread(corpus.select(*by, text)).select(*by, F.explode(T.words(F.col(text))).alias("t")).groupBy(*by, "t").agg(F.count("*").alias("n"))
+    words = tokens.select(*by, "n", T.normalize_word(F.col("t")).alias("word")).where("word <> ''")
     if not group:
-        return tokens.groupBy("word").agg(F.count("*").alias("count"))
-    counts = tokens.groupBy(group, "word").agg(F.count("*").alias("count"))
-    # The totals come from the counts, not from the tokens again.
+        return words.groupBy("word").agg(F.sum("n").alias("count"))
+    counts = words.groupBy(group, "word").agg(F.sum("n").alias("count"))
+    # The totals come from the counts, not from the tokens again; these are small beside the corpus.
+    counts = stored.written(counts)
     return counts.unionByName(counts.groupBy("word").agg(F.sum("count").alias("count")).withColumn(group, F.lit(None).cast("string")))
 
 
@@ -35,18 +44,9 @@ def top_ranked(counts: DataFrame, most: int, by: list[str] | None = None) -> Dat
 
 
 def ranked(counts: DataFrame) -> DataFrame:
-    """All words with their rank by (-count, word), without gathering them in one task.
-
-    Rank = the words of larger counts + the place among words of the same count. There are few
-    different counts beside words; the words of one count are dealt by their first letters.
-    """
-    sizes = counts.withColumn("lead", F.left("word", F.lit(2))).groupBy("count", "lead").agg(F.count("*").alias("n"))
-    by_count = sizes.groupBy("count").agg(F.sum("n").alias("n"))
-    larger = by_count.withColumn("above", F.sum("n").over(Window.orderBy(F.col("count").desc())) - F.col("n")).select("count", "above")
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("count").orderBy("lead")) - F.col("n")).select("count", "lead", "before")
-    place = F.row_number().over(Window.partitionBy("count", "lead").orderBy("word"))
-    out = counts.withColumn("lead", F.left("word", F.lit(2))).withColumn("place", place).join(before, ["count", "lead"]).join(larger, "count")
-    return out.select("word", "count", (F.col("above") + F.col("before") + F.col("place")).alias("rank"))
+    """All words with their rank by (-count, word), without gathering them in one task."""
+    out = stored.numbered(counts.select("word", "count"), [F.col("count").desc(), F.col("word")], "rank")
+    return out.select("word", "count", "rank")
 
 
 def rank_band(entries: DataFrame, low: int, high: int, min_length: int = 1, dictionary: DataFrame | None = None) -> DataFrame:
@@ -60,23 +60,64 @@ def dictionary(texts: DataFrame, text: str = "text") -> DataFrame:
     return word_frequency(texts, text).select("word")
 
 
+def tiles(text: Column) -> Column:
+    """Tokens and what lies between them, in turn; ends of lines count as one."""
+    return F.regexp_extract_all(F.regexp_replace(text, r"\r\n?", "\n"), F.lit(rf"(?s){T.WORD}|[^\p{{L}}\p{{Nl}}\p{{No}}]+"), F.lit(0))
+
+
 def token_offsets(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, index, token, start, end (in characters) of every token; ends of lines count as one.
 
     The text is tiled by tokens and what lies between; a running sum of lengths over a document's
     own tiles gives the places.
     """
-    tiles = F.regexp_extract_all(F.col("_t"), F.lit(rf"(?s){T.WORD}|[^\p{{L}}\p{{Nl}}\p{{No}}]+"), F.lit(0))
-    rows = corpus.withColumn("_t", F.regexp_replace(F.col(text), r"\r\n?", "\n")).withColumn("_x", tiles)
-    out = rows.select(key, F.posexplode("_x").alias("_k", "token"))
+    out = stored.spread(corpus.select(key, text)).select(key, F.posexplode(tiles(F.col(text))).alias("_k", "token"))
     w = Window.partitionBy(key).orderBy("_k")
     out = out.withColumn("end", F.sum(F.length("token")).over(w).cast("int")).withColumn("start", F.col("end") - F.length("token"))
     out = out.where(F.col("token").rlike(f"^{T.LETTER}"))
     return out.select(key, (F.row_number().over(w) - 1).alias("index"), "token", "start", "end")
 
 
+def _in_targets(token: Column, words: list[str]) -> Column:
+    """The target word that a token stands for, or null: as it is, else without marks at its end."""
+    first, second = T.match_keys(token)
+    return F.when(first.isin(words), first).when(token.rlike(T.END_MARKS) & second.isin(words), second)
+
+
 def occurrences(corpus: DataFrame, targets: DataFrame, context: int, key: str = "doc_id", text: str = "text", lowercase_only: bool = False) -> DataFrame:
-    """word, key, start, end, matched, prefix, excerpt: each target word behind `context` tokens."""
+    """word, key, start, end, matched, prefix, excerpt: each target word behind `context` tokens.
+
+    Tokens and what lies between them alternate, so the prefix of a token is a slice of the array that
+    tiles the text, and only hits leave the row of their text; a shuffle of hits adds up their places.
+    Targets are looked up in a set that the plan holds; more than TARGETS of them go through a join.
+    """
+    names = [r.word for r in targets.select("word").distinct().limit(TARGETS + 1).collect()]  # bounded
+    if len(names) > TARGETS:
+        return _occurrences_by_join(corpus, targets, context, key, text, lowercase_only)
+    rows = stored.spread(corpus.select(key, text)).select(key, tiles(F.col(text)).alias("_x")).where("_x is not null")
+
+    # The first `context` tokens have too little before them.
+    found = F.transform("_x", lambda tile, at: F.struct(F.when(at >= 2 * context, _in_targets(tile, names)).alias("word"), at.alias("at"), tile.alias("tile")))
+    found = F.filter(found, lambda h: h["word"].isNotNull())
+    if lowercase_only:
+        found = F.filter(found, lambda h: ~T.is_capitalized(h["tile"]))
+    rows = rows.withColumn("_h", found).where(F.size("_h") > 0)
+    length = lambda tiles: F.aggregate(tiles, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    here = lambda h, i: F.when(i == 0, F.lit(0)).otherwise(F.get("_h", i - 1)["at"])
+
+    def cut(h: Column, i: Column) -> Column:
+        first = h["at"] - 2 * context
+        return F.struct(
+            h["word"].alias("word"), h["tile"].alias("matched"), length(F.slice("_x", here(h, i) + 1, h["at"] - here(h, i))).alias("gap"),
+            F.array_join(F.slice("_x", first + 1, F.lit(2 * context)), "").alias("before"))
+
+    hits = rows.select(key, F.posexplode(F.transform("_h", cut)).alias("_i", "_c")).select(key, "_i", "_c.*")
+    start = F.sum("gap").over(Window.partitionBy(key).orderBy("_i"))
+    out = hits.withColumn("start", start.cast("int")).withColumn("end", (start + F.length("matched")).cast("int"))
+    return out.select("word", key, "start", "end", "matched", T.strip(F.col("before")).alias("prefix"), T.strip(F.concat("before", "matched")).alias("excerpt"))
+
+
+def _occurrences_by_join(corpus: DataFrame, targets: DataFrame, context: int, key: str, text: str, lowercase_only: bool) -> DataFrame:
     offsets = token_offsets(corpus.select(key, text), key, text)
     w = Window.partitionBy(key).orderBy("index")
     offsets = offsets.withColumn("from", F.lag("start", context).over(w) if context else F.col("start"))

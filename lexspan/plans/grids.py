@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,10 @@ class Recipe:
     top_k: int
     top_p: float
 
+    def __post_init__(self):
+        if self.top_k < 1 or not 0 < self.top_p <= 1:
+            raise ValueError(f"top_k must be 1 or more and top_p in (0, 1]: {self}")
+
 
 @dataclass(frozen=True)
 class Stratum:
@@ -27,6 +32,10 @@ class Stratum:
     high: int
     count: int
 
+    def __post_init__(self):
+        if not (1 <= self.low <= self.high and self.count >= 1):
+            raise ValueError(f"a stratum needs 1 <= low <= high and a count of 1 or more: {self}")
+
 
 def grid_rows(top_k: list[int] = TOP_K, top_p: list[float] = TOP_P, min_p: list[float] = MIN_P) -> list[tuple[str, float]]:
     return [("top_k", float(k)) for k in top_k] + [("top_p", p) for p in top_p] + [("min_p", m) for m in min_p]
@@ -51,28 +60,29 @@ def parse_temperatures(text: str) -> list[float]:
     return values
 
 
+def _fields(pattern: str, text: str, form: str) -> tuple[str, ...]:
+    """The groups of a pattern that the whole of a text must match."""
+    found = re.fullmatch(pattern, text.strip())
+    if found is None:
+        raise ValueError(f"{text!r} is not of the form {form}")
+    return found.groups()
+
+
 def parse_recipe(text: str) -> Recipe:
     """name:top_k:top_p"""
-    parts = text.split(":")
-    if len(parts) != 3 or not parts[0]:
-        raise ValueError(f"a recipe is name:top_k:top_p, not {text!r}")
-    recipe = Recipe(parts[0], int(parts[1]), float(parts[2]))
-    if recipe.top_k < 1 or not 0 < recipe.top_p <= 1:
-        raise ValueError(f"top_k must be 1 or more and top_p in (0, 1]: {text!r}")
-    return recipe
+    name, top_k, top_p = _fields(r"([^:]+):\s*(\d+)\s*:\s*([\d.eE+-]+)", text, "name:top_k:top_p")
+    return Recipe(name, int(top_k), float(top_p))
 
 
 def parse_strata(text: str) -> list[Stratum]:
     """min:max:count, separated by commas"""
-    out = []
-    for part in filter(None, map(str.strip, text.split(","))):
-        fields = part.split(":")
-        if len(fields) != 3:
-            raise ValueError(f"a stratum is min:max:count, not {part!r}")
-        low, high, count = map(int, fields)
-        if low < 1 or high < low or count < 1:
-            raise ValueError(f"a stratum needs 1 <= min <= max and count >= 1: {part!r}")
-        out.append(Stratum(low, high, count))
-    if not out:
-        raise ValueError("no strata are given")
-    return out
+    parts = [p for p in re.split(r"\s*,\s*", text.strip()) if p] or [""]
+    return [Stratum(*map(int, _fields(r"(\d+)\s*:\s*(\d+)\s*:\s*(\d+)", p, "min:max:count"))) for p in parts]
+
+
+def parse_names(text: str) -> list[str]:
+    """Names, as of models, separated by commas; ValueError if there are none."""
+    names = re.findall(r"[^,\s](?:[^,]*[^,\s])?", text)
+    if not names:
+        raise ValueError(f"no names in {text!r}")
+    return names

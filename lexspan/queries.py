@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan import stored
 from lexspan.functions import diversity, stats
 from lexspan.functions import text as T
 from lexspan.operators import audit as A
@@ -371,10 +372,10 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query("boilerplate_strip", "SELECT doc_id, length(text) + 2 AS n FROM documents WHERE text IS NOT NULL")
+@query("boilerplate_strip", "SELECT doc_id, md5(chr(10) || text || chr(10)) AS text_md5 FROM documents WHERE text IS NOT NULL")
 def _(spark, sf_dir):
     marked = F.concat(F.lit("licence\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n"), F.col("text"), F.lit("\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\nmore"))
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.length(T.strip_boilerplate(marked)).alias("n"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(T.strip_boilerplate(marked)).alias("text_md5"))
 
 
 # ---- diversity and statistics --------------------------------------------------------------------
@@ -382,9 +383,20 @@ def _(spark, sf_dir):
 TOKENS = f"list_transform(regexp_extract_all(text, '{LEXICAL}'), lambda x: replace(lower(x), 'ß', 'ss'))"
 
 
+def mtld_sql(tokens: str) -> str:
+    """MTLD of a list of tokens: a fold over (full factors, types and tokens of the factor that has begun)."""
+    empty = "{'f': 0::DOUBLE, 'types': []::VARCHAR[], 'n': 0}"
+    types = "CASE WHEN list_contains(a.types, x.types[1]) THEN a.types ELSE list_append(a.types, x.types[1]) END"
+    fold = f"""list_reduce(list_prepend({empty}, list_transform({tokens}, lambda t: {{'f': 0::DOUBLE, 'types': [t], 'n': 1}})),
+  lambda a, x: CASE WHEN len({types}) / (a.n + 1) <= 0.72::DOUBLE THEN {{'f': a.f + 1, 'types': []::VARCHAR[], 'n': 0}} ELSE {{'f': a.f, 'types': {types}, 'n': a.n + 1}} END)"""
+    part = "CASE WHEN r.n > 0 THEN (1.0::DOUBLE - len(r.types) / r.n) / (1.0::DOUBLE - 0.72::DOUBLE) ELSE 0 END"
+    score = f"CASE WHEN r.f + {part} > 0 THEN len({tokens}) / (r.f + {part}) ELSE len({tokens})::DOUBLE END"
+    return f"list_transform([{fold}], lambda r: {score})[1]"
+
+
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as generations: each source is a model, each id a configuration and a sample."""
-    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("tokens", T.lexical_tokens(F.col("text")))
+    d = stored.spread(table(spark, sf_dir, "documents").where("text is not null")).withColumn("tokens", T.lexical_tokens(F.col("text")))
     rows = d.select(
         F.concat(F.lit("m"), F.expr("doc_id % 3")).alias("model"), F.expr("doc_id div 18").alias("sample_id"), F.when(F.expr("doc_id % 18 div 3 < 2"), "top_k").when(F.expr("doc_id % 18 div 3 < 4"), "top_p").otherwise("min_p").alias("decoder"),
         F.expr("doc_id % 18 div 3 % 2").alias("end"), (F.size("tokens") >= 200).alias("reached"), diversity.type_token_ratio(F.col("tokens")).alias("ttr"), diversity.mtld(F.col("tokens")).alias("mtld"), "text")
@@ -398,7 +410,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 GENERATIONS = f"""gt AS (SELECT *, {TOKENS} AS tokens, doc_id % 18 // 3 AS c FROM documents WHERE text IS NOT NULL),
 gen AS (SELECT 'm' || (doc_id % 3) AS model, doc_id // 18 AS sample_id, CASE WHEN c < 2 THEN 'top_k' WHEN c < 4 THEN 'top_p' ELSE 'min_p' END AS decoder,
   cast(CASE c WHEN 0 THEN 10 WHEN 1 THEN 80 WHEN 2 THEN 0.8 WHEN 3 THEN 0.99 WHEN 4 THEN 0.1 ELSE 0.01 END AS DOUBLE) AS parameter, len(tokens) >= 200 AS reached,
-  CASE WHEN len(tokens) > 0 THEN len(list_distinct(tokens)) / len(tokens) ELSE 0.0 END AS ttr, cast(len(tokens) AS DOUBLE) AS mtld, text FROM gt)"""
+  CASE WHEN len(tokens) > 0 THEN len(list_distinct(tokens)) / len(tokens) ELSE 0.0 END AS ttr, {mtld_sql("tokens")} AS mtld, text FROM gt)"""
 GEN_SUMMARY = f"""{GENERATIONS}, gs AS (SELECT model, decoder, parameter, count(*) AS contexts, count(*) FILTER (reached) AS completed, count(*) FILTER (reached) / count(*) AS completion_rate,
 {", ".join(f"coalesce(avg({m}) FILTER (reached), 0) AS mean_{m}, coalesce(median({m}) FILTER (reached), 0) AS median_{m}, coalesce(stddev_pop({m}) FILTER (reached), 0) AS sd_{m}" for m in S.METRICS)} FROM gen GROUP BY ALL)"""
 
@@ -408,23 +420,16 @@ def _(spark, sf_dir):
     return generations(spark, sf_dir).select("model", "sample_id", "decoder", "parameter", "ttr")
 
 
-MTLD_SQL = """{rec} t AS (SELECT conv_id, turn, {tokens} AS tokens FROM conversations WHERE text IS NOT NULL),
-f AS (SELECT conv_id, turn, tokens, 0 AS i, cast(0 AS DOUBLE) AS f, cast([] AS VARCHAR[]) AS types, 0 AS n FROM t
-  UNION ALL SELECT conv_id, turn, tokens, i + 1, CASE WHEN full_ THEN f + 1 ELSE f END, CASE WHEN full_ THEN [] ELSE ty END, CASE WHEN full_ THEN 0 ELSE n + 1 END
-  FROM (SELECT *, CASE WHEN list_contains(types, tokens[i + 1]) THEN types ELSE list_append(types, tokens[i + 1]) END AS ty, len(CASE WHEN list_contains(types, tokens[i + 1]) THEN types ELSE list_append(types, tokens[i + 1]) END) / (n + 1) <= cast(0.72 AS DOUBLE) AS full_ FROM f WHERE i < len(tokens))),
-l AS (SELECT conv_id, turn, len(tokens) AS m, f + CASE WHEN n > 0 THEN (1.0::DOUBLE - len(types) / n) / (1.0::DOUBLE - 0.72::DOUBLE) ELSE 0 END AS f FROM f WHERE i = len(tokens))
-SELECT conv_id, turn, round(CASE WHEN m = 0 THEN 0 WHEN f > 0 THEN m / f ELSE m END, 9) AS mtld FROM l"""
-
-
-@query("mtld", MTLD_SQL.format(rec="WITH RECURSIVE", tokens=TOKENS))
+@query("mtld", f"SELECT conv_id, turn, round({mtld_sql('tokens')}, 9) AS mtld FROM (SELECT conv_id, turn, {TOKENS} AS tokens FROM conversations WHERE text IS NOT NULL)")
 def _(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("text is not null")
     return c.select("conv_id", "turn", diversity.mtld(T.lexical_tokens(F.col("text"))).alias("mtld"))
 
 
-@query("mtld_bidirectional")
+@query("mtld_bidirectional", f"""SELECT doc_id, round(({mtld_sql("tokens")} + {mtld_sql("list_reverse(tokens)")}) / 2, 9) AS mtld
+FROM (SELECT doc_id, {TOKENS} AS tokens FROM documents WHERE text IS NOT NULL)""")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = stored.spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
     return d.select("doc_id", diversity.mtld(T.lexical_tokens(F.col("text")), bidirectional=True).alias("mtld"))
 
 
@@ -494,33 +499,51 @@ def _(spark, sf_dir):
     return stats.holm(p, "p", ["c_nationkey"], ["c_custkey"], "adjusted")
 
 
-@query("paired_effects", f"""WITH {GENERATIONS}, e AS (SELECT a.model, a.decoder, b.ttr - a.ttr AS d1, b.mtld - a.mtld AS d2 FROM gen AS a JOIN gen AS b USING (model, sample_id, decoder) WHERE a.reached AND b.reached
+#: Wilcoxon's p: exact up to 50 differences without zeros or ties, else normal with a correction for ties.
+EXACT_P = """2 * list_sum(list_transform(range(0, cast(floor(s) AS BIGINT) + 1), lambda j: list_reduce(list_prepend(list_prepend(1::DOUBLE, list_transform(range(1, n * (n + 1) // 2 + 1), lambda z: 0::DOUBLE)),
+  list_transform(range(1, n + 1), lambda k: [k::DOUBLE])), lambda c, k: list_transform(range(1, len(c) + 1), lambda i: c[i] + CASE WHEN i > k[1] THEN c[i - cast(k[1] AS BIGINT)] ELSE 0 END))[j + 1])) / pow(2::DOUBLE, n)"""
+SERIES = "list_sum(list_transform(range(0, 60), lambda k: pow(-1, k) * pow(x, 2 * k + 1) / gamma(k + 1) / (2 * k + 1)))"
+FRACTION = "list_reduce(list_prepend(x, list_transform(range(59, 0, -1), lambda k: k::DOUBLE)), lambda f, k: x + k / 2.0::DOUBLE / f)"
+ERFC = f"CASE WHEN x < 2.5 THEN 1 - 2 / sqrt(pi()) * {SERIES} ELSE exp(-x * x) / {FRACTION} / sqrt(pi()) END"
+PAIRED = f"""{GENERATIONS}, e AS (SELECT a.model, a.decoder, b.ttr - a.ttr AS d1, b.mtld - a.mtld AS d2 FROM gen AS a JOIN gen AS b USING (model, sample_id, decoder) WHERE a.reached AND b.reached
   AND (a.decoder, a.parameter, b.parameter) IN (('top_k', 10, 80), ('top_p', cast(0.8 AS DOUBLE), cast(0.99 AS DOUBLE)), ('min_p', cast(0.1 AS DOUBLE), cast(0.01 AS DOUBLE)))),
 d AS (SELECT model, decoder, 'ttr' AS metric, d1 AS d FROM e UNION ALL SELECT model, decoder, 'mtld', d2 FROM e),
-r AS (SELECT model, decoder, metric, d, {RANK.format(b="model, decoder, metric", v="abs(d)")} AS r FROM d WHERE d <> 0),
-w AS (SELECT model, decoder, metric, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS s FROM r GROUP BY ALL)
-SELECT model, decoder, metric, count(*) AS pairs, round(avg(d), 9) AS mean_difference, round(median(d), 9) AS median_difference, round(coalesce(any_value(s), 0), 9) AS statistic FROM d LEFT JOIN w USING (model, decoder, metric) GROUP BY ALL""")
+r AS (SELECT model, decoder, metric, d, {RANK.format(b="model, decoder, metric", v="abs(d)")} AS r, count(*) OVER (PARTITION BY model, decoder, metric, abs(d)) AS t FROM d WHERE d <> 0),
+w AS (SELECT model, decoder, metric, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS s, count(*) AS n, sum(t * t - 1) AS ties FROM r GROUP BY ALL),
+g AS (SELECT model, decoder, metric, count(*) AS pairs, avg(d) AS mean_difference, median(d) AS median_difference FROM d GROUP BY ALL),
+z AS (SELECT *, abs(s - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) / sqrt(2) AS x FROM g LEFT JOIN w USING (model, decoder, metric)),
+pe AS (SELECT model, decoder, metric, pairs, mean_difference, median_difference, coalesce(s, 0) AS statistic,
+  least(1, CASE WHEN n IS NULL THEN 1 WHEN pairs = n AND ties = 0 AND n <= 50 THEN {EXACT_P} ELSE {ERFC} END) AS p FROM z)"""
+
+
+@query("paired_effects", f"WITH {PAIRED} SELECT model, decoder, metric, pairs, round(mean_difference, 9) AS mean_difference, round(median_difference, 9) AS median_difference, round(statistic, 9) AS statistic, round(p, 9) AS p FROM pe")
 def _(spark, sf_dir):
     e = S.paired_effects(generations(spark, sf_dir), ["model"], grids.ENDPOINTS)
-    return e.select("model", "decoder", "metric", "pairs", "mean_difference", "median_difference", "statistic")
+    return e.select("model", "decoder", "metric", "pairs", "mean_difference", "median_difference", "statistic", "p")
 
 
-@query("paired_effects_holm")
+@query("paired_effects_holm", f"""WITH {PAIRED}, s AS (SELECT *, row_number() OVER (ORDER BY p, model, decoder, metric) AS i, count(*) OVER () AS m FROM pe)
+SELECT model, decoder, metric, pairs, round(mean_difference, 9) AS mean_difference, round(median_difference, 9) AS median_difference, round(statistic, 9) AS statistic, round(p, 9) AS p,
+  round(least(1, max((m - i + 1) * p) OVER (ORDER BY i)), 9) AS p_holm FROM s""")
 def _(spark, sf_dir):
     e = S.paired_effects(generations(spark, sf_dir), ["model"], grids.ENDPOINTS)
+    e = e.select("model", "decoder", "metric", "pairs", "mean_difference", "median_difference", "statistic", "p")
     return stats.holm(e, "p", [], ["model", "decoder", "metric"], "p_holm")
 
 
 @query("pooled_spearman", f"""WITH {COV_JOIN}, pr AS (SELECT model, temperature, {RANK.format(b="model, temperature", v="coverage")} AS rx, {RANK.format(b="model, temperature", v="mean_ttr")} AS ry FROM j),
-c AS (SELECT model, rx - avg(rx) OVER (PARTITION BY model, temperature) AS x, ry - avg(ry) OVER (PARTITION BY model, temperature) AS y FROM pr)
-SELECT round(sum(x * y) / nullif(sqrt(sum(x * x) * sum(y * y)), 0), 9) AS rho, count(DISTINCT model) AS clusters FROM c""")
+c AS (SELECT model, rx - avg(rx) OVER (PARTITION BY model, temperature) AS x, ry - avg(ry) OVER (PARTITION BY model, temperature) AS y FROM pr),
+sums AS (SELECT model, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy, row_number() OVER (ORDER BY model) - 1 AS k FROM c GROUP BY model), z AS (SELECT count(*) AS m FROM sums),
+dr AS (SELECT d, cast('0x' || substr(md5('10298|' || d || '|' || q), 1, 8) AS BIGINT) % m AS k FROM z, range(1, 10001) AS a(d), range(1, 101) AS b(q) WHERE q <= m),
+st AS (SELECT d, sum(xy) / nullif(sqrt(sum(xx) * sum(yy)), 0) AS v FROM dr JOIN sums USING (k) GROUP BY d)
+SELECT round(sum(xy) / nullif(sqrt(sum(xx) * sum(yy)), 0), 9) AS rho, count(*) AS clusters, (SELECT round(quantile_cont(v, 0.025), 9) FROM st) AS low, (SELECT round(quantile_cont(v, 0.975), 9) FROM st) AS high FROM sums""")
 def _(spark, sf_dir):
     return S.pooled_spearman(S.panel_ranks(_joined_t(spark, sf_dir), ["model", "temperature"], "mean_ttr"), "model", 10_000)
 
 
 @query("cluster_bootstrap", """WITH s AS (SELECT o_orderpriority AS g, o_custkey % 40 AS k, sum(o_totalprice) AS t, cast(count(*) AS DOUBLE) AS n FROM orders GROUP BY ALL),
 num AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS i FROM s), z AS (SELECT g, count(*) AS m FROM s GROUP BY g),
-dr AS (SELECT g, d, cast('0x' || substr(md5('7|' || d || '|' || q), 1, 8) AS BIGINT) % m AS i FROM z, range(1, 201) AS a(d), range(1, 41) AS b(q) WHERE q <= m),
+dr AS (SELECT g, d, cast('0x' || substr(md5('7|' || d || '|' || q), 1, 8) AS BIGINT) % m AS i FROM z, range(1, 2001) AS a(d), range(1, 41) AS b(q) WHERE q <= m),
 st AS (SELECT dr.g, d, sum(t) / sum(n) AS v FROM dr JOIN num ON num.g = dr.g AND num.i = dr.i GROUP BY ALL)
 SELECT g, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM st GROUP BY g""")
 def _(spark, sf_dir):
@@ -529,7 +552,11 @@ def _(spark, sf_dir):
     return b.select("g", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("permutation_p")
+@query("permutation_p", f"""WITH {COV_JOIN}, po AS (SELECT model, temperature, coverage AS x, mean_ttr AS y, row_number() OVER (PARTITION BY model, temperature ORDER BY decoder || '|' || printf('%08.3f', parameter)) AS i FROM j),
+ob AS (SELECT model, temperature, {PEARSON.format(x="x", y="y")} AS observed FROM po GROUP BY ALL),
+pk AS (SELECT model, temperature, d, y, row_number() OVER (PARTITION BY model, temperature, d ORDER BY cast('0x' || substr(md5('13|' || d || '|' || i), 1, 8) AS BIGINT), i) AS i FROM po, range(1, 10001) AS a(d)),
+pr AS (SELECT pk.model, pk.temperature, d, {PEARSON.format(x="po.x", y="pk.y")} AS r FROM pk JOIN po USING (model, temperature, i) GROUP BY ALL)
+SELECT ob.model, ob.temperature, round(observed, 9) AS observed, round((count(*) FILTER (abs(r) >= abs(observed) - 1e-12) + 1) / 10001.0, 9) AS p FROM ob JOIN pr ON pr.model = ob.model AND pr.temperature = ob.temperature GROUP BY ob.model, ob.temperature, observed""")
 def _(spark, sf_dir):
     j = _joined_t(spark, sf_dir).withColumn("o", F.concat_ws("|", "decoder", F.format_string("%08.3f", F.col("parameter"))))
     return stats.permutation_p(j, ["model", "temperature"], "o", "coverage", "mean_ttr", 10_000)
@@ -554,8 +581,9 @@ def _(spark, sf_dir):
     return R.merged(a, delta, delta.select("sample_id").distinct(), "sample_id")
 
 
-@query("replacement_match", """WITH rej AS (SELECT doc_id AS sample_id, source AS word, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents WHERE doc_id % 10 = 1),
-used AS (SELECT DISTINCT n_chars FROM documents WHERE doc_id % 10 = 2), c AS (SELECT doc_id AS candidate, source AS word, n_chars FROM documents WHERE doc_id % 10 = 3 AND n_chars NOT IN (SELECT n_chars FROM used)),
+@query("replacement_match", """WITH d AS (SELECT d.doc_id, d.source AS word, d.n_chars, l.doc_id IS NOT NULL AS labelled, coalesce(l.quality = 1 AND l.toxic = 0, false) AS accepted FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id),
+rej AS (SELECT doc_id AS sample_id, word, row_number() OVER (PARTITION BY word ORDER BY doc_id) AS turn FROM d WHERE labelled AND NOT accepted),
+c AS (SELECT doc_id AS candidate, word, n_chars FROM d WHERE NOT labelled AND n_chars NOT IN (SELECT n_chars FROM d WHERE accepted AND n_chars IS NOT NULL)),
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n_chars ORDER BY candidate) AS k FROM c) WHERE k = 1), t AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY candidate) AS turn FROM u)
 SELECT sample_id, word, candidate, n_chars FROM rej JOIN t USING (word, turn)""")
 def _(spark, sf_dir):
