@@ -350,6 +350,45 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def shared_lines(x, y):
+    n = 0
+    while n < min(len(x), len(y)) and x[n] == y[n]:
+        n += 1
+    return n
+
+
+def test_suffix_array_by_force(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [(i, "\n".join(r.choices("abcd", k=r.randint(0, 12)))) for i in range(25)] + [(40, "a\nb\n" * 9), (41, "a\nb\n" * 9), (42, "z\na\nb\na\nb")]
+    texts += [(43, "\n".join(["c"] * 17)), (44, "only\nhere"), (45, None), (None, "a\nb\nc\nd")]
+    lines = {(line_dedup.NOWHERE if d is None else d): t.split("\n") for d, t in texts if t is not None}
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    array = line_dedup.suffix_array(line_dedup.islands(df)).orderBy("number").collect()
+    everything = [x for own in lines.values() for x in own]
+    repeated = {(d, i) for d, own in lines.items() for i, x in enumerate(own) if everything.count(x) > 1}
+    assert [x.number for x in array] == list(range(len(array))) and {(x.doc, x.line) for x in array} == repeated
+    suffixes = [lines[x.doc][x.line :] for x in array]
+    assert [x.common for x in array][1:] == [shared_lines(a, b) for a, b in zip(suffixes, suffixes[1:])]
+    # The order is that of a suffix array: two suffixes share as much as the neighbours between them.
+    for a in range(0, len(array), 7):
+        for b in range(a + 1, len(array)):
+            assert shared_lines(suffixes[a], suffixes[b]) == min(x.common for x in array[a + 1 : b + 1])
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 9)  # many parts, so that what they show is carried far
+    got = {(x.doc, x.line): x.longest for x in line_dedup.earlier_runs(df).collect()}
+    for d, i in repeated:
+        earlier = [shared_lines(lines[d][i:], lines[e][j:]) for e, j in repeated if (e, j) < (d, i)]
+        assert got[d, i] == max(earlier, default=0)
+
+
+def test_line_dedup_awkward_rows(spark):
+    p, q = prose(45, 61), prose(50, 62)
+    rows = [(None, p), (1, f"{p}\nx"), (2, f"y\n{p}"), (3, q), (3, q), (3, f"{q}\nz"), (4, f"{q}\n" * 4000 + "tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("a")).withColumn("n_deleted", F.lit("b")).withColumn("mark", F.lit("c"))
+    got = sorted(((-1 if x.doc_id is None else x.doc_id), x.text, x.n_deleted) for x in line_dedup.dedup_lines(df).collect())
+    assert got == [(-1, "", 1), (1, f"{p}\nx", 0), (2, "y", 1), (3, q, 0), (3, q, 0), (3, f"{q}\nz", 0), (4, "tail", 4000)]
+    assert line_dedup.dedup_lines(df, counts=False).columns == df.columns
+
+
 def labelled_data(spark, kind):
     rows = []
     for i in range(240):
