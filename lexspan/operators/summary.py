@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspan.functions import stats
+from lexspan.functions import diversity, stats
+from lexspan.operators import coverage
 
 METRICS = ["ttr", "mtld"]
 
@@ -42,10 +43,10 @@ def outliers(rows: DataFrame, by: list[str], preview: int = 300) -> DataFrame:
     return long.withColumn("n", F.row_number().over(w)).where("n = 1").select(*by, "metric", F.col("value").alias("maximum"), "sample_id", "decoder", "parameter", F.left("text", F.lit(preview)).alias("text_preview"))
 
 
-def with_coverage(diversity: DataFrame, coverage: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
-    """diversity ⋈ coverage without untruncated rows; missing ones are dropped, or fail the query if strict."""
-    rows = diversity.where("decoder <> 'untruncated'")
-    both = rows.join(coverage.select(*keys, "coverage"), keys, "left" if strict else "inner")
+def with_coverage(rows: DataFrame, covered: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
+    """rows ⋈ covered without untruncated rows; missing ones are dropped, or fail the query if strict."""
+    rows = rows.where("decoder <> 'untruncated'")
+    both = rows.join(covered.select(*keys, "coverage"), keys, "left" if strict else "inner")
     if strict:
         both = both.withColumn("coverage", F.coalesce("coverage", F.raise_error(F.lit("a configuration has no coverage")).cast("double")))
     return both
@@ -88,9 +89,44 @@ def pooled_spearman(centred: DataFrame, cluster: str, draws: int = 0, seed: int
     return out.join(F.broadcast(ci), "g").drop("g")
 
 
-def coverage_gap(coverage: DataFrame, group: str, left: str, right: str, keys: list[str]) -> DataFrame:
+def coverage_gap(covered: DataFrame, group: str, left: str, right: str, keys: list[str]) -> DataFrame:
     """keys, best coverage of either group, and right less left."""
-    best = coverage.groupBy(group, *keys).agg(F.max("coverage").alias("c"))
+    best = covered.groupBy(group, *keys).agg(F.max("coverage").alias("c"))
     a = best.where(F.col(group) == left).select(*keys, F.col("c").alias("left_coverage"))
     b = best.where(F.col(group) == right).select(*keys, F.col("c").alias("right_coverage"))
     return a.join(b, keys).withColumn("gap", F.col("right_coverage") - F.col("left_coverage"))
+
+
+def open_generation_summary(rows: DataFrame, by: list[str], order: list[str], tokens: str) -> DataFrame:
+    """by, samples, tokens, and diversity: means over samples, and pooled over the tokens of all samples in order.
+
+    A group is the output of one run of one model, whose tokens fit in a row; MTLD has no form that sums up.
+    """
+    each = rows.select(*by, *order, F.col(tokens).alias("_t"), diversity.type_token_ratio(F.col(tokens)).alias("_r"), diversity.mtld(F.col(tokens)).alias("_m"))
+    pooled = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_t"))), lambda x: x["_t"]))
+    g = each.groupBy(*by).agg(F.count("*").alias("samples"), F.avg("_r").alias("mean_ttr"), F.avg("_m").alias("mean_mtld"), pooled.alias("_all"))
+    return g.select(
+        *by, "samples", F.size("_all").alias("tokens"), "mean_ttr", "mean_mtld", diversity.type_token_ratio(F.col("_all")).alias("pooled_ttr"),
+        diversity.mtld(F.col("_all")).alias("pooled_mtld"))
+
+
+def coverage_by_tokens(paths: DataFrame, grid: DataFrame, by: list[str], draws: int, seed: int) -> DataFrame:
+    """Coverage with an interval by redrawing words, of all contexts (n_tokens 0) and of those of each number of tokens."""
+    checked = coverage.on_grid(paths, grid).withColumn("n_tokens", F.explode(F.array(F.lit(0).cast("long"), F.col("n_tokens").cast("long"))))
+    keys = [*by, "decoder", "parameter", "n_tokens"]
+    sums = checked.groupBy(*keys, "word").agg(F.count_if("survives").cast("double").alias("covered"), F.count("*").cast("double").alias("total"))
+    share = F.col("covered") / F.col("total")
+    ends = stats.cluster_bootstrap(sums, keys, "word", ["covered", "total"], share, draws, seed)
+    whole = sums.groupBy(*keys).agg(F.sum("covered").alias("covered"), F.sum("total").alias("total")).withColumn("coverage", share)
+    return whole.join(ends, keys)
+
+
+def family(tests: DataFrame, by: list[str], p: str = "p", exclude: list[str] | None = None) -> DataFrame:
+    """Tests of one family with adjusted p and whether that is below .05; models are excluded before p is adjusted."""
+    rows = tests.where(~F.col("model").isin(exclude)) if exclude else tests
+    return stats.holm(rows, p, [], by, "p_holm").withColumn("significant", F.col("p_holm") < 0.05)
+
+
+def significance_counts(adjusted: DataFrame, by: list[str]) -> DataFrame:
+    """by, tests, significant."""
+    return adjusted.groupBy(*by).agg(F.count("*").alias("tests"), F.count_if("significant").alias("significant"))

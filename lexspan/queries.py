@@ -19,6 +19,7 @@ from lexspan.operators import audit as A
 from lexspan.operators import corpus as C
 from lexspan.operators import coverage as V
 from lexspan.operators import repair as R
+from lexspan.operators import selection as L
 from lexspan.operators import summary as S
 from lexspan.plans import grids
 
@@ -609,6 +610,182 @@ def _(spark, sf_dir):
     return R.rejection_examples(log, F.expr("quality = 1 and toxic = 0"), F.expr(REASON), 5, [F.col("doc_id")], "text", 80).select("reason", "n", "doc_id", "excerpt")
 
 
+# ---- selection and resumption --------------------------------------------------------------------
+
+SAMPLES = "sam AS (SELECT doc_id AS sample_id, coalesce(source, '') AS word, n_chars FROM documents)"
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as samples; the source is the word."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.coalesce("source", F.lit("")).alias("word"), "n_chars")
+
+
+@query("resume_skip", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def _(spark, sf_dir):
+    return L.pending(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("full_groups", f"WITH {CONTEXTS}, q AS (SELECT word, doc_id, start, row_number() OVER (PARTITION BY word ORDER BY doc_id, start) AS n FROM ctx) SELECT word, doc_id, start FROM q WHERE n <= 40 AND word IN (SELECT word FROM q WHERE n <= 40 GROUP BY word HAVING count(*) = 40)")
+def _(spark, sf_dir):
+    c = contexts(spark, sf_dir).select("word", "doc_id", "start")
+    return L.full_groups(stored.written(C.per_word(c, 40, [F.col("doc_id"), F.col("start")])), "word", 40)
+
+
+@query("in_all_temperatures", f"WITH {PATHS} SELECT sample_id FROM checked WHERE survives AND decoder = 'top_p' AND parameter = 0.9 GROUP BY sample_id HAVING count(DISTINCT temperature) = 3")
+def _(spark, sf_dir):
+    kept = V.on_grid(paths(spark, sf_dir), grids.grid(spark)).where("survives and decoder = 'top_p' and parameter = 0.9D")
+    return L.in_all(kept, "sample_id", "temperature", TEMPERATURES)
+
+
+@query("audit_with_samples", f"WITH {AUDIT}, {SAMPLES} SELECT a.sample_id, a.temperature, a.word_token_index, a.rank, a.word, s.n_chars FROM audit AS a JOIN sam AS s ON s.sample_id = a.sample_id")
+def _(spark, sf_dir):
+    a = audit(spark, sf_dir).select("sample_id", "temperature", "word_token_index", "rank", "word")
+    return L.with_samples(a, samples(spark, sf_dir))
+
+
+@query("word_metadata", f"WITH {SAMPLES}, w AS (SELECT word, min(sample_id) AS first_order, count(*) AS contexts FROM sam GROUP BY word) SELECT *, dense_rank() OVER (ORDER BY first_order) AS word_order FROM w")
+def _(spark, sf_dir):
+    return L.word_metadata(samples(spark, sf_dir), "sample_id")
+
+
+@query("first_words", f"WITH {SAMPLES}, w AS (SELECT word FROM sam GROUP BY word ORDER BY min(sample_id), word LIMIT 3) SELECT * FROM sam WHERE word IN (SELECT word FROM w)")
+def _(spark, sf_dir):
+    return L.first_words(samples(spark, sf_dir), "sample_id", 3)
+
+
+@query("select_rows", f"WITH {AUDIT} SELECT model, temperature, sample_id, word_token_index, rank FROM audit WHERE model IN ('model-0', 'model-1') AND model <> 'model-1' AND word IN (SELECT 'w' || n_nationkey FROM nation WHERE n_regionkey < 3)")
+def _(spark, sf_dir):
+    words = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.concat(F.lit("w"), "n_nationkey").alias("word"))
+    return L.select_rows(audit(spark, sf_dir), ["model-0", "model-1"], ["model-1"], words).select("model", "temperature", "sample_id", "word_token_index", "rank")
+
+
+@query("rank_band_found", "SELECT coalesce(first(n_chars ORDER BY doc_id) FILTER (n_chars IS NOT NULL AND quality_min IS NOT NULL), min(n_chars)) AS low, max(n_chars) AS high FROM (SELECT d.doc_id, n_chars, l.quality AS quality_min FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id)")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = d.select(F.col("doc_id").alias("position"), F.when(F.col("quality").isNotNull(), F.col("n_chars")).alias("rank_min"), F.lit(None).cast("long").alias("rank_max"), F.col("n_chars").alias("rank"))
+    return L.band_of(rows)
+
+
+@query("audit_identity", f"WITH {AUDIT} SELECT array_to_string(list_sort(list(DISTINCT model)), ',') AS models, count(DISTINCT sample_id) AS samples, count(DISTINCT model) = 3 AND count(DISTINCT temperature) = 3 AS valid FROM audit")
+def _(spark, sf_dir):
+    return L.audit_identity(audit(spark, sf_dir), "sample_id", 3, TEMPERATURES).select(F.array_join("models", ",").alias("models"), "samples", "valid")
+
+
+@query("word_order", f"WITH {SAMPLES} SELECT word, row_number() OVER (ORDER BY lower(word), word) AS place FROM (SELECT DISTINCT word FROM sam)")
+def _(spark, sf_dir):
+    return L.word_order(samples(spark, sf_dir).select("word").distinct())
+
+
+@query("renamed_predictions", f"""WITH {AUDIT}, x AS (SELECT sample_id, word_token_index, temperature, unnest(p) AS v, unnest(range(0, len(p))) AS id FROM audit),
+o AS (SELECT *, row_number() OVER (PARTITION BY sample_id, word_token_index, temperature ORDER BY v DESC, id) AS place FROM x)
+SELECT sample_id, word_token_index, temperature, place AS rank, id, round(v, 9) AS p FROM o WHERE place <= 5""")
+def _(spark, sf_dir):
+    a = audit(spark, sf_dir).select("sample_id", "word_token_index", "temperature", F.explode(L.renamed_predictions(F.col("top_tokens"))).alias("x"))
+    return a.select("sample_id", "word_token_index", "temperature", "x.*")
+
+
+@query("expected_samples", "SELECT least(count(*), 700) AS expected FROM documents")
+def _(spark, sf_dir):
+    return L.expected_samples(samples(spark, sf_dir), 700)
+
+
+@query("compact_extremes", f"""WITH {AUDIT} SELECT model, temperature, sample_id, max(rank) AS worst_rank, round(max(cumulative - probability), 6) AS mass_above, round(min(ratio), 6) AS min_ratio,
+round(product(probability), 6) AS path_probability, count(*) AS n_tokens FROM audit GROUP BY ALL""")
+def _(spark, sf_dir):
+    c = L.compact_extremes(audit(spark, sf_dir), ["model", "temperature", "sample_id"])
+    return c.withColumns({x: F.round(x, 6) for x in ("mass_above", "min_ratio", "path_probability")})
+
+
+@query("running_offsets", "SELECT page_id, length(html) AS size, coalesce(sum(length(html) + 1) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM pages")
+def _(spark, sf_dir):
+    return L.running_offsets(table(spark, sf_dir, "pages"), "page_id", F.length("html"))
+
+
+@query("frequency_curve", f"WITH {FREQUENCY} SELECT rank, word, count, round(log10(rank), 9) AS log_rank, round(log10(count), 9) AS log_count FROM ranked WHERE (rank - 1) % 50 = 0 OR rank = (SELECT max(rank) FROM ranked)")
+def _(spark, sf_dir):
+    curve = L.every_kth(C.ranked(frequency(spark, sf_dir)), "rank", 50)
+    return curve.select("rank", "word", "count", F.log10("rank").alias("log_rank"), F.log10("count").alias("log_count"))
+
+
+@query("repaired_prefixes", f"WITH {CONTEXTS} SELECT word, doc_id, start, prefix FROM ctx")
+def _(spark, sf_dir):
+    broken = stored.written(contexts(spark, sf_dir).select("word", "doc_id", "start"))
+    return L.repaired_prefixes(broken, table(spark, sf_dir, "documents"), CONTEXT).select("word", "doc_id", "start", "prefix")
+
+
+@query("suite_manifest", f"WITH {AUDIT}, m AS (SELECT 'model-' || r_regionkey AS model FROM region), c AS (SELECT model, count(DISTINCT sample_id) AS samples FROM audit GROUP BY model) SELECT m.model, coalesce(c.samples, 0) AS samples, coalesce(c.samples, 0) >= 84 AS complete FROM m LEFT JOIN c ON c.model = m.model")
+def _(spark, sf_dir):
+    suite = table(spark, sf_dir, "region").select(F.concat(F.lit("model-"), "r_regionkey").alias("model"))
+    return L.suite_manifest(suite, audit(spark, sf_dir), 84)
+
+
+@query("corpus_fallback", """WITH n AS (SELECT source AS word, 5 AS lack FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(*) >= 5),
+c AS (SELECT d.source AS word, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS i FROM documents AS d JOIN n ON n.word = d.source) SELECT word, doc_id FROM c WHERE i <= 5""")
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("word"), "doc_id").where("word is not null")
+    short = d.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5").select("word", F.lit(6).alias("needed"), F.lit(1).alias("found"))
+    return L.fallback(short, d, [F.col("doc_id")])
+
+
+TALK = f"talk AS (SELECT role, conv_id, turn, {TOKENS} AS tokens FROM conversations WHERE text IS NOT NULL)"
+
+
+@query("open_generation_summary", f"""WITH {TALK}, each AS (SELECT role, conv_id, turn, tokens, CASE WHEN len(tokens) > 0 THEN len(list_distinct(tokens)) / len(tokens) ELSE 0 END AS r, {mtld_sql("tokens")} AS m FROM talk),
+g AS (SELECT role, count(*) AS samples, avg(r) AS mean_ttr, avg(m) AS mean_mtld, flatten(list(tokens ORDER BY conv_id, turn)) AS tokens FROM each GROUP BY role)
+SELECT role, samples, len(tokens) AS tokens, round(mean_ttr, 9) AS mean_ttr, round(mean_mtld, 9) AS mean_mtld, round(len(list_distinct(tokens)) / len(tokens), 9) AS pooled_ttr, round({mtld_sql("tokens")}, 9) AS pooled_mtld FROM g""")
+def _(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("text is not null").withColumn("tokens", T.lexical_tokens(F.col("text")))
+    return S.open_generation_summary(c, ["role"], ["conv_id", "turn"], "tokens")
+
+
+@query("coverage_ci_by_tokens", f"""WITH {PATHS}, c AS (SELECT *, 2 + sample_id % 2 AS nt FROM checked WHERE (decoder, parameter) IN (('top_k', 20), ('top_p', cast(0.9 AS DOUBLE)), ('min_p', cast(0.05 AS DOUBLE)))),
+s AS (SELECT model, temperature, decoder, parameter, t AS n_tokens, word, cast(count(*) FILTER (survives) AS DOUBLE) AS covered, cast(count(*) AS DOUBLE) AS total FROM (SELECT *, unnest([0, nt]) AS t FROM c) GROUP BY ALL),
+num AS (SELECT *, row_number() OVER (PARTITION BY model, temperature, decoder, parameter, n_tokens ORDER BY word) - 1 AS i FROM s),
+z AS (SELECT model, temperature, decoder, parameter, n_tokens, count(*) AS m, sum(covered) AS covered, sum(total) AS total FROM s GROUP BY ALL),
+dr AS (SELECT z.* EXCLUDE (covered, total), d, cast('0x' || substr(md5('13|' || d || '|' || q), 1, 8) AS BIGINT) % m AS i FROM z, range(1, 2001) AS a(d), range(1, 101) AS b(q) WHERE q <= m),
+st AS (SELECT model, temperature, decoder, parameter, n_tokens, d, sum(covered) / sum(total) AS v FROM dr JOIN num USING (model, temperature, decoder, parameter, n_tokens, i) GROUP BY ALL),
+ci AS (SELECT model, temperature, decoder, parameter, n_tokens, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM st GROUP BY ALL)
+SELECT z.model, z.temperature, z.decoder, z.parameter, z.n_tokens, z.covered, z.total, round(z.covered / z.total, 9) AS coverage, round(low, 9) AS low, round(high, 9) AS high
+FROM z JOIN ci USING (model, temperature, decoder, parameter, n_tokens)""")
+def _(spark, sf_dir):
+    p = paths(spark, sf_dir).withColumn("n_tokens", F.expr("2 + sample_id % 2"))
+    points = grids.grid(spark, [("top_k", 20.0), ("top_p", 0.9), ("min_p", 0.05)])
+    return S.coverage_by_tokens(p, points, ["model", "temperature"], 2_000, 13)
+
+
+WORD_COUNTS = "wc AS (SELECT 'w' || (o_custkey % 20) AS word, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, 'w' || (o_custkey % 20)) AS rank FROM orders GROUP BY o_custkey % 20)"
+
+
+@query("rank_correlations", f"""WITH {PATHS}, {WORD_COUNTS}, m AS (SELECT model, temperature, word, avg(cast(survives AS INT)) AS score FROM checked GROUP BY ALL),
+j AS (SELECT model, temperature, score, cast(rank AS DOUBLE) AS r, log10(count) AS c FROM m JOIN wc USING (word)),
+v AS (SELECT model, temperature, 'rank' AS metric, score AS x, r AS y FROM j UNION ALL SELECT model, temperature, 'log_count', score, c FROM j),
+rk AS (SELECT *, {RANK.format(b="model, temperature, metric", v="x")} AS rx, {RANK.format(b="model, temperature, metric", v="y")} AS ry FROM v)
+SELECT model, temperature, metric, count(*) AS n, round({PEARSON.format(x="x", y="y")}, 9) AS pearson, round({PEARSON.format(x="rx", y="ry")}, 9) AS spearman FROM rk GROUP BY model, temperature, metric""")
+def _(spark, sf_dir):
+    checked = V.on_grid(paths(spark, sf_dir), grids.grid(spark))
+    score = checked.groupBy("model", "temperature", "word").agg(F.avg(F.col("survives").cast("int")).alias("score"))
+    counts = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("w"), F.col("o_custkey") % 20).alias("word")).agg(F.count("*").alias("count"))
+    j = score.join(C.ranked(counts), "word").where("count > 0").select("model", "temperature", "score", F.col("rank").cast("double").alias("rank"), F.log10("count").alias("log_count"))
+    return stats.correlations(j, ["model", "temperature"], "score", ["rank", "log_count"])
+
+
+FAMILY = """row_number() OVER (ORDER BY p, model, decoder, metric) AS i, count(*) OVER () AS m"""
+
+
+@query("family_without_model", f"""WITH {PAIRED}, s AS (SELECT *, {FAMILY} FROM pe WHERE model <> 'm1'), h AS (SELECT *, least(1, max((m - i + 1) * p) OVER (ORDER BY i)) AS p_holm FROM s)
+SELECT model, decoder, metric, round(p, 9) AS p, round(p_holm, 9) AS p_holm, p_holm < 0.05 AS significant FROM h""")
+def _(spark, sf_dir):
+    e = S.paired_effects(generations(spark, sf_dir), ["model"], grids.ENDPOINTS).select("model", "decoder", "metric", "p")
+    return S.family(e, ["model", "decoder", "metric"], exclude=["m1"])
+
+
+@query("significance_counts", f"""WITH {PAIRED}, s AS (SELECT *, {FAMILY} FROM pe), h AS (SELECT *, least(1, max((m - i + 1) * p) OVER (ORDER BY i)) AS p_holm FROM s)
+SELECT metric, count(*) AS tests, count(*) FILTER (p_holm < 0.05) AS significant FROM h GROUP BY metric""")
+def _(spark, sf_dir):
+    e = S.paired_effects(generations(spark, sf_dir), ["model"], grids.ENDPOINTS).select("model", "decoder", "metric", "p")
+    return S.significance_counts(S.family(e, ["model", "decoder", "metric"]), ["metric"])
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
