@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -32,6 +33,42 @@ def aligned(answers: list[bool], expected: int) -> list[bool]:
     return [*answers, *[False] * (expected - len(answers))][:expected]
 
 
+def asked(ask: Callable[[list[dict]], list[bool]], part: list[dict], tries: int, wait: float) -> list[tuple[bool, str | None]]:
+    """A judge's answers, asked again after a wait that doubles; rows are rejected only when all tries have failed."""
+    for k in range(tries):
+        try:
+            return [(x, None) for x in aligned(list(ask(part)), len(part))]
+        except Exception as e:  # noqa: BLE001 - whatever a judge raises
+            error = f"error: {type(e).__name__}"
+            if k + 1 < tries:
+                time.sleep(wait * 2**k)
+    return [(False, error)] * len(part)
+
+
+def batch_decider(ask: Callable[[list[dict]], list[bool]], batch: int = 50, tries: int = 5, wait: float = 1.0) -> Decider:
+    """Asks a judge in batches of rows, in the tasks; a batch that fails is asked again, and at last rejected."""
+    if batch < 1 or tries < 1:
+        raise ValueError("batches and tries must be 1 or more")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = frame.to_dict("records")
+            out = [x for i in range(0, len(rows), batch) for x in asked(ask, rows[i : i + batch], tries, wait)]
+            yield frame.assign(accepted=[a for a, _ in out], reason=[r for _, r in out])
+
+    def decide(candidates: DataFrame) -> DataFrame:
+        known = decisions.select(*keys, F.col("accepted").alias("_a"), *[F.col(c) if c in decisions.columns else F.lit(None).cast("string").alias(c) for c in ("reason", "note")])
+        out = candidates.join(known, keys, "left")
+        return out.withColumn("accepted", F.coalesce("_a", F.lit(False))).withColumn("reason", F.when(F.col("_a").isNull(), F.lit("omitted")).otherwise(F.col("reason"))).drop("_a")
+
+    return decide
+
+
+def aligned(answers: list[bool], expected: int) -> list[bool]:
+    """A judge's answers for a batch: missing ones are rejections, those beyond are dropped."""
+    return [*answers, *[False] * (expected - len(answers))][:expected]
+
+
 def batch_decider(ask: Callable[[list[dict]], list[bool]], batch: int = 50) -> Decider:
     """Asks a judge in batches of rows, in the tasks; a batch that fails is rejected whole."""
 

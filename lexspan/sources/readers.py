@@ -89,6 +89,35 @@ def read_books(spark: SparkSession, path: str, spanish_only: bool = True, min_wo
     return rows.where(F.size(T.words(F.col("text"))) >= min_words) if min_words else rows
 
 
+#: The columns of a web corpus.
+WEB = "text string, id string, url string, dump string, language_score double, token_count long"
+
+
+def read_web(spark: SparkSession, path: str, most: int = 0, seed: int = 13) -> DataFrame:
+    """Rows of a web corpus's Parquet shards with `shard`, their number; `most` takes so many by a random, fixed order of ids."""
+    shard = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)[^/\d]*\.parquet$", 1).try_cast("long")
+    rows = spark.read.schema(WEB).parquet(path).select("*", shard.alias("shard")).where("text is not null")
+    if not most:
+        return rows
+    # Ids are ordered alone, texts follow; the sort keeps `most` rows a task.
+    chosen = rows.select("id").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "id")), "id").limit(most)
+    return rows.join(chosen, "id", "left_semi")
+
+
+def shards_in_order(spark: SparkSession, path: str) -> list[str]:
+    """The files of a sharded table, by their numbers and then their names; a list of files is small."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path")
+    number = F.regexp_extract("path", r"(\d+)[^/\d]*\.parquet$", 1).try_cast("long")
+    return [r.path for r in files.orderBy(number.asc_nulls_last(), "path").collect()]
+
+
+def read_curve(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
+    """rank (the number of the line) and count (its last field) of a list of frequencies, up to a rank."""
+    fields = F.split(T.strip(F.col("line")), r"(?U)\s+")
+    rows = lines(spark, path).select(F.col("row").cast("long").alias("rank"), F.element_at(fields, -1).try_cast("long").alias("count"))
+    return rows.where(F.col("rank") <= most) if most else rows
+
+
 def read_audits(spark: SparkSession, *paths: str) -> DataFrame:
     """Audit rows of JSON-lines files below some paths, with their file; a missing temperature is 1."""
     rows = spark.read.schema(AUDIT).option("recursiveFileLookup", True).option("pathGlobFilter", "*audit*.jsonl*").json(list(paths))

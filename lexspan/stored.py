@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,12 +13,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; on a single machine, where unset, one beside the warehouse."""
+    """The shared folder that spark.checkpoint.dir names; where unset, a temporary one, on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-steps"
+        named = f"file://{tempfile.gettempdir()}/lexspan-steps"
     return named.rstrip("/")
 
 

@@ -9,23 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "word string, doc_id long, start int, prefix string"
+#: The places that a word has taken; as many as its quota, after which nothing more is taken.
+STATE = "docs array<long>, starts array<int>"
 
 
 def _within(quota: int):
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (seen,) = state.get if state.exists else (0,)
+        docs, starts = map(list, state.get) if state.exists else ([], [])
+        taken = set(zip(docs, starts, strict=True))
         for frame in frames:
-            new = frame.drop_duplicates(["doc_id", "start"]).sort_values(["doc_id", "start"]).head(max(0, quota - seen))
-            seen += len(new)
+            new = frame.drop_duplicates(["doc_id", "start"]).sort_values(["doc_id", "start"])
+            new = new[[p not in taken for p in zip(new["doc_id"], new["start"], strict=True)]].head(quota - len(taken))
+            taken.update(zip(new["doc_id"].tolist(), new["start"].tolist(), strict=True))
             yield new[["word", "doc_id", "start", "prefix"]]
-        state.update((seen,))
+        places = sorted(taken)
+        state.update(([int(d) for d, _ in places], [int(s) for _, s in places]))
 
     return keep
 
 
 def quota_stream(occurrences: DataFrame, quota: int) -> DataFrame:
-    """The first occurrences of each word up to a quota, over all batches; the state is a count for each word."""
-    return occurrences.groupBy("word").applyInPandasWithState(_within(quota), OUT, "seen long", "append", GroupStateTimeout.NoTimeout)
+    """The first occurrences of each word up to a quota, over all batches; a place that comes again takes none of it.
+
+    The state of a word is the places that it has taken, so it is bounded by the quota.
+    """
+    return occurrences.groupBy("word").applyInPandasWithState(_within(quota), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def collect_available(spark: SparkSession, occurrences: DataFrame, quota: int, sink: str, checkpoint: str) -> None:

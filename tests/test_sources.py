@@ -90,3 +90,44 @@ def test_quota_stream(spark, tmp_path):
     run()
     got = sorted((r.word, r.doc_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("v", 1), ("w", 1), ("w", 2), ("w", 3)]
+
+
+def test_quota_stream_counts_a_place_once(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    for i, rows in enumerate([[("a", 1, 5, "p"), ("a", 2, 5, "p")], [("a", 1, 5, "p"), ("a", 3, 1, "p"), ("a", 4, 1, "p")]]):
+        spark.createDataFrame(rows, candidates.OUT).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(candidates.OUT).parquet(folder)
+        candidates.collect_available(spark, stream, 3, str(tmp_path / "out"), str(tmp_path / "check"))
+        got = sorted((r.doc_id, r.start) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        assert got == [[(1, 5), (2, 5)], [(1, 5), (2, 5), (3, 1)]][i]
+
+
+def test_a_judge_is_asked_again():
+    calls = []
+
+    def ask(part):
+        calls.append(len(part))
+        if len(calls) < 3:
+            raise ConnectionError("later")
+        return [True] * len(part)
+
+    assert adapters.asked(ask, [{}, {}], 5, 0.0) == [(True, None)] * 2 and calls == [2, 2, 2]
+    assert adapters.asked(ask, [{}], 1, 0.0) == [(True, None)]
+    calls.clear()
+    assert adapters.asked(ask, [{}], 2, 0.0) == [(False, "error: ConnectionError")]
+
+
+def test_web_shards_and_curve(spark, tmp_path):
+    for n in (10, 2):
+        rows = [(f"text {n} {i}", f"{n}-{i}", "u", "d", 0.9, 3) for i in range(3)] + [(None, f"{n}-x", "u", "d", 0.1, 0)]
+        spark.createDataFrame(rows, readers.WEB).coalesce(1).write.parquet(str(tmp_path / f"part{n}"))
+        (file,) = (tmp_path / f"part{n}").glob("*.parquet")
+        (tmp_path / "web").mkdir(exist_ok=True)
+        file.rename(tmp_path / "web" / f"shard-{n}.parquet")
+    got = readers.read_web(spark, str(tmp_path / "web")).collect()
+    assert sorted((r.shard, r.id) for r in got) == [(n, f"{n}-{i}") for n in (2, 10) for i in range(3)]
+    some = [sorted(r.id for r in readers.read_web(spark, str(tmp_path / "web"), 4).collect()) for _ in range(2)]
+    assert len(some[0]) == 4 and some[0] == some[1]
+    assert [p.rpartition("/")[2] for p in readers.shards_in_order(spark, str(tmp_path / "web"))] == ["shard-2.parquet", "shard-10.parquet"]
+    (tmp_path / "curve.tsv").write_text("1\tthe\t900\n2\tof\t500\n3\tand\t40\n")
+    assert sorted(map(tuple, readers.read_curve(spark, str(tmp_path / "curve.tsv"), 2).collect())) == [(1, 900), (2, 500)]
