@@ -7,17 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_DEFAULT = "file:///tmp/checkpoints/lexspan"
+from lexspan.stored import shared_dir
 
 _made: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster: spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path that no other run uses; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/lexspan-{uuid.uuid4().hex}/{name}"
