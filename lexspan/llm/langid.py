@@ -30,8 +30,8 @@ from lexspan.llm.labelled import remainder
 
 BY, HELD_OUT, NONE = 3, 1, "und"
 DIMENSIONS, CLASSES, SEED = 1024, 64, 20
-#: Documents that prototypes are learned from, about.
-FIT_ROWS = 8_000
+#: Documents that prototypes are learned from, about, and of each language at least (or all it has).
+FIT_ROWS, FIT_EACH = 8_000, 200
 #: Cosines are this many times as large as the exponents of the softmax.
 SHARPNESS = 40.0
 #: Trigrams whose vectors are summed at a time.
@@ -120,19 +120,28 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return Model(languages, unit(p - p.mean(0)) if len(p) > 1 else p)
 
 
-def train(documents: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model from documents outside the held-out remainder that have a language, about `rows` of them."""
-    known = documents.where(F.col("lang").isNotNull() & (remainder("doc_id", BY) != HELD_OUT))
-    n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < int(1e6 * rows / n))
+def train(documents: DataFrame, rows: int = FIT_ROWS, each: int = FIT_EACH) -> Model:
+    """A model from documents outside the held-out remainder that have a language, about `rows` of them.
+
+    A language that is rare among these gives more than its share, so that none is left out.
+    """
+    known = documents.where(F.col("lang").isNotNull() & (remainder("doc_id", BY) != HELD_OUT)).select("doc_id", "text", "lang")
+    sizes = known.groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("size"))  # a row for each language
+    total = sum(r["size"] for r in sizes.collect())
+    share = F.greatest(F.lit(rows / max(total, 1)), F.lit(float(each)) / F.col("size"))
+    known = known.join(F.broadcast(sizes), F.col("lang") == F.col("language"))
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < 1e6 * share)
     found = known.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").collect()
     return fit([(r.text, r.lang) for r in sorted(found, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.text))])
 
 
+#: Rows of an Arrow batch that are turned into Python objects together.
+SLICE = 500
+
+
 def _labelled(model):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             found = [model.value.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 

@@ -447,6 +447,116 @@ def test_language(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_by_dense_vectors(spark):
+    """Vectors by their definition: a term for each trigram, none shared or counted together."""
+    r = random.Random(4)
+    rows = [(i, " ".join("".join(r.choices(x, k=r.randint(1, 7))) for _ in range(20)), k) for i, (k, x) in enumerate([("aa", "abcdeÉ"), ("bb", "cdefghß"), ("cc", "äöüxyz")] * 25)]
+    rows += [(90, "Abc ef-ab!  xyz\n" * 4000, "bb"), (91, "𝐀 x", "cc"), (92, "7", "aa"), (None, "abc", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("language", F.lit(1)).withColumn("size", F.lit(2))
+    letters = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.CLASSES, langid.DIMENSIONS)).astype(int)
+
+    def dense(text):
+        codes = [0]
+        for c in text:
+            k = 0 if not c.isalpha() else (lambda low: low - 96 if 97 <= low <= 122 else 27 + low % (langid.CLASSES - 27))(ord(c.lower()[0]))
+            if k or codes[-1]:
+                codes.append(k)
+        codes += [0] if codes[-1] else []
+        out = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out if len(codes) > 1 else None
+
+    sums = {k: 0 for k in ("aa", "bb", "cc")}
+    for d, t, k in rows:
+        if zlib.crc32(b"" if d is None else str(d).encode()) % 3 != 1 and dense(t) is not None:
+            sums[k] = sums[k] + dense(t) / np.linalg.norm(dense(t))
+    unit = np.array([sums[k] / np.linalg.norm(sums[k]) for k in sorted(sums)])
+    unit = unit - unit.mean(0)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = {x.doc_id: x for x in langid.identify(df).collect()}
+    for d, t, _ in rows:
+        v = dense(t)
+        if v is None:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0)
+        else:
+            cosines = unit @ v / np.linalg.norm(v)
+            share = np.exp(langid.SHARPNESS * cosines)
+            assert got[d].lang_pred == sorted(sums)[cosines.argmax()] and abs(got[d].score - share.max() / share.sum()) < 1e-4
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, "abcde fgh ij", "aa") for i in range(3000)] + [(9000 + i, "zyx wvu tsr", "bb") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, 100, 20)
+    assert model.languages == ["aa", "bb"] and model.predict("zyx tsr")[0] == "bb"
+
+
+def test_preferences_by_force():
+    r = np.random.default_rng(6)
+    better, worse = r.normal(0.4, 1, (300, 4)), r.normal(0, 1, (300, 4))
+    w = quality.bradley_terry(better, worse)
+    loss = lambda v: np.log1p(np.exp(-(better - worse) @ v)).mean() + quality.PENALTY / 2 * v @ v
+    for i in range(4):
+        for step in (1e-3, -1e-3, 0.1, -0.1):
+            moved = w.copy()
+            moved[i] += step
+            assert loss(moved) > loss(w)
+
+
+def test_scores_by_force(spark):
+    """The queries' scores are those of the sample's model on each text by itself; very long texts too."""
+    for kind, run, module in (("toxic", toxicity.toxicity, toxicity), ("quality", quality.quality, quality)):
+        rows, docs, labels = labelled_data(spark, kind)
+        texts = {i: t or "" for i, t, _ in rows}
+        sample = [(t, y) for i, t, y in rows if t and zlib.crc32(str(i).encode()) % 4 != 2]
+        model = module.fit(sample)
+        long = spark.createDataFrame([(7000, "word " * 200_000)], "doc_id long, text string")
+        got = {r.doc_id: r.score for r in run(docs.select("doc_id", "text").union(long), labels).collect()}
+        texts[7000] = "word " * 200_000
+        for i, t in texts.items():
+            assert abs(got[i] - float(model.scores([t])[0])) < 1e-9
+
+
+def test_trees_by_exhaustive_splits():
+    r = np.random.default_rng(3)
+    x, y = r.integers(0, 6, (80, 3)).astype(float), r.integers(0, 2, 80).astype(float)
+    y[x[:, 1] > 3] = 1
+    trees = toxicity.Trees(depth=2, rounds=1, leaf=2.0).fit(x, y)
+    b, p = trees._binned(x), np.full(80, y.mean())
+    g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+    ((feature, cut, value),) = trees.trees
+
+    def gain(rows, left):
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+        return part(rows & left) + part(rows & ~left) - part(rows)
+
+    def check(k, rows, depth):
+        assert abs(value[k] - trees.rate * g[rows].sum() / (h[rows].sum() + 1)) < 1e-12
+        if depth == 2:
+            return
+        options = {(j, c): gain(rows, b[:, j] <= c) for j in range(3) for c in range(trees.bins)
+                   if (rows & (b[:, j] <= c)).sum() >= 2 and (rows & (b[:, j] > c)).sum() >= 2}
+        if feature[k] >= 0:
+            assert abs(options[feature[k], cut[k]] - max(options.values())) < 1e-9
+            left = b[:, feature[k]] <= cut[k]
+            check(2 * k, rows & left, depth + 1)
+            check(2 * k + 1, rows & ~left, depth + 1)
+        else:
+            assert max(options.values(), default=0) <= 1e-6
+
+    check(1, np.ones(80, bool), 0)
+
+
+def test_isotonic_by_force():
+    for i in range(50):
+        r = np.random.default_rng(i)
+        raw, y = np.sort(r.normal(size=12)), r.integers(0, 2, 12).astype(float)
+        # The best non-decreasing fit is the largest, over beginnings, of the least mean up to an end.
+        best = [max(min(y[a : b + 1].mean() for b in range(k, 12)) for a in range(k + 1)) for k in range(12)]
+        assert np.allclose(np.interp(raw, *toxicity.isotonic(raw, y)), best)
+
+
 PAGE = """<html><head><title>T t</title></head><body><div id="cookie-notice">We use cookies accept</div><header class="site-header"><a href=/>Site name</a></header>
 <div class="menu"><ul><li><a>Home</a><li><a>About us now</a></ul></div><div class="content"><h1>Big  title</h1><p>First para with words &amp; more words here to read.<p>Second one&nbsp;is here <b>bold</b> and <a href=x>a link</a>, fine.
 <div class="ad-box">Buy now cheap</div><form><label>Name</label><input></form><ul><li>item one<li>item two</ul><p>End.</div>
