@@ -91,59 +91,60 @@ def islands(documents: DataFrame) -> DataFrame:
     return run.select(*DOC, "line", "n_lines", "words", "id", F.min("line").over(w).alias("begin"), (F.max("line").over(w) + 1).alias("end"))
 
 
-def _before(rows: DataFrame, order: list[str], size: str) -> DataFrame:
-    """`rows` with `before`: the sum of `size` over all rows that stand before in the order, summed range by range."""
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """`rows` with `number`, their place in a total order, from 0: the place in a sorted range and the sizes of the ranges before."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     dealt = scratch.written(dealt, "sorted")
-    sizes = dealt.groupBy("part").agg(F.sum(size).alias("all"))
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    sizes = F.broadcast(sizes.select("part", F.coalesce(F.sum("all").over(w), F.lit(0)).alias("earlier")))
-    own = F.sum(size).over(Window.partitionBy("part").orderBy(*order)) - F.col(size)
-    return dealt.withColumn("own", own).join(sizes, "part").withColumn("before", F.col("own") + F.col("earlier")).drop("part", "own", "earlier")
+    part = F.shiftright("at", 33)
+    before, total = [], 0
+    for r in sorted(dealt.groupBy(part.alias("part")).count().collect(), key=lambda r: r["part"]):  # a row for each range
+        before.append((r["part"], total))
+        total += r["count"]
+    table = F.broadcast(rows.sparkSession.createDataFrame(before, "part long, earlier long"))
+    number = F.col("earlier") + F.col("at").bitwiseAND((1 << 33) - 1)
+    return dealt.join(table, part == F.col("part")).withColumn("number", number).drop("at", "part", "earlier")
 
 
-def ranked(places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(places with rank, parted): ranks among suffixes of one id, and (id, rank, lines) of ranks that a round has made.
+def ranked(places: DataFrame) -> DataFrame:
+    """places with rank, among suffixes of one id, alike, how many have that rank, and lines.
 
-    Suffixes of a rank that a round has made share `lines` lines with those of the rank before, but not twice as many.
+    Suffixes share `lines` lines with those of the rank before theirs, but not twice as many.
     """
-    spark = places.sparkSession
     alike = places.groupBy("id").agg(F.count("*").alias("alike"))
-    state = scratch.written(places.join(alike, "id").withColumn("rank", F.lit(0).cast("long")), "ranks")
-    parted = spark.createDataFrame([], "id binary, rank long, lines int")
+    state = places.join(alike, "id").withColumn("rank", F.lit(0).cast("long")).withColumn("lines", F.lit(0))
+    state = scratch.written(state, "ranks")
     width, key = 1, ["id", "rank", "next_id", "next_rank"]
+    # Behind an island stands a line that is nowhere else, with a name of its own, or the end of the text.
+    only = F.concat_ws(":", F.lit("only"), *[F.col(c).cast("string") for c in (*DOC, "end")])
+    name = F.when(F.col("end") < F.col("n_lines"), only).otherwise(F.lit("")).cast("binary")
+    w = Window.partitionBy(*DOC, "begin").orderBy("line")
     while True:
         # A suffix is done when it is alone, or equal to others up to the ends of their documents.
         going = (F.col("alike") > 1) & (F.col("line") + width <= F.col("end"))
-        act = state.where(going).withColumn("at", F.col("line") + width)
+        ahead = state.withColumn("next_id", F.coalesce(F.lead("id", width).over(w), name))
+        ahead = ahead.withColumn("next_rank", F.coalesce(F.lead("rank", width).over(w), F.lit(0).cast("long")))
+        act = scratch.written(ahead.where(going).drop("alike"), "going")
         if act.isEmpty():
-            return state, parted
-        ahead = state.select(*DOC, F.col("line").alias("at"), F.col("id").alias("next_id"), F.col("rank").alias("next_rank"))
-        act = act.join(ahead, [*DOC, "at"], "left")
-        # Behind an island stands a line that is nowhere else, with a name of its own, or the end of the text.
-        own = F.when(F.col("end") < F.col("n_lines"), F.concat_ws(":", F.lit("only"), *[F.col(c).cast("string") for c in (*DOC, "end")])).otherwise(F.lit("")).cast("binary")
-        act = act.withColumn("next_id", F.coalesce("next_id", own)).withColumn("next_rank", F.coalesce("next_rank", F.lit(0).cast("long")))
-        act = scratch.written(act.drop("at"), "going")
-        pairs = _before(act.groupBy(*key).agg(F.count("*").alias("alike")), key, "alike")
-        first = pairs.groupBy("id", "rank").agg(F.min("before").alias("first"))
-        pairs = pairs.join(first, ["id", "rank"]).withColumn("more", F.col("before") - F.col("first")).drop("before", "first")
-        pairs = scratch.written(pairs, "pairs")
-        new = act.drop("alike").join(pairs, key).withColumn("rank", F.col("rank") + F.col("more"))
-        parted = parted.union(pairs.where("more > 0").select("id", (F.col("rank") + F.col("more")).alias("rank"), F.lit(width).alias("lines")))
-        rest = state.where(~going)
-        state = scratch.written(rest.unionByName(new.select(rest.columns)), "ranks")
+            return state
+        # A new rank is the old one and the number of suffixes of that which come before.
+        act = _numbered(act, [*key, *DOC, "line"])
+        pairs = act.groupBy(*key).agg(F.count("*").alias("alike"), F.min("number").alias("start"))
+        first = pairs.groupBy("id", "rank").agg(F.min("start").alias("first"))
+        pairs = pairs.join(first, ["id", "rank"]).select(*key, "alike", (F.col("start") - F.col("first")).alias("more"))
+        new = act.join(pairs, key)
+        new = new.withColumn("rank", F.col("rank") + F.col("more")).withColumn("lines", F.when(F.col("more") > 0, width).otherwise(F.col("lines")))
+        state = scratch.written(state.where(~going).unionByName(new.select(state.columns)), "ranks")
         width *= 2
 
 
 def suffix_array(places: DataFrame) -> DataFrame:
     """Places in the order of their suffixes: number (from 0), and common, the lines shared with the one before."""
-    state, parted = ranked(places)
     order = ["id", "rank", *DOC]  # suffixes of one rank are equal to their ends
-    array = scratch.written(_before(state.withColumn("one", F.lit(1)), order, "one").drop("one", "alike").withColumnRenamed("before", "number"), "array")
+    array = scratch.written(_numbered(ranked(places).drop("alike"), order), "array")
     last = array.select((F.col("number") + 1).alias("number"), *[F.col(c).alias(f"last_{c}") for c in ("id", "rank", *DOC, "line", "begin", "end")])
     # Of suffixes of one id: the place of the one before, and how many lines they share at least.
-    both = array.join(last, "number").where(F.col("id") == F.col("last_id")).join(parted, ["id", "rank"], "left")
+    both = array.join(last, "number").where(F.col("id") == F.col("last_id"))
     equal = F.col("rank") == F.col("last_rank")
     both = both.withColumn("common", F.when(equal, F.col("end") - F.col("line")))
     # Where the lines before are the same too, so are the neighbours before: one line more is shared there.
