@@ -60,3 +60,19 @@ def test_stages(spark, folder, tmp_path):
         assert sorted((r.doc_id, r.text or "") for r in docs.collect()) == sorted((d, t or "") for d, t in rows)
     packed = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r.doc_id, r.piece, r.length) for r in packed) == sorted((d, 0, len(ids_of(BYTES, t)) + 1) for d, t in rows)
+
+
+def test_stages_of_empty_tables_and_of_columns_with_clashing_names(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = {c: F.lit(f"{c}!") for c in ("doc", "mark", "part", "line", "n_lines", "n_deleted", "kept", "id", "n", "w", "item_id", "component_id", "score")}
+    few = docs.where("doc_id in (1, 2, 200, 300, 360, 361)").withColumns(extra)
+    few.write.parquet(f"{tmp_path}/few")
+    few = spark.read.parquet(f"{tmp_path}/few")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+        out = stage(spark, few, folder)
+        rows = out.collect()
+        assert out.columns == few.columns and all(r["mark"] == "mark!" and r["n_lines"] == "n_lines!" for r in rows)
+        assert {1, 2, 200, 360, 361} <= {r.doc_id for r in rows} <= {1, 2, 200, 300, 360, 361}, name
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, docs.limit(0), folder).count() == 0 and pack(spark, few, folder).count() == few.count()
