@@ -81,7 +81,7 @@ def token_offsets(corpus: DataFrame, key: str = "doc_id", text: str = "text") ->
 def _in_targets(token: Column, words: list[str]) -> Column:
     """The target word that a token stands for, or null: as it is, else without marks at its end."""
     first, second = T.match_keys(token)
-    return F.when(first.isin(words), first).when(token.rlike(T.END_MARKS) & second.isin(words), second)
+    return F.when(first.isin(words), first).when(F.right(token, F.lit(1)).isin(*T.END_MARKS) & second.isin(words), second)
 
 
 def occurrences(corpus: DataFrame, targets: DataFrame, context: int, key: str = "doc_id", text: str = "text", lowercase_only: bool = False) -> DataFrame:
