@@ -4,9 +4,9 @@ A document is the sequence of the ids of its lines: their 128-bit hashes. Lines
 end every repeated run, so that only the islands of repeated lines between them take part; an island
 ends with an id of its own, or with the end of its document.
 
-Suffixes get their ranks by prefix doubling: those of one rank agree in their first 2^k lines, and each
-round sorts them, as far as they aren't alone yet, by their rank and that of the place 2^k lines on; a
-new rank is the number of suffixes of the same first line that come before. The suffix array is the
+Suffixes get their ranks by prefix doubling, two doublings a round: those of one rank agree in their
+first k lines, and each round sorts them, as far as they aren't alone yet, by their rank and those of
+the places k, 2k and 3k lines on; a new rank is the number of suffixes of the same first line that come before. The suffix array is the
 order by first line and rank. Longest common prefixes of neighbours come from the round that parted
 them, which gives them to a factor of two, and from comparing what is left; a suffix whose line before
 is that of its neighbour too takes one less than the suffix before it, without a comparison.
@@ -42,8 +42,10 @@ MIN_WORDS = 40
 BROADCAST_ROWS = 200_000
 #: Rows of an Arrow batch that are turned into Python objects together.
 SLICE = 500
-#: Suffixes that a task scans at a time.
-PART_ROWS = 200_000
+#: By how much a round prolongs the prefixes that suffixes are sorted by: two doublings at once.
+GROWTH = 4
+#: Suffixes that a task sorts and scans at a time.
+PART_ROWS = 50_000
 #: The place of rows without a doc_id.
 NOWHERE = (1 << 63) - 1
 
@@ -91,10 +93,14 @@ def islands(documents: DataFrame) -> DataFrame:
     return run.select(*DOC, "line", "n_lines", "words", "id", F.min("line").over(w).alias("begin"), (F.max("line").over(w) + 1).alias("end"))
 
 
+def _parts(rows: DataFrame) -> int:
+    """How many ranges a written table is dealt to; few for a small one, whose tasks and files cost more than its rows."""
+    return rows.count() // PART_ROWS + 1
+
+
 def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """`rows` with `number`, their place in a total order, from 0: the place in a sorted range and the sizes of the ranges before."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(_parts(rows), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     dealt = scratch.written(dealt, "sorted")
     part = F.shiftright("at", 33)
     before, total = [], 0
@@ -109,12 +115,13 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 def ranked(places: DataFrame) -> DataFrame:
     """places with rank, among suffixes of one id, alike, how many have that rank, and lines.
 
-    Suffixes share `lines` lines with those of the rank before theirs, but not twice as many.
+    Suffixes share `lines` lines with those of the rank before theirs, but not GROWTH times as many.
     """
-    alike = places.groupBy("id").agg(F.count("*").alias("alike"))
+    alike = _small(scratch.written(places.groupBy("id").agg(F.count("*").alias("alike")), "alike"))
     state = places.join(alike, "id").withColumn("rank", F.lit(0).cast("long")).withColumn("lines", F.lit(0))
     state = scratch.written(state, "ranks")
-    width, key = 1, ["id", "rank", "next_id", "next_rank"]
+    width, steps = 1, range(1, GROWTH)
+    key = ["id", "rank", *[f"{c}_{k}" for k in steps for c in ("id", "rank")]]
     # Behind an island stands a line that is nowhere else, with a name of its own, or the end of the text.
     only = F.concat_ws(":", F.lit("only"), *[F.col(c).cast("string") for c in (*DOC, "end")])
     name = F.when(F.col("end") < F.col("n_lines"), only).otherwise(F.lit("")).cast("binary")
@@ -122,9 +129,9 @@ def ranked(places: DataFrame) -> DataFrame:
     while True:
         # A suffix is done when it is alone, or equal to others up to the ends of their documents.
         going = (F.col("alike") > 1) & (F.col("line") + width <= F.col("end"))
-        ahead = state.withColumn("next_id", F.coalesce(F.lead("id", width).over(w), name))
-        ahead = ahead.withColumn("next_rank", F.coalesce(F.lead("rank", width).over(w), F.lit(0).cast("long")))
-        act = scratch.written(ahead.where(going).drop("alike"), "going")
+        ahead = {f"id_{k}": F.coalesce(F.lead("id", k * width).over(w), F.when(F.col("line") + k * width == F.col("end"), name).otherwise(F.lit(b""))) for k in steps}
+        ahead |= {f"rank_{k}": F.coalesce(F.lead("rank", k * width).over(w), F.lit(0).cast("long")) for k in steps}
+        act = scratch.written(state.withColumns(ahead).where(going).drop("alike"), "going")
         if act.isEmpty():
             return state
         # A new rank is the old one and the number of suffixes of that which come before.
@@ -132,10 +139,10 @@ def ranked(places: DataFrame) -> DataFrame:
         pairs = act.groupBy(*key).agg(F.count("*").alias("alike"), F.min("number").alias("start"))
         first = pairs.groupBy("id", "rank").agg(F.min("start").alias("first"))
         pairs = pairs.join(first, ["id", "rank"]).select(*key, "alike", (F.col("start") - F.col("first")).alias("more"))
-        new = act.join(pairs, key)
+        new = act.join(_small(scratch.written(pairs, "pairs")), key)  # written, so that a hot pair's rows can be split
         new = new.withColumn("rank", F.col("rank") + F.col("more")).withColumn("lines", F.when(F.col("more") > 0, width).otherwise(F.col("lines")))
         state = scratch.written(state.where(~going).unionByName(new.select(state.columns)), "ranks")
-        width *= 2
+        width *= GROWTH
 
 
 def suffix_array(places: DataFrame) -> DataFrame:
@@ -154,7 +161,7 @@ def suffix_array(places: DataFrame) -> DataFrame:
     open_ = both.where(~F.col("follows") & F.col("common").isNull())
     ids = array.groupBy(*DOC, "begin").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "id"))), lambda x: x["id"]).alias("ids"))
     ids = scratch.written(ids, "ids")
-    rest = F.least(F.col("lines"), F.col("end") - F.col("line") - F.col("lines"), F.col("last_end") - F.col("last_line") - F.col("lines"))
+    rest = F.least(F.col("lines") * (GROWTH - 1), F.col("end") - F.col("line") - F.col("lines"), F.col("last_end") - F.col("last_line") - F.col("lines"))
     cut = lambda line, begin: F.slice("ids", F.col(line) - F.col(begin) + F.col("lines") + 1, F.greatest(rest, F.lit(0)))
     one = open_.join(ids, [*DOC, "begin"]).withColumn("here", cut("line", "begin")).drop("ids")
     other = ids.select(*[F.col(c).alias(f"last_{c}") for c in (*DOC, "begin")], "ids")
@@ -297,7 +304,7 @@ def earlier_runs(documents: DataFrame) -> DataFrame:
     """(doc, mark, line, n_lines, words, longest): for each place the longest run of lines from there that stands earlier too."""
     spark = documents.sparkSession
     array = scratch.written(suffix_array(scratch.written(islands(documents), "islands")), "common")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), array.count() // PART_ROWS + 1)
+    n = _parts(array)
     dealt = array.repartitionByRange(n, "number").sortWithinPartitions("number").withColumn("part", F.spark_partition_id())
     dealt = scratch.written(dealt, "parts")
     # Both passes have the same parts; what a part shows is bounded by the lines of the longest run.
