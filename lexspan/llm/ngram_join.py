@@ -22,8 +22,9 @@ already connected.
 
 Cases: null and empty texts have an empty set, size 0, and are their own component; repeated rows
 each get a row, in one component if not empty (rows of one id but different texts count as one node
-that has all their sets); an empty table gives an empty result; other columns
-are ignored.
+that has all their sets); rows without a doc_id have the component of equal sets with one, else null, and
+link nothing; a very long text is one set; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -50,10 +51,10 @@ SLOTS, BLOCKS = 1 << 20, 32
 ROUNDS, PIVOTS = 3, 4
 #: Parts of a common token's postings.
 SALTS = 16
-#: Classes to compare are broadcast up to this many rows (16 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
-#: Postings and sets that a task may hold.
-POSTINGS, SETS = 400_000, 1_000
+#: Classes to compare are broadcast up to this many rows (up to 100 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 200_000
+#: Postings and sets that a task may hold, and partners of a set that it is compared with in one part.
+POSTINGS, SETS, PARTNERS = 400_000, 1_000, 500
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _ASCII = bytes.maketrans(UPPER, LOWER)
@@ -273,16 +274,27 @@ def _compared(ranks):
     return compare
 
 
+def dealt(pairs: DataFrame, parts: int) -> DataFrame:
+    """(part, a, b): pairs dealt to parts by `a`, those of an `a` with very many partners to several by `b`."""
+    many = scratch.written(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS), "hubs")
+    many = many.select(F.col("a").alias("hub"), F.ceil(F.col("n") / PARTNERS).alias("salts"))
+    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+    out = pairs.join(many, F.col("a") == F.col("hub"), "left")
+    salt = F.when(F.col("salts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("b"), F.col("salts")))
+    return out.select(F.pmod(F.xxhash64("a", salt), F.lit(parts)).cast("int").alias("part"), "a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, ranks) -> DataFrame:
     """Those of the pairs (a, b) whose sets link. A part holds the sets of its pairs, each once."""
-    ends = scratch.written(pairs.select(F.col("a").alias("rep"), "a").union(pairs.select("b", "a")), "ends")
-    n_sets = ends.select("rep").distinct().count()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    n_sets = ids.distinct().count()
     parts = max(1, -(-n_sets // SETS))
-    part = F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int")
-    need = scratch.written(ends.groupBy("rep").agg(F.collect_set(part).alias("parts")), "needed")
+    pairs = scratch.written(dealt(pairs, parts), "dealt")
+    ends = pairs.select("part", F.explode(F.array("a", "b")).alias("rep"))
+    need = scratch.written(ends.groupBy("rep").agg(F.collect_set("part").alias("parts")), "needed")
     need = F.broadcast(need) if n_sets <= BROADCAST_ROWS else need
     sets = texts.join(need, F.col("doc_id") == F.col("rep")).select("rep", "text", "parts").mapInArrow(_set_rows, "part int, a long, b long, tokens binary")
-    rows = sets.union(pairs.select(part, "a", "b", F.lit(None).cast("binary")))
+    rows = sets.union(pairs.select("part", "a", "b", F.lit(None).cast("binary")))
     rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("b").isNotNull())
     return rows.mapInArrow(_compared(ranks), "a long, b long")
 
@@ -378,7 +390,10 @@ def _without(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """`documents` with one row of each component: that of its smallest doc_id, and once where ids repeat."""
+    """`documents` with one row of each component: that of its smallest doc_id, and once where ids repeat.
+
+    Rows without a doc_id stay.
+    """
     joined = scratch.written(ngram_join(documents), "components")
     out = _without(documents, joined.where("component_id <> doc_id"))
     key, turn = scratch.fresh("repeated"), scratch.fresh("turn")
