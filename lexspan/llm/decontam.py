@@ -16,7 +16,9 @@ saves hashing windows that hold no fingerprint of any item.
 
 Cases: null or empty texts have no words and no hits; a document of fewer than 10 words can still be
 hit by a short item; repeated rows each get their own result; an empty benchmark leaves every
-document clean; an empty document table gives an empty result; other columns are ignored.
+document clean; an empty document table gives an empty result; a null doc_id is kept, and rows of one
+doc_id, or without one, go together where contaminated ones go; a very long text is one array of words;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

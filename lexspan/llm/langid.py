@@ -13,7 +13,8 @@ The score is the largest term of a softmax over the cosines, 0 to 1.
 
 Cases: a null text, or one without a letter, is `und` with score 0; so is every text where no
 language can be learned; equal cosines take the first language by name; repeated rows get equal
-results; an empty table gives an empty result; other columns are ignored; whole texts are read.
+results; a null doc_id is kept and counts as the empty text for held_out; very long texts are read whole;
+an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

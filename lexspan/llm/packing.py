@@ -279,9 +279,9 @@ SLICE = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(tokenizer: str, end_id: int, capacity: int):
+def _cut(tokenizer: str, end_id: int, capacity: int, cache_parts: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer)
+        encoder = tokens.encoder(tokenizer, cache_parts)
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -296,10 +296,10 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
     return cut
 
 
-def pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, cache_parts: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of all pieces of all documents."""
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_cut(tokenizer, end_id, capacity), PIECES)
+    return rows.mapInArrow(_cut(tokenizer, end_id, capacity, cache_parts), PIECES)
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -328,10 +328,10 @@ def places(runs: list[Run]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def best_fit_pack(documents: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; a row for each piece."""
+def best_fit_pack(documents: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, cache_parts: int = 0) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; a row for each piece. cache_parts: words whose ids a worker keeps."""
     spark = documents.sparkSession
-    cut = scratch.written(pieces(documents, tokenizer, end_id, capacity), "pieces")
+    cut = scratch.written(pieces(documents, tokenizer, end_id, capacity, cache_parts), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in cut.groupBy("length").count().collect():  # a row for each length up to the capacity
         counts[r["length"]] = r["count"]

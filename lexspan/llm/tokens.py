@@ -64,9 +64,11 @@ class _Parts(dict):
 class Encoder:
     """Encodes texts by a tokenizer file of the `tokenizers` library, without special tokens."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, parts: int = 0):
         from tokenizers import Tokenizer
 
+        parts = parts or CACHE_PARTS
+
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -76,11 +78,11 @@ class Encoder:
         # A tokenizer that drops white space yields nothing for a space, and parts need no glue.
         self.drops_space = not len(self._ids(" \n "))
         if self.drops_space:
-            self.words = _Parts(self._ids, spaced=False, share=CACHE_PARTS)
+            self.words = _Parts(self._ids, spaced=False, share=parts)
             self.lowers = all(self._ids(chr(c)) == self._ids(chr(c + 32)) for c in range(ord("A"), ord("Z") + 1))
         else:
-            few = CACHE_PARTS // 8  # only the first part of each line has no space before it
-            self.first, self.rest = _Parts(self._ids, share=few), _Parts(self._ids, glue=" ", share=CACHE_PARTS - few)
+            few = parts // 8  # only the first part of each line has no space before it
+            self.first, self.rest = _Parts(self._ids, share=few), _Parts(self._ids, glue=" ", share=parts - few)
             self.newline = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
@@ -106,6 +108,6 @@ class Encoder:
 
 
 @functools.cache
-def encoder(file: str) -> Encoder:
-    """One encoder, with its cache, for each worker and file."""
-    return Encoder(file)
+def encoder(file: str, parts: int = 0) -> Encoder:
+    """One encoder, with its cache of `parts` (CACHE_PARTS if 0), for each worker and file."""
+    return Encoder(file, parts)

@@ -9,8 +9,9 @@ a second-person word nearby, capitals, punctuation, and how many words are obfus
 within letters), also those that turn out to be lexicon words when read plainly.
 
 Cases: null and empty texts have zeros for features and get the score of such; without labelled rows
-of both kinds every score is the share of toxic ones (0 without any); repeated rows get equal scores;
-an empty table gives an empty result; other columns are ignored; whole texts are read.
+of both kinds every score is the share of toxic ones (0 without any); repeated rows get equal scores; a null
+doc_id is kept and counts as the empty text for held_out; very long texts are read whole; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
