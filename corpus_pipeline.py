@@ -15,6 +15,10 @@ from lexspan.llm import decontam, line_dedup, ngram_join, packing, scratch, toxi
 from lexspan.llm.queries import tokenizer_file
 
 
+#: Words whose ids a worker keeps: fewer than alone, as workers live on and so hold them through other stages.
+CACHED_WORDS = 150_000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, with their places in sequences."""
-    return packing.best_fit_pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return packing.best_fit_pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=2, cache_parts=CACHED_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
