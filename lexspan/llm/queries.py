@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import decontam, html_extract, jpeg_media, langid, line_dedup, ngram_join, packing, quality, token_records, toxicity
+from lexspan.llm import (
+    decontam, divergence, filter_audit, html_extract, jpeg_media, langid, line_dedup, ngram_join, online_packing, packing, quality, token_records, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_online_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    tokenizer = tokenizer or tokenizer_file("word_bpe_49k.json")
+    return online_packing.placed(online_packing.online_pack(_table(spark, sf_dir, "documents"), tokenizer, end_id=1, keep_ids=False))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -74,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_html_extraction": op9_html_extraction,
         "op10_line_dedup": op10_line_dedup,
+        "op11_online_packing": op11_online_packing,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_filter_interactions": op13_filter_interactions,
     }
 
 
@@ -82,4 +99,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op5_benchmark_decontamination": decontam.ORACLE_SQL,
         "op10_line_dedup": line_dedup.ORACLE_SQL,
+        "op12_source_divergence": divergence.ORACLE_SQL,
+        "op13_filter_interactions": filter_audit.ORACLE_SQL,
     }

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexspan.stored import shared_dir
 
+#: Estimates from here on are of plans whose size Spark doesn't know.
+UNKNOWN = 1 << 50
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -46,6 +49,13 @@ def release(df: DataFrame) -> None:
     drop(df.sparkSession, df._scratch_path)
 
 
+def parts(df: DataFrame, size: int) -> int:
+    """How many parts of `size` bytes the rows make, as Spark estimates them, but no fewer than shuffle partitions."""
+    n_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-n_bytes // size)) if n_bytes < UNKNOWN else least
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

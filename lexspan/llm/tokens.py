@@ -3,13 +3,16 @@
 A text is cut where the tokenizer itself can't join: at single spaces and line ends between other
 characters, and between letters and the punctuation behind them. The ids of the parts don't depend on
 each other, so they are looked up in a cache, and only unseen parts go to the tokenizer. A text with
-other white space, or with the content of one of the tokenizer's added tokens, goes to it whole. The
-ids are those of encoding the text at once; the tests hold both against each other.
+other white space, or with the content of one of the tokenizer's added tokens, in its own spelling or
+once it is in lower case, goes to it whole. Letters are parted from punctuation only where they are
+`PLAIN`, letters that stay letters whatever a tokenizer's normaliser does. The ids are those of
+encoding the text at once; the tests hold both against each other.
 """
 
 from __future__ import annotations
 
 import functools
+import unicodedata
 from array import array
 
 import numpy as np
@@ -24,6 +27,16 @@ LONGEST = 64
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _stays(c: str) -> bool:
+    """Whether a letter stays one letter in composed form and lower case."""
+    small = unicodedata.normalize("NFC", c).lower()
+    return c.isalpha() and len(small) == 1 and small.isalpha()
+
+
+#: The letters of Latin alphabets, without such as I with a dot, which becomes a letter and a mark.
+PLAIN = frozenset(c for c in map(chr, range(0x250)) if _stays(c))
+
+
 class _Irregular(Exception):
     """A part that can't be encoded by itself."""
 
@@ -41,7 +54,7 @@ class _Parts(dict):
             if self.spaced and part.split() != [part]:
                 raise _Irregular
             letters = part.rstrip(SIGNS)
-            if letters != part and letters.isalpha():
+            if letters and letters != part and PLAIN.issuperset(letters):
                 ids = self[letters] + self._tail(part[len(letters) :])
             else:
                 ids = self.encode(self.glue + part)
@@ -90,13 +103,17 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
-        return np.frombuffer(self._ids(text) if any(t in text for t in self.added) else self._joined(text), self.dtype)
+        return np.frombuffer(self._ids(text) if self._holds_added(text) else self._joined(text), self.dtype)
+
+    def _holds_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
 
     def _joined(self, text: str) -> bytes:
         if self.drops_space:
-            if self.lowers and text.isascii():
-                text = text.lower()
-            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+            small = text.lower() if self.lowers and text.isascii() else text
+            if small is not text and self._holds_added(small):
+                return self._ids(text)  # in lower case it would be the added token, which it isn't
+            return b"".join(map(self.words.__getitem__, small.replace("\n", " ").split(" ")))
         try:
             return self.newline.join(map(self._line, text.split("\n")))
         except _Irregular:
