@@ -7,12 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def average_rank(value: Column | str, by: list[str]) -> Column:
-    """Rank within a group; equal values share the mean of their ranks."""
-    value = F.col(value) if isinstance(value, str) else value
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+from lexspan import ordered, stored
 
 
 def pearson(x: Column | str, y: Column | str) -> Column:
@@ -21,20 +16,27 @@ def pearson(x: Column | str, y: Column | str) -> Column:
 
 
 def correlations(df: DataFrame, by: list[str], x: str, ys: list[str]) -> DataFrame:
-    """by, metric, n, pearson, spearman of x with each of several columns."""
-    long = df.select(*by, F.col(x).cast("double").alias("x"), F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("y")) for c in ys])).alias("m"))
-    long = long.select(*by, "x", "m.metric", "m.y").where("x is not null and y is not null")
+    """by, metric, n, pearson, spearman of x with each of several columns, over rows that have both.
+
+    Spearman is Pearson over average ranks, which come from the distinct values of each side.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("y")) for c in ys])).alias("m")
+    long = df.select(*by, F.col(x).cast("double").alias("x"), each).select(*by, "x", "m.metric", "m.y").where("x is not null and y is not null")
     keys = [*by, "metric"]
-    ranked = long.withColumn("rx", average_rank("x", keys)).withColumn("ry", average_rank("y", keys))
+    long = stored.written(long)  # read for the ranks of either side, and for the sums
+    ranked = ordered.joined(long, ordered.distinct_ranks(long, keys, "x").select(*keys, "x", F.col("rank").alias("rx")), [*keys, "x"])
+    ranked = ordered.joined(ranked, ordered.distinct_ranks(long, keys, "y").select(*keys, "y", F.col("rank").alias("ry")), [*keys, "y"])
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), pearson("x", "y").alias("pearson"), pearson("rx", "ry").alias("spearman"))
 
 
 def holm(df: DataFrame, p: str, family: list[str], order: list[str], name: str) -> DataFrame:
-    """Holm's adjusted p-values over a family of tests."""
-    w = Window.partitionBy(*(family or [F.lit(1)])).orderBy(F.col(p), *order)
-    m = F.count("*").over(Window.partitionBy(*(family or [F.lit(1)])))
-    stepped = df.withColumn("_s", (m - F.row_number().over(w) + 1) * F.col(p))
-    return stepped.withColumn(name, F.least(F.lit(1.0), F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
+    """Holm's adjusted p-values over a family of tests of any size: a running maximum of p times the tests that are left."""
+    sizes = df.groupBy(*family).agg(F.count("*").alias("_m"))
+    rows = ordered.running(ordered.sorted_rows(df, family, [p, *order]), family, F.lit(1).cast("long"), "_i", inclusive=False)
+    rows = ordered.joined(rows, sizes, family) if family else rows.crossJoin(F.broadcast(sizes))  # one row
+    rows = rows.withColumn("_s", (F.col("_m") - F.col("_i")) * F.col(p))
+    stepped = ordered.running(rows, family, F.col("_s"), "_top", "max")
+    return ordered.plain(stepped.withColumn(name, F.least(F.lit(1.0), F.col("_top"))).drop("_s", "_i", "_m", "_top"))
 
 
 def interval(mean: Column, sd: Column, n: Column, sign: int) -> Column:
@@ -50,13 +52,15 @@ def wilcoxon(df: DataFrame, by: list[str], difference: str) -> DataFrame:
     """
     d = df.select(*by, F.col(difference).alias("d"))
     zeros = d.groupBy(*by).agg(F.count("*").alias("pairs"), F.count_if(F.col("d") == 0).alias("zeros"))
-    rest = d.where("d <> 0").withColumn("a", F.abs("d"))
-    ranked = rest.withColumn("r", average_rank("a", by)).withColumn("t", F.count("*").over(Window.partitionBy(*by, "a")))
+    # Ranks are of distinct sizes, so sums of them need no rows.
+    sizes = d.where("d <> 0").groupBy(*by, F.abs("d").alias("a")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+    upto = ordered.running(ordered.sorted_rows(sizes, by, ["a"]), by, F.col("t"), "upto")
+    ranked = ordered.plain(upto).withColumn("r", F.col("upto") - (F.col("t") - 1) / 2.0)
+    t = F.col("t").cast("double")
     sums = ranked.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("minus"),
-        F.sum((F.col("t") * F.col("t") - 1).cast("double")).alias("ties"))
+        F.sum("t").alias("n"), F.sum(F.col("r") * F.col("up")).alias("plus"), F.sum(F.col("r") * (F.col("t") - F.col("up"))).alias("minus"), F.sum(t * (t * t - 1)).alias("ties"))
     n = F.col("n")
-    out = zeros.join(sums, by, "left").withColumn("statistic", F.coalesce(F.least("plus", "minus"), F.lit(0.0)))
+    out = ordered.joined(zeros, sums, by, "left").withColumn("statistic", F.coalesce(F.least("plus", "minus"), F.lit(0.0)))
     variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
     z = F.abs(F.col("statistic") - n * (n + 1) / 4.0) / F.sqrt(variance)
     exact = (F.col("zeros") == 0) & (F.col("ties") == 0) & (n <= 50)

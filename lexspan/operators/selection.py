@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspan import ordered
 from lexspan.functions import text as T
 from lexspan.operators import corpus
 
@@ -45,7 +46,9 @@ def with_samples(audit: DataFrame, samples: DataFrame, key: str = "sample_id") -
 def word_metadata(samples: DataFrame, order: str) -> DataFrame:
     """word, first_order, contexts, word_order: words in the order in which they are first seen, with their samples."""
     words = samples.groupBy("word").agg(F.min(order).alias("first_order"), F.count("*").alias("contexts"))
-    return words.withColumn("word_order", F.dense_rank().over(Window.orderBy("first_order")))  # a row for each word of a sample
+    firsts = ordered.distinct_ranks(words, [], "first_order")  # words that come first together share a place
+    places = ordered.running(ordered.sorted_rows(firsts.select("first_order"), [], ["first_order"]), [], F.lit(1).cast("long"), "word_order")
+    return ordered.joined(words, ordered.plain(places), ["first_order"], "left")
 
 
 def first_words(samples: DataFrame, order: str, most: int) -> DataFrame:
@@ -82,7 +85,8 @@ def audit_identity(audit: DataFrame, key: str, models: int, temperatures: Sequen
 
 def word_order(words: DataFrame) -> DataFrame:
     """words with their place by lower case, then as they stand."""
-    return words.withColumn("place", F.row_number().over(Window.orderBy(F.lower("word"), "word")))  # words of a sample
+    rows = ordered.sorted_rows(words, [], [F.lower("word"), "word"])
+    return ordered.plain(ordered.running(rows, [], F.lit(1).cast("long"), "place"))
 
 
 def renamed_predictions(predictions: Column) -> Column:
@@ -108,9 +112,8 @@ def compact_extremes(audit: DataFrame, keys: list[str]) -> DataFrame:
 
 def running_offsets(files: DataFrame, path: str, size: Column) -> DataFrame:
     """files with `offset`: where each begins if all stand one behind the other in order of their paths, a sign between."""
-    w = Window.orderBy(path).rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    sizes = files.select(path, size.alias("_size"))
-    return sizes.withColumn("offset", F.coalesce(F.sum(F.col("_size") + 1).over(w), F.lit(0))).select(path, F.col("_size").alias("size"), "offset")
+    rows = ordered.sorted_rows(files.select(path, size.cast("long").alias("size")), [], [path])
+    return ordered.plain(ordered.running(rows, [], F.col("size") + 1, "offset", inclusive=False))
 
 
 def every_kth(ranked: DataFrame, rank: str, stride: int) -> DataFrame:

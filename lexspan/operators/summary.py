@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspan import ordered, stored
 from lexspan.functions import diversity, stats
-from lexspan.operators import coverage
+from lexspan.operators import coverage, pooled
 
 METRICS = ["ttr", "mtld"]
 
@@ -17,8 +18,10 @@ def generation_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     aggs = [F.count("*").alias("contexts"), F.count_if(done).alias("completed")]
     for m in METRICS:
         v = F.when(done, F.col(m))
-        aggs += [F.avg(v).alias(f"mean_{m}"), F.median(v).alias(f"median_{m}"), F.stddev_pop(v).alias(f"sd_{m}")]
-    out = rows.groupBy(*by).agg(*aggs).withColumn("completion_rate", F.col("completed") / F.col("contexts"))
+        aggs += [F.avg(v).alias(f"mean_{m}"), F.stddev_pop(v).alias(f"sd_{m}")]
+    rows = stored.written(rows.select(*by, "reached", *METRICS))  # for sums, and twice for medians
+    middle = ordered.medians(rows.where("reached"), by, METRICS)
+    out = ordered.joined(rows.groupBy(*by).agg(*aggs), middle, by, "left").withColumn("completion_rate", F.col("completed") / F.col("contexts"))
     for m in METRICS:
         for c in ("mean", "median", "sd"):
             out = out.withColumn(f"{c}_{m}", F.coalesce(f"{c}_{m}", F.lit(0.0)))
@@ -36,11 +39,18 @@ def completion_summary(summary: DataFrame, by: list[str]) -> DataFrame:
 
 
 def outliers(rows: DataFrame, by: list[str], preview: int = 300) -> DataFrame:
-    """by, metric, maximum and its row among completed rows; ties go to the smallest sample and parameter."""
-    long = rows.where("reached").withColumn("m", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])))
-    long = long.select("*", "m.metric", "m.value")
-    w = Window.partitionBy(*by, "metric").orderBy(F.col("value").desc(), "sample_id", "decoder", "parameter")
-    return long.withColumn("n", F.row_number().over(w)).where("n = 1").select(*by, "metric", F.col("value").alias("maximum"), "sample_id", "decoder", "parameter", F.left("text", F.lit(preview)).alias("text_preview"))
+    """by, metric, maximum and its row among completed rows; ties go to the smallest sample, decoder and parameter.
+
+    Of each group one struct is kept; texts are fetched by key for these few rows only.
+    """
+    own = ["sample_id", "decoder", "parameter"]
+    long = rows.where("reached").select(*by, *own, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])).alias("m"))
+    best = F.min_by(F.struct(F.col("m.value").alias("maximum"), *own), F.struct(-F.col("m.value"), *own)).alias("best")
+    found = long.groupBy(*by, F.col("m.metric").alias("metric")).agg(best).select(*by, "metric", "best.*")
+    found = stored.small(found)
+    wanted = ordered.joined(rows.where("reached").select(*by, *own, "text"), found.select(*by, *own), [*by, *own], "left_semi")
+    texts = wanted.groupBy(*by, *own).agg(F.min(F.left("text", F.lit(preview))).alias("text_preview"))
+    return ordered.joined(found, texts, [*by, *own], "left")
 
 
 def with_coverage(rows: DataFrame, covered: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
@@ -67,15 +77,18 @@ def paired_effects(rows: DataFrame, by: list[str], endpoints: list[tuple[str, fl
     pairs = pick("lo").join(pick("hi"), [*by, "sample_id", "decoder"])
     long = pairs.select(*by, "decoder", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"hi_{m}") - F.col(f"lo_{m}")).alias("d")) for m in METRICS])).alias("m")).select(*by, "decoder", "m.metric", "m.d")
     keys = [*by, "decoder", "metric"]
-    means = long.groupBy(*keys).agg(F.avg("d").alias("mean_difference"), F.median("d").alias("median_difference"))
-    return means.join(stats.wilcoxon(long, keys, "d"), keys)
+    long = stored.written(long)
+    means = ordered.joined(long.groupBy(*keys).agg(F.avg("d").alias("mean_difference")), ordered.medians(long, keys, ["d"]), keys)
+    return ordered.joined(means.withColumnRenamed("median_d", "median_difference"), stats.wilcoxon(long, keys, "d"), keys)
 
 
 def panel_ranks(joined: DataFrame, panel: list[str], metric: str) -> DataFrame:
     """panel, x, y: ranks of coverage and a metric within a panel, less the panel's mean."""
-    ranked = joined.withColumn("rx", stats.average_rank("coverage", panel)).withColumn("ry", stats.average_rank(metric, panel))
-    w = Window.partitionBy(*panel)
-    return ranked.select(*panel, (F.col("rx") - F.avg("rx").over(w)).alias("x"), (F.col("ry") - F.avg("ry").over(w)).alias("y"))
+    joined = stored.written(joined.select(*panel, "coverage", metric))
+    ranked = ordered.with_average_rank(ordered.with_average_rank(joined, panel, "coverage", "rx"), panel, metric, "ry")
+    means = joined.groupBy(*panel).agg(((F.count("*") + 1) / 2.0).alias("mean"))  # of ranks 1 to n
+    ranked = ordered.joined(ranked, means, panel)
+    return ranked.select(*panel, (F.col("rx") - F.col("mean")).alias("x"), (F.col("ry") - F.col("mean")).alias("y"))
 
 
 def pooled_spearman(centred: DataFrame, cluster: str, draws: int = 0, seed: int = 10298) -> DataFrame:
@@ -98,16 +111,11 @@ def coverage_gap(covered: DataFrame, group: str, left: str, right: str, keys: li
 
 
 def open_generation_summary(rows: DataFrame, by: list[str], order: list[str], tokens: str) -> DataFrame:
-    """by, samples, tokens, and diversity: means over samples, and pooled over the tokens of all samples in order.
-
-    A group is the output of one run of one model, whose tokens fit in a row; MTLD has no form that sums up.
-    """
-    each = rows.select(*by, *order, F.col(tokens).alias("_t"), diversity.type_token_ratio(F.col(tokens)).alias("_r"), diversity.mtld(F.col(tokens)).alias("_m"))
-    pooled = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_t"))), lambda x: x["_t"]))
-    g = each.groupBy(*by).agg(F.count("*").alias("samples"), F.avg("_r").alias("mean_ttr"), F.avg("_m").alias("mean_mtld"), pooled.alias("_all"))
-    return g.select(
-        *by, "samples", F.size("_all").alias("tokens"), "mean_ttr", "mean_mtld", diversity.type_token_ratio(F.col("_all")).alias("pooled_ttr"),
-        diversity.mtld(F.col("_all")).alias("pooled_mtld"))
+    """by, samples, tokens, and diversity: means over samples, and pooled over the tokens of all samples in order."""
+    t = F.col(tokens)
+    each = rows.select(*by, diversity.type_token_ratio(t).alias("_r"), diversity.mtld(t).alias("_m"))
+    means = each.groupBy(*by).agg(F.count("*").alias("samples"), F.avg("_r").alias("mean_ttr"), F.avg("_m").alias("mean_mtld"))
+    return ordered.joined(means, pooled.pooled_diversity(rows, by, order, tokens), by)
 
 
 def coverage_by_tokens(paths: DataFrame, grid: DataFrame, by: list[str], draws: int, seed: int) -> DataFrame:

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Tables of up to so many rows are broadcast.
+BROADCAST_ROWS = 100_000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -36,6 +39,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, written, and to be broadcast where it has few rows."""
+    rows = written(df)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt to all cores where its files make fewer tasks than there are cores (small inputs only)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexspan import ordered
 from lexspan.functions import diversity, stats
 from lexspan.functions import text as T
 from lexspan.operators import corpus, repair
@@ -53,7 +54,7 @@ def test_ranked_without_one_task(spark):
 
 def test_average_ranks_and_correlations(spark):
     df = spark.createDataFrame([("g", float(x), float(-x)) for x in (10, 20, 20, 40)], "g string, x double, y double")
-    assert sorted(r.r for r in df.select(stats.average_rank("x", ["g"]).alias("r")).collect()) == [1, 2.5, 2.5, 4]
+    assert sorted(r.r for r in ordered.with_average_rank(df, ["g"], "x", "r").collect()) == [1, 2.5, 2.5, 4]
     r = stats.correlations(df, ["g"], "x", ["y"]).first()
     assert r.spearman == pytest.approx(-1) and r.pearson == pytest.approx(-1)
     flat = spark.createDataFrame([("g", 1.0, 1.0), ("g", 1.0, 2.0)], "g string, x double, y double")
