@@ -48,6 +48,8 @@ PARTIAL_ROWS = 300_000
 PAIRS = 1_000_000
 #: Bytes of documents for each shard.
 SHARD_BYTES = 32 << 20
+#: Parts in which a group's candidates for the ranking are ranked first.
+RANKING_PARTS = 32
 #: Groups are broadcast up to this many.
 BROADCAST_ROWS = 200_000
 
@@ -176,7 +178,10 @@ def source_divergence(documents: DataFrame, least: int = LEAST_DOCUMENTS, top: i
     both = shown.where("part = 'pair'")
     both = both.select("lang", "source", "item", "value").union(both.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
     pairs = both.union(_alone(kept, groups, small)).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    found = pairs.withColumn("part", F.lit("pair")).unionByName(shown.where("part = 'term'"))
+    # What shards ranked first is ranked again in a few parts of a group, so that no group's candidates meet at once.
+    share = Window.partitionBy("lang", "source", F.pmod(F.xxhash64("item"), F.lit(RANKING_PARTS))).orderBy(F.col("value").desc(), "item")
+    terms = shown.where("part = 'term'").withColumn("own", F.row_number().over(share)).where(F.col("own") <= top).drop("own")
+    found = pairs.withColumn("part", F.lit("pair")).unionByName(terms)
     w = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item")
     ranked = found.withColumn("rank", F.row_number().over(w)).where((F.col("part") == "pair") | (F.col("rank") <= top))
     return ranked.select("lang", "source", "part", "item", "value", "rank")
