@@ -4,7 +4,8 @@ A text is cut where the tokenizer itself can't join: at single spaces and line e
 characters, and between letters and the punctuation behind them. The ids of the parts don't depend on
 each other, so they are looked up in a cache, and only unseen parts go to the tokenizer. A text with
 other white space, or with the content of one of the tokenizer's added tokens, in its own spelling or
-once it is in lower case, goes to it whole. Letters are parted from punctuation only where they are
+once it is in lower case, goes to it whole. Words of ASCII letters, which no normaliser or pattern can
+cut, go to the tokenizer's model alone. Letters are parted from punctuation only where they are
 `PLAIN`, letters that stay letters whatever a tokenizer's normaliser does. The ids are those of
 encoding the text at once; the tests hold both against each other.
 """
@@ -37,6 +38,11 @@ def _stays(c: str) -> bool:
 PLAIN = frozenset(c for c in map(chr, range(0x250)) if _stays(c))
 
 
+#: How byte-level tokenizers write a space, and words by which the model is tried.
+SPACE = "\u0120"
+PROBES = ["a", "Z", "the", "Word", "QUICKLY", "zyxwvutsr", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "thndatinbleble"]
+
+
 class _Irregular(Exception):
     """A part that can't be encoded by itself."""
 
@@ -44,9 +50,9 @@ class _Irregular(Exception):
 class _Parts(dict):
     """Ids of parts, as bytes. glue stands before each part in its text."""
 
-    def __init__(self, encode, glue: str = "", spaced: bool = True, share: int = 0):
+    def __init__(self, encode, glue: str = "", spaced: bool = True, share: int = 0, word=None):
         super().__init__()
-        self.encode, self.glue, self.spaced, self.share, self.older, self.tails = encode, glue, spaced, share, {}, {}
+        self.word, self.encode, self.glue, self.spaced, self.share, self.older, self.tails = word, encode, glue, spaced, share, {}, {}
 
     def __missing__(self, part: str) -> bytes:
         ids = self.older.pop(part, None)
@@ -54,7 +60,9 @@ class _Parts(dict):
             if self.spaced and part.split() != [part]:
                 raise _Irregular
             letters = part.rstrip(SIGNS)
-            if letters and letters != part and PLAIN.issuperset(letters):
+            if self.word is not None and part.isascii() and part.isalpha():
+                ids = self.word(part)
+            elif letters and letters != part and PLAIN.issuperset(letters):
                 ids = self[letters] + self._tail(part[len(letters) :])
             else:
                 ids = self.encode(self.glue + part)
@@ -91,13 +99,24 @@ class Encoder:
         # A tokenizer that drops white space yields nothing for a space, and parts need no glue.
         self.drops_space = not len(self._ids(" \n "))
         if self.drops_space:
-            self.words = _Parts(self._ids, spaced=False, share=parts)
             self.lowers = all(self._ids(chr(c)) == self._ids(chr(c + 32)) for c in range(ord("A"), ord("Z") + 1))
+            self.words = _Parts(self._ids, spaced=False, share=parts, word=self._direct("", self.lowers))
         else:
             few = parts // 8  # only the first part of each line has no space before it
-            self.first, self.rest = _Parts(self._ids, share=few), _Parts(self._ids, glue=" ", share=parts - few)
+            self.first = _Parts(self._ids, share=few, word=self._direct("", False))
+            self.rest = _Parts(self._ids, glue=" ", share=parts - few, word=self._direct(" ", False))
             self.newline = self._ids("\n")
 
+    def _direct(self, glue: str, lowers: bool):
+        """Ids of a word of ASCII letters by the model alone, or None where that is not what the tokenizer gives."""
+        tokenize, code = self.tokenizer.model.tokenize, self.code
+        before = SPACE if glue else ""
+
+        def word(letters: str) -> bytes:
+            return array(code, [t.id for t in tokenize(before + (letters.lower() if lowers else letters))]).tobytes()
+
+        return word if all(word(x) == self._ids(glue + x) for x in PROBES) else None
+
     def _ids(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
