@@ -7,16 +7,19 @@ Two such sets of sizes n and m share, under any total order of tokens, one of th
 n - ceil(0.8 n) + 1 tokens of the one and of the other, and k of them if each prefix is k - 1 tokens
 longer; here k is an eighth of the smaller set. Orders put tokens of many documents last and are
 random otherwise. Candidates come from a join on the prefix tokens of the first order. A set that
-shares too few of these with all others together is out; pairs whose prefixes under the second and
-third order share too few are dropped before their sets are compared. Equal sets are one class from
-the start.
+shares too few of these with all others together is out. Each set also has three small bitmaps, of its
+prefixes under the three orders; bits that one prefix has and the other lacks bound from above what
+both share, so that a pair goes on only if it can share enough under every order. What is left after
+all three filters is verified: its sets are fetched, their prefixes intersected, and compared. Equal
+sets are one class from the start.
 
 How common a token is comes from one count table of fixed size over all documents (each token counts
 in one slot); any table gives a right order, a good one keeps common passages out of prefixes.
 
 Pairs are not listed within a group of sets that share a token. First each set meets a few pivots of
-its groups; what proves linked is merged, and only pairs between different components are listed
-then, so that large groups of near copies cost a few pairs for each member. No link between
+its groups; what proves linked is merged, until a round merges few sets, and only pairs between
+different components are listed then, so that large groups of near copies cost a few pairs for each
+member. No link between
 components can be missed: any two linked sets share a prefix token, and are compared unless they are
 already connected.
 
@@ -34,8 +37,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.llm import scratch
@@ -47,14 +51,18 @@ ORDERS = 3
 MARGIN = 8
 #: Slots of the count table, and rows that it is sent in.
 SLOTS, BLOCKS = 1 << 20, 32
-#: Rounds of pivots before pairs between components are listed, and pivots that a group can have.
+#: Most rounds of pivots before pairs between components are listed, and pivots that a group can have.
 ROUNDS, PIVOTS = 3, 4
+#: Rounds of pivots end when one links less than this share of the sets.
+FEW_LINKS = 0.02
+#: Bits of a prefix's bitmap for each of its tokens, at least.
+BITS = 4
 #: Parts of a common token's postings.
 SALTS = 16
 #: Classes to compare are broadcast up to this many rows (up to 100 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
-#: Postings and sets that a task may hold, and partners of a set that it is compared with in one part.
-POSTINGS, SETS, PARTNERS = 400_000, 1_000, 500
+#: Postings that a task may hold, bytes of sets in a part (as many as its pairs at most), and partners of a set in one part.
+POSTINGS, SET_BYTES, PAIR_BYTES, PARTNERS = 400_000, 8 << 20, 64 << 20, 500
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _ASCII = bytes.maketrans(UPPER, LOWER)
@@ -115,6 +123,45 @@ def levels(n: int, p: int) -> np.ndarray:
     return (at < n - (8 * n + 8) // 9 + 1).astype(np.int32) + (at < n - least_common(n) + 1)
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each token of a prefix, in a power of two of 64-bit words; halves laid together give the shorter bitmap."""
+    words = 1 << max(0, (len(tokens) * BITS - 1).bit_length() - 6)
+    at = mix(tokens, 29) & np.uint64(words * 64 - 1)
+    out = np.zeros(words, np.uint64)
+    # The word is given by the low bits of its number, so that the first half of the words comes first.
+    np.bitwise_or.at(out, (at % np.uint64(words)).astype(np.int64), np.uint64(1) << (at // np.uint64(words)) % np.uint64(64))
+    return out
+
+
+def sketches(tokens: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The bitmaps of a set's prefixes under all orders, one behind the other, of one length."""
+    return np.concatenate([bitmap(prefix(tokens, ranks, k)) for k in range(ORDERS)])
+
+
+def may_share(a: Column, b: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m tokens with these sketches can share enough prefix tokens under every order."""
+    least = lambda x: F.greatest(F.lit(1), F.floor(x / MARGIN))
+    size = lambda x: x - F.floor((4 * x + 4) / 5) + least(x)
+    words = F.least(F.size(a), F.size(b)) / ORDERS  # of each order, in the shorter sketch
+
+    def folded(s: Column, k: int) -> Column:
+        own = (F.size(s) / ORDERS).cast("int")
+        cut = F.slice(s, own * k + 1, own)
+        half = (own / 2).cast("int")
+        both = F.zip_with(F.slice(cut, F.lit(1), half), F.slice(cut, half + 1, half), lambda x, y: x.bitwiseOR(y))
+        return F.when(own <= words, cut).when(own == 2 * words, both)  # null where sizes differ more: no test
+
+    def apart(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, c: s + c)
+
+    enough = F.least(least(n), least(m))
+    tests = F.lit(True)
+    for k in range(ORDERS):
+        x, y = folded(a, k), folded(b, k)
+        tests = tests & F.coalesce((size(n) - apart(x, y) >= enough) & (size(m) - apart(y, x) >= enough), F.lit(True))
+    return tests
+
+
 #: Documents that are hashed at a time.
 SLICE = 1_000
 
@@ -127,6 +174,8 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
+_WORDS = pa.list_(pa.int64())
+SHARED = ["token", "digest", "size", "sketch"]
 SIGNED = "doc_id long, n int, digest long, block int, counts binary"
 
 
@@ -176,15 +225,15 @@ def commonness(signed: DataFrame) -> np.ndarray:
     return ranks.astype(np.uint8)
 
 
-#: size: four times the size of the set, plus the level of the token's place.
-POSTED = "token long, salt int, digest long, size int"
+#: size: four times the size of the set, plus the level of the token's place. A set's sketches stand in a row without token.
+POSTED = "token long, salt int, digest long, size int, sketch array<long>"
 
 
 def _postings(ranks):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in _slices(batches):
-            tokens, digests, sizes = [], [], []
+            tokens, digests, sizes, own = [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
                 digest = xxhash.xxh3_64_intdigest(s.tobytes())
@@ -196,18 +245,29 @@ def _postings(ranks):
                 tokens.append(first)
                 digests.append(np.full(len(first), digest ^ (1 << 63), np.uint64))
                 sizes.append(len(s) * 4 + levels(len(s), len(first)))
+                own.append((digest ^ (1 << 63), len(s) * 4, sketches(s, ranks.value).view(np.int64)))
             if tokens:
                 t, d = np.concatenate(tokens), np.concatenate(digests)
                 common = ranks.value[(t >> np.uint64(44)).astype(np.int64)] > 0
                 salt = np.where(common, (d % np.uint64(SALTS)).astype(np.int32), -1).astype(np.int32)
-                yield _batch({"token": (t.view(np.int64), pa.int64()), "salt": (salt, pa.int32()), "digest": (d.view(np.int64), pa.int64()), "size": (np.concatenate(sizes).astype(np.int32), pa.int32())})
+                yield _batch({"token": (t.view(np.int64), pa.int64()), "salt": (salt, pa.int32()), "digest": (d.view(np.int64), pa.int64()), "size": (np.concatenate(sizes).astype(np.int32), pa.int32()), "sketch": ([None] * len(t), _WORDS)})
+                digest, size, sketch = zip(*own, strict=True)
+                digest, nothing = np.array(digest, np.uint64).view(np.int64), [None] * len(own)
+                yield _batch({"token": (nothing, pa.int64()), "salt": ([int(d % SALTS) for d in digest], pa.int32()), "digest": (digest, pa.int64()), "size": (size, pa.int32()), "sketch": (list(sketch), _WORDS)})
 
     return post
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of tokens that more than one set has; of salted tokens all, each once."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()) for b in batches]
+    """The postings of tokens that more than one set has; of salted tokens all, each once; and the sketches."""
+    parts = []
+    for b in batches:
+        is_sketch = b.column(4).is_valid()
+        own = b.filter(is_sketch)
+        if own.num_rows:
+            yield own.select(SHARED)
+        rest = b.filter(pc.invert(is_sketch))
+        parts.append([rest.column(i).to_numpy() for i in range(4)])
     if not parts:
         return
     token, salt, digest, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -221,7 +281,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     more = np.append(same, False) | np.append([False], same) | (salt >= 0)
     for i in range(0, int(more.sum()), 1 << 17):
         part = np.flatnonzero(more)[i : i + (1 << 17)]
-        yield _batch({"token": (token[part], pa.int64()), "digest": (digest[part], pa.int64()), "size": (n[part], pa.int32())})
+        yield _batch({"token": (token[part], pa.int64()), "digest": (digest[part], pa.int64()), "size": (n[part], pa.int32()), "sketch": ([None] * len(part), _WORDS)})
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,22 +298,25 @@ def _compared(ranks):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows of the same id but different texts are one node that has all their sets.
         sets: dict[int, list[np.ndarray]] = {}
-        firsts: dict[tuple[int, int, int], frozenset] = {}
+        firsts: dict[tuple[int, int, int], np.ndarray] = {}
         part = None
 
-        def first(x: int, i: int, order: int) -> frozenset:
+        def first(x: int, i: int, order: int) -> np.ndarray:
             if (x, i, order) not in firsts:
-                firsts[x, i, order] = frozenset(prefix(sets[x][i], ranks.value, order).tolist())
+                firsts[x, i, order] = np.sort(prefix(sets[x][i], ranks.value, order))
             return firsts[x, i, order]
 
+        def common(x: np.ndarray, y: np.ndarray) -> int:
+            at = np.searchsorted(x, y)
+            at[at == len(x)] = 0
+            return int((x[at] == y).sum())
+
         def linked(a: int, i: int, b: int, j: int) -> bool:
             x, y = sets[a][i], sets[b][j]
             least = min(margin(len(x)), margin(len(y)))
-            if any(len(first(a, i, k) & first(b, j, k)) < least for k in range(ORDERS)):
+            if any(common(first(a, i, k), first(b, j, k)) < least for k in range(ORDERS)):
                 return False
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            return links(len(x), len(y), int((x[at] == y).sum()))
+            return links(len(x), len(y), common(x, y))
 
         for batch in batches:
             out = []
@@ -284,12 +347,13 @@ def dealt(pairs: DataFrame, parts: int) -> DataFrame:
     return out.select(F.pmod(F.xxhash64("a", salt), F.lit(parts)).cast("int").alias("part"), "a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, ranks) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link. A part holds the sets of its pairs, each once."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-    n_sets = ids.distinct().count()
-    parts = max(1, -(-n_sets // SETS))
-    pairs = scratch.written(dealt(pairs, parts), "dealt")
+def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, ranks) -> DataFrame:
+    """Those of the pairs (a, b, big) whose sets link. A part holds the sets of its pairs, each once, in bounded bytes."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    n_sets, tokens = ids.join(sizes, "rep").agg(F.count("*"), F.sum("n")).first()
+    of_pairs = pairs.agg(F.sum("big")).first()[0] or 0
+    parts = max(1, -(-8 * (tokens or 0) // SET_BYTES), -(-8 * of_pairs // PAIR_BYTES))
+    pairs = scratch.written(dealt(pairs.select("a", "b"), parts), "dealt")
     ends = pairs.select("part", F.explode(F.array("a", "b")).alias("rep"))
     need = scratch.written(ends.groupBy("rep").agg(F.collect_set("part").alias("parts")), "needed")
     need = F.broadcast(need) if n_sets <= BROADCAST_ROWS else need
@@ -310,9 +374,9 @@ def link_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     n_posted = signed.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_posted) // 3 // POSTINGS + 1)
-    posted = texts.select("text").mapInArrow(_postings(ranks), POSTED).repartition(tasks, "token", "salt")
-    written = scratch.written(posted.mapInArrow(_shared, "token long, digest long, size int"), "shared")
-    shared = written.select("token", "digest", F.shiftright("size", 2).alias("n"), (F.col("size") % 4).alias("level"))
+    posted = texts.select("text").mapInArrow(_postings(ranks), POSTED).repartition(tasks, F.coalesce("token", "digest"), "salt")
+    written = scratch.written(posted.mapInArrow(_shared, "token long, digest long, size int, sketch array<long>"), "shared")
+    shared = written.where("token is not null").select("token", "digest", F.shiftright("size", 2).alias("n"), (F.col("size") % 4).alias("level"))
     # A set that shares fewer prefix tokens than any partner would need has none.
     smallest = F.floor((4 * F.col("n") + 4) / 5)
     enough = shared.groupBy("digest", "n").count().where(F.col("count") >= F.greatest(F.lit(1), F.floor(smallest / MARGIN)))
@@ -321,10 +385,20 @@ def link_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     enough = scratch.written(enough, "enough")
     here = F.broadcast(enough) if enough.count() <= BROADCAST_ROWS else enough
     active = scratch.written(shared.join(here, ["digest", "n"]).select("token", "rep", "n", "level", "central"), "active")
+    # Sets of equal size and digest are one class, so any of their sketches will do; classes may have one rep if ids repeat.
+    own = written.where("sketch is not null").select("digest", F.shiftright("size", 2).alias("n"), "sketch").dropDuplicates(["digest", "n"])
+    own = scratch.written(own.join(here, ["digest", "n"]).select("rep", "n", "sketch"), "sketches")
     scratch.release(written)
+    repeated = own.groupBy("rep").agg(F.count("*").alias("k"), F.max("n").alias("most"))
+    sizes = scratch.written(repeated.select("rep", F.col("most").alias("n"), (F.col("k") > 1).alias("several")), "sizes")
+    # A rep that stands for several sets is not tested by sketches.
+    tested = own.join(sizes.where("not several").select("rep"), "rep")
+    n_reps = sizes.count()
 
-    linked, labels = None, spark.createDataFrame([], "id long, comp long")
+    linked, labels, enough_pivots = None, spark.createDataFrame([], "id long, comp long"), False
     for turn in range(ROUNDS + 1):
+        if enough_pivots and turn < ROUNDS:
+            continue
         posts = active.join(labels, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", "level", "central", F.coalesce("comp", "rep").alias("comp"))
         # Pivots are the most central sets first, then any; many tokens of a group agree on them.
         turn_order = F.struct((-F.col("central") if turn % 2 == 0 else F.lit(0.0)).alias("c"), F.xxhash64(F.lit(turn), F.pmod("token", F.lit(PIVOTS)), "rep").alias("h"))
@@ -345,18 +419,30 @@ def link_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             met = open_posts.where("level = 2").join(other, "token").where((F.col("comp") != F.col("c")) & smaller & fits("m"))
         # Rounds of pivots only merge what is quick to find, so they ask for more than one common token;
         # the last round leaves nothing out.
-        met = met.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), F.least("n", "m").alias("n"))
-        pairs = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("n").alias("n"))
+        met = met.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("big"))
+        pairs = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("n").alias("n"), F.max("big").alias("big"))
         pairs = pairs.where(F.col("common") >= F.greatest(F.lit(1), F.floor(F.col("n") / (4 * MARGIN)) if turn < ROUNDS else F.lit(1)))
-        pairs = scratch.written(pairs.select("a", "b"), "pairs")
+        pairs = scratch.written(filtered(pairs.select("a", "b", "big"), tested), "pairs")
         if pairs.isEmpty():
             continue  # pivots that fit no other set leave pairs to later rounds
-        new = scratch.written(verified(pairs, texts, ranks), "links")
-        linked = new if linked is None else linked.union(new)
-        labels = components(linked)
+        new = scratch.written(verified(pairs, sizes, texts, ranks), "links")
+        scratch.release(pairs)
+        n_new = new.count()
+        enough_pivots = n_new <= FEW_LINKS * n_reps
+        if n_new:
+            linked = new if linked is None else linked.union(new)
+            labels = components(linked)
     return signed, labels
 
 
+def filtered(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs that can share enough prefix tokens under every order."""
+    side = lambda c, n, s: tested.select(F.col("rep").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
+    both = pairs.join(side("a", "n_a", "s_a"), "a", "left").join(side("b", "n_b", "s_b"), "b", "left")
+    can = F.coalesce(may_share(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b")), F.lit(True))
+    return both.where(can).select("a", "b", "big")
+
+
 def ngram_join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id; a row for each document."""
     signed, labels = link_classes(documents)
