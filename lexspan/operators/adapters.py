@@ -56,33 +56,6 @@ def batch_decider(ask: Callable[[list[dict]], list[bool]], batch: int = 50, trie
             out = [x for i in range(0, len(rows), batch) for x in asked(ask, rows[i : i + batch], tries, wait)]
             yield frame.assign(accepted=[a for a, _ in out], reason=[r for _, r in out])
 
-    def decide(candidates: DataFrame) -> DataFrame:
-        known = decisions.select(*keys, F.col("accepted").alias("_a"), *[F.col(c) if c in decisions.columns else F.lit(None).cast("string").alias(c) for c in ("reason", "note")])
-        out = candidates.join(known, keys, "left")
-        return out.withColumn("accepted", F.coalesce("_a", F.lit(False))).withColumn("reason", F.when(F.col("_a").isNull(), F.lit("omitted")).otherwise(F.col("reason"))).drop("_a")
-
-    return decide
-
-
-def aligned(answers: list[bool], expected: int) -> list[bool]:
-    """A judge's answers for a batch: missing ones are rejections, those beyond are dropped."""
-    return [*answers, *[False] * (expected - len(answers))][:expected]
-
-
-def batch_decider(ask: Callable[[list[dict]], list[bool]], batch: int = 50) -> Decider:
-    """Asks a judge in batches of rows, in the tasks; a batch that fails is rejected whole."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows, out = frame.to_dict("records"), []
-            for i in range(0, len(rows), batch):
-                part = rows[i : i + batch]
-                try:
-                    out += [(x, None) for x in aligned(list(ask(part)), len(part))]
-                except Exception as e:  # noqa: BLE001 - whatever a judge raises is a rejection
-                    out += [(False, f"error: {type(e).__name__}")] * len(part)
-            yield frame.assign(accepted=[a for a, _ in out], reason=[r for _, r in out])
-
     def decide(candidates: DataFrame) -> DataFrame:
         fields = ", ".join(f"`{c}` {t}" for c, t in candidates.dtypes)
         return candidates.mapInPandas(run, f"{fields}, accepted boolean, reason string")
