@@ -28,25 +28,47 @@ def table_decider(decisions: DataFrame, keys: list[str]) -> Decider:
     return decide
 
 
+class Unavailable(Exception):
+    """A judge that may answer later, after so many seconds if it says so; it is asked again."""
+
+    def __init__(self, message: str = "", after: float | None = None):
+        super().__init__(message)
+        self.after = after
+
+
+#: What a judge is asked again for; anything else it raises is final.
+PASSING = (Unavailable, TimeoutError, ConnectionError)
+
+
 def aligned(answers: list[bool], expected: int) -> list[bool]:
-    """A judge's answers for a batch: missing ones are rejections, those beyond are dropped."""
+    """A judge's answers for a batch: missing ones are rejections, those beyond are dropped; ValueError if one is no boolean."""
+    if any(type(x) is not bool for x in answers):
+        raise ValueError(f"answers must be booleans: {answers!r}")
     return [*answers, *[False] * (expected - len(answers))][:expected]
 
 
 def asked(ask: Callable[[list[dict]], list[bool]], part: list[dict], tries: int, wait: float) -> list[tuple[bool, str | None]]:
-    """A judge's answers, asked again after a wait that doubles; rows are rejected only when all tries have failed."""
+    """A judge's answers with a reason where there is one, asked again after a wait that doubles, or that the judge names.
+
+    A batch is rejected when all tries have failed, or at once when a failure isn't of those that pass.
+    """
+    error = ""
     for k in range(tries):
         try:
-            return [(x, None) for x in aligned(list(ask(part)), len(part))]
-        except Exception as e:  # noqa: BLE001 - whatever a judge raises
+            given = list(ask(part))
+            return [(x, None if i < len(given) else "omitted") for i, x in enumerate(aligned(given, len(part)))]
+        except PASSING as e:
             error = f"error: {type(e).__name__}"
             if k + 1 < tries:
-                time.sleep(wait * 2**k)
+                after = getattr(e, "after", None)
+                time.sleep(wait * 2**k if after is None else after)
+        except Exception as e:  # noqa: BLE001 - whatever else a judge raises, asking again would not mend it
+            return [(False, f"error: {type(e).__name__}")] * len(part)
     return [(False, error)] * len(part)
 
 
-def batch_decider(ask: Callable[[list[dict]], list[bool]], batch: int = 50, tries: int = 5, wait: float = 1.0) -> Decider:
-    """Asks a judge in batches of rows, in the tasks; a batch that fails is asked again, and at last rejected."""
+def batch_decider(ask: Callable[[list[dict]], list[bool]], batch: int = 50, tries: int = 5, wait: float = 1.0, strict: bool = False) -> Decider:
+    """Asks a judge in batches of rows, in the tasks; strict fails the job instead of rejecting what it could not ask."""
     if batch < 1 or tries < 1:
         raise ValueError("batches and tries must be 1 or more")
 
@@ -54,7 +76,10 @@ def batch_decider(ask: Callable[[list[dict]], list[bool]], batch: int = 50, trie
         for frame in frames:
             rows = frame.to_dict("records")
             out = [x for i in range(0, len(rows), batch) for x in asked(ask, rows[i : i + batch], tries, wait)]
-            yield frame.assign(accepted=[a for a, _ in out], reason=[r for _, r in out])
+            failed = next((r for _, r in out if r and r != "omitted"), None)
+            if strict and failed:
+                raise RuntimeError(f"the judge did not answer: {failed}")
+            yield frame.assign(accepted=pd.Series([a for a, _ in out], frame.index, bool), reason=pd.Series([r for _, r in out], frame.index, object))
 
     def decide(candidates: DataFrame) -> DataFrame:
         fields = ", ".join(f"`{c}` {t}" for c, t in candidates.dtypes)
