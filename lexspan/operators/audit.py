@@ -54,11 +54,16 @@ def retain_complete(audit: DataFrame, position: str) -> DataFrame:
     return last.join(completeness(last).where("complete").select(*KEYS), KEYS, "left_semi")
 
 
-def validity(audit: DataFrame, expected_samples: int, top: int, neighbors: int, version: int = 2) -> DataFrame:
-    """One row: whether an audit is of the schema, holds enough alternatives, and has all samples."""
-    enough = (F.col("audit_schema_version") >= version) & (F.size("top_tokens") >= top) & (F.col("rank_neighbor_count") >= neighbors)
-    return audit.agg(F.countDistinct("sample_id").alias("samples"), F.coalesce(F.bool_and(F.coalesce(enough, F.lit(False))), F.lit(False)).alias("rows_valid")).withColumn(
-        "valid", F.col("rows_valid") & (F.col("samples") == expected_samples))
+def validity(audit: DataFrame, expected_samples: int, top: int, neighbors: int, version: int = 2, by: list[str] | None = None) -> DataFrame:
+    """A row (of each group): whether an audit is of the schema, holds the alternatives asked for, and has all samples.
+
+    Rows must have at least `top` alternatives and exactly the asked number of neighbours on record, with both lists.
+    """
+    enough = (F.col("audit_schema_version") >= version) & (F.size("top_tokens") >= top) & (F.col("rank_neighbor_count") == neighbors)
+    enough = enough & F.col("neighbors_above").isNotNull() & F.col("neighbors_below").isNotNull()
+    found = audit.groupBy(*(by or [])).agg(
+        F.countDistinct("sample_id").alias("samples"), F.coalesce(F.bool_and(F.coalesce(enough, F.lit(False))), F.lit(False)).alias("rows_valid"))
+    return found.withColumn("valid", F.col("rows_valid") & (F.col("samples") == expected_samples))
 
 
 def temperature_is(column: str, value: float) -> Column:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspan import stored
+from lexspan import ordered, stored
 from lexspan.functions import diversity, stats
 from lexspan.functions import text as T
 from lexspan.operators import audit as A
@@ -22,6 +22,7 @@ from lexspan.operators import repair as R
 from lexspan.operators import selection as L
 from lexspan.operators import summary as S
 from lexspan.plans import grids
+from lexspan.sources import merge, payload, publish, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -786,6 +787,70 @@ def _(spark, sf_dir):
     return S.significance_counts(S.family(e, ["model", "decoder", "metric"]), ["metric"])
 
 
+# ---- sources -------------------------------------------------------------------------------------
+
+@query("payload_strings", """WITH s AS (SELECT conv_id, turn, unnest([1, 2]) AS k, unnest([role, text]) AS text FROM conversations)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS place, text FROM s WHERE text IS NOT NULL""")
+def _(spark, sf_dir):
+    # Each conversation as a JSON object whose turns hold a member that isn't text.
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("conv_id").alias("URL"), "text")))
+    packed = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.col("conv_id").alias("id"), turns.alias("turns"))).alias("text"))
+    strings = payload.json_strings(packed, "conv_id", "text")
+    return strings.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("place")))
+
+
+@query("numbered_lines", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))),
+x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM l)
+SELECT row_number() OVER (ORDER BY doc_id, i) AS row, line FROM x""")
+def _(spark, sf_dir):
+    # All texts as files of lines in order of ids, numbered through; texts with a carriage return would split elsewhere.
+    docs = table(spark, sf_dir, "documents").where("text is not null and not contains(text, chr(13))").select("doc_id", "text")
+    path = stored.folder(spark)
+    docs.orderBy("doc_id").select("text").write.option("compression", "none").text(path)
+    rows = readers.lines(spark, path)
+    sizes = ordered.sorted_rows(rows.groupBy("path").agg(F.max("row").alias("n")), [], ["path"])
+    before = ordered.plain(ordered.running(sizes, [], F.col("n"), "before", inclusive=False))
+    return rows.join(before, "path").select((F.col("before") + F.col("row")).alias("row"), "line")
+
+
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit with what its schema records of it."""
+    return audit(spark, sf_dir).withColumns({"audit_schema_version": F.lit(2), "rank_neighbor_count": F.lit(1)})
+
+
+@query("audit_validity", f"""WITH {AUDIT} SELECT model, count(DISTINCT sample_id) AS samples, true AS rows_valid, count(DISTINCT sample_id) = 84 AS valid FROM audit GROUP BY model""")
+def _(spark, sf_dir):
+    return A.validity(recorded(spark, sf_dir), 84, 5, 1, by=["model"])
+
+
+@query("published_audit", f"""WITH {AUDIT} SELECT model, temperature, sample_id, word_token_index, rank FROM audit""")
+def _(spark, sf_dir):
+    rows, path = stored.written(recorded(spark, sf_dir)), stored.folder(spark)
+    samples = rows.select("sample_id").distinct().count()
+    check = lambda df: A.validity(df, samples, 5, 1)
+    publish.publish(rows, path, check)
+    try:  # a version that lacks a field of one model is refused, and the first one stays
+        publish.publish(rows.withColumn("audit_schema_version", F.when(F.col("model") != "model-1", 2)), path, check)
+    except publish.Refused:
+        pass
+    return publish.read(spark, path, rows.schema).select("model", "temperature", "sample_id", "word_token_index", "rank")
+
+
+@query("merged_directories", f"""WITH {AUDIT} SELECT model, temperature, sample_id, word_token_index, CASE WHEN sample_id % 5 = 0 THEN rank + 1000 ELSE rank END AS rank FROM audit""")
+def _(spark, sf_dir):
+    # Audits exported by temperature; a delta with all rows of each fifth sample.
+    columns = ["model", "temperature", "sample_id", "word_token_index", "rank"]
+    rows = stored.written(audit(spark, sf_dir).select(*columns).withColumn("audit", F.format_string("run/audit.t%.1f.jsonl", "temperature")))
+    as_lines = lambda df: df.select("audit", "sample_id", "word_token_index", F.to_json(F.struct(*columns)).alias("line"))
+    again = rows.where("sample_id % 5 = 0").withColumn("rank", F.col("rank") + 1000)
+    base, delta, out = (stored.folder(spark) for _ in range(3))
+    merge.write_audits(as_lines(rows), ["sample_id", "word_token_index"], base)
+    merge.write_audits(as_lines(again), ["sample_id", "word_token_index"], delta)
+    merge.merge_directories(spark, base, delta, out, again.select("sample_id"))
+    schema = "model string, temperature double, sample_id long, word_token_index long, rank long"
+    return merge.audit_lines(spark, out).select(F.from_json("line", schema).alias("r")).select("r.*")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 import re
 import tarfile
 import zipfile
@@ -13,11 +12,13 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexspan import ordered, stored
 from lexspan.functions import text as T
+from lexspan.sources import payload
 
 AUDIT = (
     "sample_id string, model string, temperature double, word string, word_rank int, word_token_index int, token_id int, rank int, token_text string, source_path string, probability double, top_probability double, "
@@ -25,16 +26,25 @@ AUDIT = (
     "top_5_tokens array<string>, top_5_probs array<double>")
 GENERATION = "sample_id string, model string, model_slug string, temperature double, decoder string, parameter double, reached_target_words boolean, ttr double, mtld double, text string"
 SAMPLE = "id string, word string, rank int, count long, prefix string, raw_excerpt string, matched_text string, source_path string, match_start_char int, match_end_char int, context_token_count int, search_start_char long, metadata map<string,string>"
-#: Names that columns of book tables go by, and members of payloads that aren't text.
+#: Names that columns of book tables go by.
 TEXT_COLUMNS, LANGUAGE_COLUMNS, ID_COLUMNS = ("text", "content", "body"), ("real_lang", "lang", "language"), ("identifier", "id", "title")
-NOT_TEXT_KEYS = ("url", "album_url")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, row (from 1), line of text files, in the order of each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    rows = whole.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("k", "line"))
-    return rows.select("path", (F.col("k") + 1).alias("row"), "line")
+def lines(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """path, row (from 1), line of text files of any size, a byte order mark before the first line left out.
+
+    Files are read in splits. Each split's lines are counted, the counts before it in its file are added
+    up, and lines are numbered within it: only one number for each split is shuffled, never a line.
+    """
+    raw = spark.read.options(**options).text(path)
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    splits = rows.groupBy("path", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = stored.small(splits.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n"))
+    out = rows.join(splits, ["path", "_block"]).withColumn("row", (F.col("_before") + F.col("_id") - F.col("_first") + 1))
+    line = F.when(F.col("row") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
+    return out.select("path", "row", line.alias("line"))
 
 
 def frequency_fields(line: Column) -> Column:
@@ -53,12 +63,12 @@ def frequency_fields(line: Column) -> Column:
 
 
 def read_frequency(spark: SparkSession, path: str) -> DataFrame:
-    """rank, word, count of a list; lines without a rank take their place, others fail the query."""
-    from pyspark.sql import Window
-
+    """rank, word, count of a list; lines without a rank take their place among the list's lines, others fail the query."""
     rows = lines(spark, path).withColumn("line", T.strip(F.col("line"))).where("line <> '' and line not like '#%'").withColumn("f", frequency_fields(F.col("line")))
     bad = F.raise_error(F.concat(F.lit("could not parse frequency row "), F.col("row").cast("string"))).cast("string")
-    place = F.row_number().over(Window.partitionBy("path").orderBy("row"))  # a list is one file
+    # A list's lines are counted in ranges; no task sorts a whole list.
+    rows = ordered.plain(ordered.running(ordered.sorted_rows(rows, ["path"], ["row"]), ["path"], F.lit(1).cast("long"), "place"))
+    place = F.col("place").cast("int")
     word = F.when(F.coalesce(F.col("f.word"), F.lit("")) == "", bad).otherwise(F.col("f.word"))
     return rows.select(F.coalesce(F.nullif(F.col("f.rank"), F.lit(0)), place).alias("rank"), word.alias("word"), F.col("f.count").alias("count"))
 
@@ -143,18 +153,6 @@ def read_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def json_strings(value: object) -> Iterator[str]:
-    if isinstance(value, str):
-        yield value
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            if k not in NOT_TEXT_KEYS:
-                yield from json_strings(v)
-    elif isinstance(value, list):
-        for v in value:
-            yield from json_strings(v)
-
-
 def table_strings(payload: str) -> Iterator[str]:
     """Text of a CSV or TSV payload: its column of lyrics, or all its columns."""
     head = payload.split("\n", 1)[0]
@@ -164,10 +162,9 @@ def table_strings(payload: str) -> Iterator[str]:
 
 
 @F.pandas_udf(StringType())
-def payload_text(kind: pd.Series, raw: pd.Series) -> pd.Series:
-    """The strings of JSON, CSV and TSV payloads, one to a line; null for other kinds."""
-    read = {"json": lambda p: json_strings(json.loads(p)), "csv": table_strings, "tsv": table_strings}
-    return pd.Series([None if p is None or k not in read else "\n".join(read[k](p)) for k, p in zip(kind, raw, strict=True)])
+def table_text(raw: pd.Series) -> pd.Series:
+    """The strings of CSV and TSV payloads, one to a line."""
+    return pd.Series([None if p is None else "\n".join(table_strings(p)) for p in raw])
 
 
 def read_payloads(spark: SparkSession, path: str, strip_boilerplate: bool = False) -> DataFrame:
@@ -175,8 +172,10 @@ def read_payloads(spark: SparkSession, path: str, strip_boilerplate: bool = Fals
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("source_path"), F.regexp_replace("value", "^﻿", "").alias("raw"))
     kind = F.lower(F.regexp_extract("source_path", r"\.([^./]+)$", 1))
-    parsed = payload_text(kind, F.col("raw"))
-    text = F.when(kind.isin("json", "csv", "tsv"), parsed).otherwise(F.col("raw"))
+    rows = rows.withColumn("kind", kind)
+    strings = payload.joined_strings(payload.json_strings(rows.where("kind = 'json'"), "source_path", "raw"), "source_path", "raw").withColumnRenamed("raw", "json")
+    rows = rows.join(strings, "source_path", "left")
+    text = F.when(F.col("kind") == "json", F.coalesce("json", F.lit(""))).when(F.col("kind").isin("csv", "tsv"), table_text("raw")).otherwise(F.col("raw"))
     text = T.strip_boilerplate(text) if strip_boilerplate else text
     root = re.escape(path.rstrip("/").rpartition("/")[2])
     below = F.regexp_extract("source_path", rf"/{root}/(.*)$", 1)
@@ -254,7 +253,8 @@ def read_lyrics(spark: SparkSession, path: str, kind: str) -> DataFrame:
         return spark.read.option("header", True).option("sep", "\t").option("encoding", "ISO-8859-1").csv(path).select(F.col("lyrics").alias("text")).where("text is not null")
     if kind == "json":
         whole = spark.read.text(path, wholetext=True)
-        return whole.select(payload_text(F.lit("json"), F.col("value")).alias("text"))
+        whole = whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        return payload.joined_strings(payload.json_strings(whole, "path", "text"), "path", "text").select("text")
     if kind == "jsonl":
         return spark.read.schema("lyrics string, text string").json(path).select(F.coalesce("lyrics", "text").alias("text")).where("text is not null")
     return read_corpus(spark, path).select("text")

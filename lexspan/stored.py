@@ -30,11 +30,17 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/lexspan-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df`: write it as Parquet and read it back; it goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexspan-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
