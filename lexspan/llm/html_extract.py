@@ -1,9 +1,12 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of words and tags. Tags score negative. A word scores by where it stands: the sum
-of the weights of the elements around it, of their names and of the words of their class, id, role and
-label. All weights are fitted to labelled pages, those whose article or main element says where the
-text is; weights that these pages say nothing about stay at the prior ones below.
+of the weights of the elements around it, of their names and of their classes, ids, roles and labels.
+All weights are fitted to labelled pages, those whose article or main element says where the text is;
+weights that these pages say nothing about stay at the prior ones below. A prior weight holds for a
+whole name of a known form, known words and words of layout alone: "site-footer", but not
+"navigation-at-sea"; beside other classes it is weak, so that the text in and around an element decides.
+What an element that holds nearly all words of a page is called says nothing against them.
 
 An element whose words sum up to less than nothing is boilerplate (a menu, sidebar, notice, advert,
 reader comments, ...) and counts as nothing, from the innermost elements outwards. One
@@ -55,6 +58,8 @@ LABELS = {"article", "main"}
 CLOSED_BY = {
     "p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
     "option": {"option"}}
+#: Elements that stand within a line of text, though what is in them is no text.
+WITHIN_TEXT = set("button select input textarea label output meter progress svg canvas object audio video iframe picture script style noscript template datalist map".split())
 #: What can't be closed from inside by an element of the ones above.
 SCOPES = {"ul": {"li"}, "ol": {"li"}, "dl": {"dt", "dd"}, "table": {"tr", "td", "th"}}
 
@@ -71,17 +76,31 @@ PRIOR_NAMES = {
     -2.0: "related",
     0.5: "article body content entry main post story text",
 }
+#: Words of layout, which may stand beside known ones in a name.
+LAYOUT = set(
+    "site page main top bottom left right primary secondary global block box area section container wrapper wrap list item items inner outer bar links link form button"
+    " buttons icon icons slot unit row col column columns grid wide narrow sticky fixed mobile desktop small large first last block default".split())
+#: The least that a known word says beside words that aren't known.
+DOUBTFUL = -3.0
+#: By how much that counts within an article or main element.
+WITHIN_LABEL = 0.4
+#: Names of classes and ids that are fitted, at most: those on most labelled pages, two at least.
+FITTED_NAMES = 500
+#: The share of a page's words from which an element around them is just a wrapper.
+WRAPS = 0.95
 #: Where a page has an article or main element, what stands outside all of these.
 OUTSIDE, PRIOR_OUTSIDE = "(outside)", -9.0
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.S)
-NAME_WORD = re.compile(r"[a-z]+|[0-9]+")
+NAME_WORD = re.compile(r"[a-z]+")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 WORD = re.compile(r"\S+")
 
-#: What is known of where a word stands: names of elements around it, and words of their names with a dot before.
+#: What is known of where a word stands: elements around it, their names and known words with a dot before, doubtful ones with a question mark.
 Context = frozenset
+KNOWN = {w for words in PRIOR_NAMES.values() for w in words.split()}
 
 
 @dataclass
@@ -90,6 +109,7 @@ class Node:
     parent: int
     context: Context
     silent: bool
+    says: tuple[str, ...] = ()
     pruned: bool = False
 
 
@@ -102,6 +122,20 @@ class Page:
     labelled: bool = False
 
 
+def _named(names: list[str]) -> Iterator[str]:
+    """What the names of an element say: each as a whole, and its known words if it is of a known form."""
+    found, sure = [], True
+    for name in names:
+        parts = NAME_WORD.findall(HUMP.sub("-", name).lower())
+        if "-".join(parts) not in KNOWN:
+            yield "." + "-".join(parts)
+        own = [w for w in parts if w in KNOWN]
+        formed = all(w in KNOWN or w in LAYOUT for w in parts)
+        found += own if formed else []
+        sure = sure and formed
+    yield from ((("." if sure else "?") + w) for w in found)
+
+
 def _about(tag: str, attributes: str) -> tuple[Iterable[str], bool]:
     """What an element's start says of the words in it, and whether it is hidden."""
     says = [tag] if tag not in ("html", "body") else []
@@ -111,7 +145,8 @@ def _about(tag: str, attributes: str) -> tuple[Iterable[str], bool]:
     for k, v in ATTRIBUTE.findall(attributes):
         found.setdefault(k.lower(), v.strip("\"'"))
     if tag not in ("html", "body"):
-        says += ["." + w for k in ("class", "id", "role", "aria-label") for w in NAME_WORD.findall(found.get(k, "").lower())]
+        names = [found.get("class", "").split(), *([found[k].replace(" ", "-")] for k in ("id", "role", "aria-label") if found.get(k))]
+        says += dict.fromkeys(x for own in names for x in _named(own) if len(x) > 1)
     style = re.sub(r"\s", "", found.get("style", "").lower())
     return says, "hidden" in found or "display:none" in style or "visibility:hidden" in style
 
@@ -143,11 +178,11 @@ def parse(html: str, known: Container[str] | None = None) -> Page:
                 pop()
             tokens.append((None, "/" + tag, stack[-1]))
             continue
-        if tag not in INLINE:  # a block ends unclosed inline elements around it
+        if tag not in INLINE and tag not in WITHIN_TEXT:  # a block ends unclosed inline elements around it
             while nodes[stack[-1]].tag in INLINE:
                 pop()
         ends = CLOSED_BY.get(nodes[stack[-1]].tag, ())
-        while ends is None and tag not in INLINE and tag not in VOID or ends and tag in ends:
+        while ends is None and tag not in INLINE and tag not in WITHIN_TEXT and tag not in VOID or ends and tag in ends:
             pop()
             ends = CLOSED_BY.get(nodes[stack[-1]].tag, ())
         around = nodes[stack[-1]]
@@ -158,7 +193,7 @@ def parse(html: str, known: Container[str] | None = None) -> Page:
         page.labelled |= tag in LABELS
         if tag in VOID:
             continue
-        nodes.append(Node(tag, stack[-1], context, around.silent or hidden or tag in NO_TEXT))
+        nodes.append(Node(tag, stack[-1], context, around.silent or hidden or tag in NO_TEXT, tuple(says)))
         stack.append(len(nodes) - 1)
         n_open[tag] += 1
         if tag in RAW:
@@ -171,7 +206,28 @@ def parse(html: str, known: Container[str] | None = None) -> Page:
 
 
 def prior() -> dict[str, float]:
-    return {**PRIOR_TAGS, **{"." + w: x for x, words in PRIOR_NAMES.items() for w in words.split()}, OUTSIDE: PRIOR_OUTSIDE}
+    names = [(w, x) for x, words in PRIOR_NAMES.items() for w in words.split()]
+    return {**PRIOR_TAGS, **{"." + w: x for w, x in names}, **{"?" + w: max(x, DOUBTFUL) for w, x in names}, OUTSIDE: PRIOR_OUTSIDE}
+
+
+def unwrap(page: Page, weights: Weights) -> None:
+    """Take back what elements say against the words of a page if they hold nearly all of them, or most and its labelled element."""
+    nodes = page.nodes
+    words, labels = [0] * len(nodes), [x.tag in LABELS for x in nodes]
+    for text, tag, node in page.tokens:
+        words[node] += 0 if tag or nodes[node].silent else len(WORD.findall(text))
+    for k in range(len(nodes) - 1, 0, -1):
+        words[nodes[k].parent] += words[k]
+        labels[nodes[k].parent] |= labels[k]
+    against = lambda x: [s for s in x.says if weights.words.get(s, 0.0) < 0]
+    wraps = [
+        k > 0 and words[k] > 0 and nodes[k].tag not in LABELS and bool(against(nodes[k]))
+        and (words[k] >= WRAPS * words[0] or labels[k] and 2 * words[k] >= words[0]) for k in range(len(nodes))]
+    if any(wraps):
+        for k in range(1, len(nodes)):
+            x = nodes[k]
+            own = set(x.says) - set(against(x)) if wraps[k] else x.says
+            x.context = nodes[x.parent].context.union(own)
 
 
 @dataclass
@@ -184,18 +240,21 @@ class Weights:
     other: float = -0.3
 
     def word(self, context: Context, outside: bool, named: bool = True) -> float:
-        total = sum(self.words.get(x, 0.0) for x in context if named or x[0] != ".")
+        within = not context.isdisjoint(LABELS)  # there the label outweighs what is doubtful
+        total = sum(self.words.get(x, 0.0) * (WITHIN_LABEL if within and x[0] == "?" else 1.0) for x in context if named or x[0] not in ".?")
         return self.bias + total + outside * self.words.get(OUTSIDE, 0.0)
 
 
 def learn(pages: Iterable[str]) -> Weights:
     """The most likely weights, given the prior ones, of a logistic model of whether a word is in a labelled element."""
+    parsed = [page for page in map(parse, pages) if page.labelled]
+    weights = Weights()
+    on = Counter(x for page in parsed for x in {s for node in page.nodes for s in node.says if s[0] == "."})
+    often = sorted((x for x in on if on[x] > 1 and x not in weights.words), key=lambda x: (-on[x], x))[:FITTED_NAMES]
+    fitted = {s for page in parsed for node in page.nodes for s in node.says if s[0] not in ".?"} | set(weights.words) | set(often)
     inside, outside = Counter(), Counter()
-    tags_in, tags_out, m = Counter(), Counter(), 0
-    for page in map(parse, pages):
-        if not page.labelled:
-            continue
-        m += 1
+    tags_in, tags_out, m = Counter(), Counter(), len(parsed)
+    for page in parsed:
         for text, tag, node in page.tokens:
             context = page.nodes[node].context
             held = not context.isdisjoint(LABELS)
@@ -204,8 +263,7 @@ def learn(pages: Iterable[str]) -> Weights:
                     (tags_in if held else tags_out)[tag] += 1
             elif not page.nodes[node].silent:
                 # What the label itself is made of says nothing new, and keeps its prior weight.
-                (inside if held else outside)[context - LABELS] += len(WORD.findall(text))
-    weights = Weights()
+                (inside if held else outside)[(context - LABELS) & fitted] += len(WORD.findall(text))
     n = sum(inside.values()) + sum(outside.values())
     if not n:
         return weights
@@ -273,12 +331,13 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def _is_break(token: tuple) -> bool:
-    return token[1] is not None and token[1].lstrip("/") not in INLINE
+    return token[1] is not None and token[1].lstrip("/") not in INLINE and token[1].lstrip("/") not in WITHIN_TEXT
 
 
 def extract(html: str | None, weights: Weights) -> str:
     """The main text of a page."""
     page = parse(html or "", weights.words)
+    unwrap(page, weights)
     first, end = best_region(scored(page, weights))
     if first == end:
         first, end = best_region(scored(page, weights, named=False))
