@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,18 +120,65 @@ def permutation_p(df: DataFrame, by: list[str], order: str, x: str, y: str, perm
     return arrays.select(*by, "observed").join(out, by, "left").select(*by, "observed", ((F.col("extreme") + 1) / (permutations + 1.0)).alias("p"))
 
 
+#: Clusters of a group whose values go to each task of its draws, 8 bytes each; larger groups are joined instead.
+CLUSTERS = 1_000_000
+#: Draws of a task.
+DRAWS = 50
+
+
 def cluster_bootstrap(sums: DataFrame, by: list[str], cluster: str, values: list[str], statistic: Column, draws: int, seed: int) -> DataFrame:
     """by, low, high: percentile interval of a statistic of summed values, with clusters redrawn.
 
     `sums` has one row for each cluster of a group. A draw takes as many clusters as there are, with
-    replacement, by hashes; clusters are joined by their number, never rows.
+    replacement, by hashes of (seed, draw, place). Draws are dealt to tasks in blocks; a task has the values
+    of a group's clusters as arrays and gives one row of sums for each draw, so that no row stands for a
+    cluster of a draw.
     """
-    w = Window.partitionBy(*by).orderBy(cluster)
-    numbered = sums.withColumn("k", F.row_number().over(w) - 1)
-    sizes = numbered.groupBy(*by).agg(F.count("*").alias("n"))
-    slots = sizes.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("slot"))
-    slots = slots.select(*by, "draw", (uniform_hash(seed, F.col("draw"), F.col("slot")) % F.col("n")).cast("int").alias("k"))
-    slots = slots.groupBy(*by, "draw", "k").agg(F.count("*").alias("times"))
-    drawn = slots.join(numbered, [*by, "k"]).groupBy(*by, "draw").agg(*[F.sum(F.col(v) * F.col("times")).alias(v) for v in values])
+    sums = stored.written(sums.select(*by, F.col(cluster).alias("_cluster"), *[F.col(v).cast("double").alias(v) for v in values]))
+    sizes = sums.groupBy(*by).agg(F.count("*").alias("_n"))
+    large = stored.written(sizes.where(F.col("_n") > CLUSTERS))
+    rows = ordered.joined(sums, large, by, "left_anti") if not large.isEmpty() else sums
+    kinds = dict(sums.dtypes)
+    fields = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), *(f"`{v}` double" for v in values)])
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places: dict[tuple[int, int], np.ndarray] = {}  # groups of one size take the same places in a draw
+        for frame in frames:
+            rows, found = frame.to_dict("records"), []
+            for r in rows:
+                table = np.array([r[f"_{v}"] for v in values], float)
+                key = (r["_first"], table.shape[1])
+                if key not in places:
+                    places.clear()
+                    last = min(key[0] + DRAWS, draws + 1)
+                    places[key] = np.array([[hash32(f"{seed}|{d}|{place}") % key[1] for place in range(1, key[1] + 1)] for d in range(key[0], last)])
+                found.append(np.array([table[:, taken].sum(axis=1) for taken in places[key]]))
+            times = [len(x) for x in found]
+            keys = {c: frame[c].repeat(times).reset_index(drop=True) for c in by}
+            yield pd.DataFrame(keys | {v: np.concatenate([x[:, i] for x in found]) for i, v in enumerate(values)})
+
+    column = lambda v: F.transform("_v", lambda x: x[v]).alias(f"_{v}")
+    cells = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_cluster", *values))).alias("_v"))
+    blocks = cells.select(*by, F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(DRAWS))).alias("_first"), *map(column, values))
+    blocks = blocks.withColumn("_size", F.size(f"_{values[0]}")).repartition("_first").sortWithinPartitions("_first", "_size").drop("_size")
+    drawn = blocks.mapInPandas(draw, fields)
+    if not large.isEmpty():
+        drawn = drawn.unionByName(_drawn_by_joins(ordered.joined(sums, large, by, "left_semi"), by, values, draws, seed))
     stats = drawn.select(*by, statistic.alias("s"))
     return stats.groupBy(*by).agg(F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"))
+
+
+def hash32(text: str) -> int:
+    """What `uniform_hash` gives for the parts of a text."""
+    return int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "big")
+
+
+def _drawn_by_joins(sums: DataFrame, by: list[str], values: list[str], draws: int, seed: int) -> DataFrame:
+    """by and sums of each draw, for clusters of any number: numbers of clusters are drawn as rows and joined."""
+    numbered = ordered.plain(ordered.running(ordered.sorted_rows(sums, by, ["_cluster"]), by, F.lit(1).cast("long"), "_k", inclusive=False))
+    sizes = sums.groupBy(*by).agg(F.count("*").alias("_n"))
+    slots = sizes.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw")).select("*", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_slot"))
+    slots = slots.select(*by, "_draw", (uniform_hash(seed, F.col("_draw"), F.col("_slot")) % F.col("_n")).alias("_k"))
+    slots = slots.groupBy(*by, "_draw", "_k").agg(F.count("*").alias("_times"))
+    drawn = ordered.joined(slots, numbered, [*by, "_k"])
+    return drawn.groupBy(*by, "_draw").agg(*[F.sum(F.col(v) * F.col("_times")).alias(v) for v in values]).drop("_draw")

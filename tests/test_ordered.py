@@ -123,3 +123,33 @@ def test_outliers_take_the_first_of_equal_rows(spark):
     df = spark.createDataFrame(rows, "model string, sample_id int, decoder string, parameter double, reached boolean, ttr double, mtld double, text string")
     got = {x.metric: (x.maximum, x.sample_id, x.text_preview) for x in summary.outliers(df, ["model"]).collect()}
     assert got == {"ttr": (0.5, 1, "a"), "mtld": (3.0, 2, "b")}
+
+
+def drawn_by_force(values, draws, seed):
+    out = []
+    for d in range(1, draws + 1):
+        taken = [values[stats.hash32(f"{seed}|{d}|{place}") % len(values)] for place in range(1, len(values) + 1)]
+        out.append(sum(t for t, _ in taken) / sum(n for _, n in taken))
+    return np.quantile(out, [0.025, 0.975])
+
+
+@pytest.mark.parametrize("most", [1_000, 10])
+def test_redrawn_clusters_by_force(spark, monkeypatch, most):
+    monkeypatch.setattr(stats, "CLUSTERS", most)  # with 10, one group goes by joins
+    r = random.Random(7)
+    groups = {"a": [(r.random(), 1.0 + r.random()) for _ in range(40)], None: [(r.random(), 2.0) for _ in range(7)]}
+    rows = [(g, k, *v) for g, own in groups.items() for k, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "g string, k int, t double, n double")
+    got = {x.g: (x.low, x.high) for x in stats.cluster_bootstrap(df, ["g"], "k", ["t", "n"], F.col("t") / F.col("n"), 120, 5).collect()}
+    assert set(got) == {"a", None}
+    for g, own in groups.items():
+        assert got[g] == pytest.approx(tuple(drawn_by_force(own, 120, 5)))
+    same = df.select(stats.uniform_hash(5, F.col("k"), 3).alias("h"), "k").distinct().collect()
+    assert all(x.h == stats.hash32(f"5|{x.k}|3") for x in same)
+
+
+def test_many_clusters_are_not_rows_of_draws(spark):
+    n, draws = 100_000, 6
+    sums = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("t"), F.lit(1.0).alias("n"))
+    got = stats.cluster_bootstrap(sums, ["g"], "k", ["t", "n"], F.col("t") / F.col("n"), draws, 1).first()
+    assert 2.9 < got.low <= got.high < 3.1
