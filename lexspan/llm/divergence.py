@@ -123,6 +123,7 @@ def _schema(ddl: str) -> pa.Schema:
 
 def kept_counts(documents: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """lang, source, term, n: how often each kept term stands in each group that has it."""
+    scratch.small_batches(documents.sparkSession)
     rows = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     shards = scratch.parts(rows, SHARD_BYTES)
     return rows.mapInArrow(_counted, COUNTS).repartition(shards, "lang", "term").mapInArrow(_kept(least), KEPT)

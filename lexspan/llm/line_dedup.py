@@ -84,6 +84,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def islands(documents: DataFrame) -> DataFrame:
     """Places of repeated lines: (doc, mark, line, n_lines, words, id, begin, end) with the ends of their island."""
+    scratch.small_batches(documents.sparkSession)
     rows = documents.where(F.col("text").isNotNull()).select(*_identity(documents), "text").mapInArrow(_lines, LINES)
     rows = scratch.written(rows, "lines")
     repeated = scratch.written(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")

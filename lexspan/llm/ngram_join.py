@@ -61,6 +61,8 @@ BITS = 4
 SALTS = 16
 #: Classes to compare are broadcast up to this many rows (up to 100 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Digests of sets that a task remembers, to pass over copies early.
+SEEN = 200_000
 #: Postings that a task may hold, bytes of sets in a part (as many as its pairs at most), and partners of a set in one part.
 POSTINGS, SET_BYTES, PAIR_BYTES, PARTNERS = 400_000, 8 << 20, 64 << 20, 500
 
@@ -108,12 +110,12 @@ def prefix_size(n):
     return n - least_common(n) + margin(n)
 
 
-def prefix(tokens: np.ndarray, ranks: np.ndarray, order: int) -> np.ndarray:
-    """The first tokens under an order, in that order: by how common they are, and at random within that."""
+def prefix(tokens: np.ndarray, ranks: np.ndarray, order: int, in_order: bool = True) -> np.ndarray:
+    """The first tokens under an order, by how common they are and at random within that; in any order if that doesn't matter."""
     p = int(prefix_size(len(tokens)))
     key = (ranks[(tokens >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(tokens, 11 + order) >> np.uint64(8))
     first = np.argpartition(key, p - 1)[:p] if p < len(tokens) else np.arange(len(tokens))
-    return tokens[first[np.argsort(key[first])]]
+    return tokens[first[np.argsort(key[first])]] if in_order else tokens[first]
 
 
 def levels(n: int, p: int) -> np.ndarray:
@@ -126,16 +128,14 @@ def levels(n: int, p: int) -> np.ndarray:
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """A bit for each token of a prefix, in a power of two of 64-bit words; halves laid together give the shorter bitmap."""
     words = 1 << max(0, (len(tokens) * BITS - 1).bit_length() - 6)
-    at = mix(tokens, 29) & np.uint64(words * 64 - 1)
-    out = np.zeros(words, np.uint64)
-    # The word is given by the low bits of its number, so that the first half of the words comes first.
-    np.bitwise_or.at(out, (at % np.uint64(words)).astype(np.int64), np.uint64(1) << (at // np.uint64(words)) % np.uint64(64))
-    return out
+    bits = np.zeros(words * 64, np.uint8)
+    bits[(mix(tokens, 29) & np.uint64(words * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<u8").astype(np.uint64)
 
 
 def sketches(tokens: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The bitmaps of a set's prefixes under all orders, one behind the other, of one length."""
-    return np.concatenate([bitmap(prefix(tokens, ranks, k)) for k in range(ORDERS)])
+    return np.concatenate([bitmap(prefix(tokens, ranks, k, in_order=False)) for k in range(ORDERS)])
 
 
 def may_share(a: Column, b: Column, n: Column, m: Column) -> Column:
@@ -190,7 +190,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
             digests.append(digest - (1 << 63))
             if len(s) and digest not in seen:
-                if len(seen) < 1_000_000:  # only saves counting copies twice
+                if len(seen) < SEEN:  # only saves counting copies twice
                     seen.add(digest)
                 new.append(s)
         if new:
@@ -239,7 +239,7 @@ def _postings(ranks):
                 digest = xxhash.xxh3_64_intdigest(s.tobytes())
                 if not len(s) or digest in seen:
                     continue
-                if len(seen) < 1_000_000:  # only saves sending copies
+                if len(seen) < SEEN:  # only saves sending copies
                     seen.add(digest)
                 first = prefix(s, ranks.value, 0)
                 tokens.append(first)
@@ -303,7 +303,7 @@ def _compared(ranks):
 
         def first(x: int, i: int, order: int) -> np.ndarray:
             if (x, i, order) not in firsts:
-                firsts[x, i, order] = np.sort(prefix(sets[x][i], ranks.value, order))
+                firsts[x, i, order] = np.sort(prefix(sets[x][i], ranks.value, order, in_order=False))
             return firsts[x, i, order]
 
         def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -366,6 +366,7 @@ def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, ranks) -> Dat
 def link_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signed documents, labels): doc_id, n, digest; and (id, comp) of classes that link to others."""
     spark = documents.sparkSession
+    scratch.small_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long"), "text")
     both = scratch.written(texts.mapInArrow(_signatures, SIGNED), "signatures")
     signed = both.where(F.col("n").isNotNull()).select("doc_id", "n", "digest")

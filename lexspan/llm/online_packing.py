@@ -188,6 +188,7 @@ def _merged(turn: int, capacity: int, windows: int, keep_ids: bool, last: bool):
 
 def online_pack(documents: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, windows: int = WINDOWS, keep_ids: bool = True) -> DataFrame:
     """sequence_id, n_tokens, pieces, ids (null without keep_ids): a row for each sequence."""
+    scratch.small_batches(documents.sparkSession)
     rows = spread(documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
     found = scratch.written(rows.mapInArrow(_packed(tokenizer, end_id, capacity, windows, keep_ids), SEQUENCES), "windows")
     done, groups, turn = [found.where("not open")], found.where("open").agg(F.max("part")).first()[0], 0

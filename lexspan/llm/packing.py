@@ -331,6 +331,7 @@ def places(runs: list[Run]) -> list[tuple[int, int, int, int, int]]:
 def best_fit_pack(documents: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, cache_parts: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset; a row for each piece. cache_parts: words whose ids a worker keeps."""
     spark = documents.sparkSession
+    scratch.small_batches(spark)
     cut = scratch.written(pieces(documents, tokenizer, end_id, capacity, cache_parts), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in cut.groupBy("length").count().collect():  # a row for each length up to the capacity

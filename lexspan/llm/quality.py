@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm import labelled
+from lexspan.llm import labelled, scratch
 
 BY, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Preference pairs that the weights are fitted on, steps of the fit, and its penalty on weights.

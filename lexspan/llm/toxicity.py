@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm import labelled
+from lexspan.llm import labelled, scratch
 
 BY, HELD_OUT, THRESHOLD = 4, 2, 0.3
 STARTS = (4, 5)
@@ -244,6 +244,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = labelled.FIT_ROWS
 
 def toxicity(documents: DataFrame, labels: DataFrame, rows: int = labelled.FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted; a row for each document."""
+    scratch.small_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, rows))
     out = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scored(model), "doc_id long, score double")
     return out.select("doc_id", (labelled.remainder("doc_id", BY) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -253,6 +254,7 @@ def kept(documents: DataFrame, labels: DataFrame, rows: int = labelled.FIT_ROWS)
     """The documents, with all their columns, that aren't predicted toxic."""
     from pyspark.sql.functions import pandas_udf
 
+    scratch.small_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, rows))
 
     @pandas_udf("double")
