@@ -16,7 +16,7 @@ from lexspan.llm.queries import tokenizer_file
 
 
 #: Words whose ids a worker keeps: fewer than alone, as workers live on and so hold them through other stages.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
