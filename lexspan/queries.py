@@ -23,6 +23,7 @@ from lexspan.operators import selection as L
 from lexspan.operators import summary as S
 from lexspan.plans import grids
 from lexspan.sources import merge, payload, publish, readers
+from lexspan.streaming import candidates
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -787,6 +788,21 @@ def _(spark, sf_dir):
     return S.significance_counts(S.family(e, ["model", "decoder", "metric"]), ["metric"])
 
 
+# ---- streams -------------------------------------------------------------------------------------
+
+@query("incremental_contexts", f"WITH {CONTEXTS} SELECT word, doc_id, start, prefix FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, start) AS n FROM ctx) WHERE n <= 12")
+def _(spark, sf_dir):
+    # The corpus arrives in four parts by ids, some of it twice; each call takes up the stream from its checkpoint.
+    found = stored.written(contexts(spark, sf_dir).select("word", "doc_id", "start", "prefix"))
+    last = found.agg(F.max("doc_id")).first()[0]
+    arrivals, sink, checkpoint = (stored.folder(spark) for _ in range(3))
+    part = F.floor(F.col("doc_id") * 4 / (last + 1)) if last is not None else F.lit(0)
+    for k in range(4):
+        found.where((part == k) | (part == k - 1)).write.mode("append").parquet(arrivals)
+        candidates.collect_available(spark, candidates.grown(spark, arrivals), 12, sink, checkpoint)
+    return spark.read.schema(candidates.OUT).parquet(sink)
+
+
 # ---- sources -------------------------------------------------------------------------------------
 
 @query("payload_strings", """WITH s AS (SELECT conv_id, turn, unnest([1, 2]) AS k, unnest([role, text]) AS text FROM conversations)
