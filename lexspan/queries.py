@@ -22,7 +22,7 @@ from lexspan.operators import repair as R
 from lexspan.operators import selection as L
 from lexspan.operators import summary as S
 from lexspan.plans import grids
-from lexspan.sources import merge, payload, publish, readers
+from lexspan.sources import merge, paged, payload, publish, readers
 from lexspan.streaming import candidates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -829,6 +829,29 @@ def _(spark, sf_dir):
     return rows.join(before, "path").select((F.col("before") + F.col("row")).alias("row"), "line")
 
 
+def saved_pages(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as the pages of a catalogue, 40 rows each."""
+    row = F.struct(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("lang").alias("language"), "text")
+    pages = table(spark, sf_dir, "documents").groupBy(F.expr("doc_id div 40").alias("page")).agg(F.sort_array(F.collect_list(row)).alias("results"))
+    path = stored.folder(spark)
+    pages.select(F.to_json(F.struct("page", "results")).alias("value")).repartition(8).write.text(path)
+    return path
+
+
+@query("paged_catalogue", "SELECT doc_id AS id, source AS title, length(text) AS size FROM documents WHERE lang IN ('es', 'fr') AND source IS NOT NULL AND doc_id > 100")
+def _(spark, sf_dir):
+    rows = paged.read_pages(spark, saved_pages(spark, sf_dir))
+    return rows.where("language in ('es', 'fr') and title is not null and id > 100").select("id", "title", F.length("text").alias("size"))
+
+
+@query("catalogue_skips", """SELECT CASE WHEN lang IS DISTINCT FROM 'es' THEN 'language' WHEN length(trim(coalesce(text, ''))) = 0 THEN 'empty' WHEN length(trim(text)) < 2000 THEN 'short' ELSE 'kept' END AS outcome, count(*) AS rows
+FROM documents GROUP BY ALL""")
+def _(spark, sf_dir):
+    kept, skipped = readers.exportable(paged.read_pages(spark, saved_pages(spark, sf_dir)), "text", "language", 2000)
+    found = kept.select(F.lit("kept").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("rows"))
+    return found.union(skipped.select("skipped", "rows"))
+
+
 def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit with what its schema records of it."""
     return audit(spark, sf_dir).withColumns({"audit_schema_version": F.lit(2), "rank_neighbor_count": F.lit(1)})
