@@ -88,28 +88,6 @@ def batch_decider(ask: Callable[[list[dict]], list[bool]], batch: int = 50, trie
     return decide
 
 
-class ScoreSource(Protocol):
-    """Adds logits (array<float>) and token_id to rows of sample, word_token_index and prefix."""
-
-    def __call__(self, steps: DataFrame) -> DataFrame: ...
-
-
-def model_scores(load: Callable[[], Callable[[list[str], list[str]], list[tuple[list[float], int]]]]) -> ScoreSource:
-    """Scores by a model that each task loads once: from (prefixes, targets) to (logits, target id)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
-        for frame in frames:
-            found = model(frame["prefix"].tolist(), frame["target"].tolist())
-            yield frame.assign(logits=[x for x, _ in found], token_id=[t for _, t in found])
-
-    def score(steps: DataFrame) -> DataFrame:
-        fields = ", ".join(f"`{c}` {t}" for c, t in steps.dtypes)
-        return steps.mapInPandas(run, f"{fields}, logits array<float>, token_id int")
-
-    return score
-
-
 def generate(samples: DataFrame, conditions: DataFrame, load: Callable[[], Callable[[list[dict]], list[str]]]) -> DataFrame:
     """samples × conditions with generated text; conditions are a few literal rows."""
 

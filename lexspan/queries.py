@@ -18,6 +18,7 @@ from lexspan.functions import text as T
 from lexspan.operators import audit as A
 from lexspan.operators import corpus as C
 from lexspan.operators import coverage as V
+from lexspan.operators import forced
 from lexspan.operators import repair as R
 from lexspan.operators import selection as L
 from lexspan.operators import summary as S
@@ -788,6 +789,34 @@ def _(spark, sf_dir):
     return S.significance_counts(S.family(e, ["model", "decoder", "metric"]), ["metric"])
 
 
+#: Letters of a text as token ids below the length of an embedding.
+LETTER_IDS = "list_transform(string_split({}, ''), lambda c: ascii(c) % 32)"
+
+
+@query("forced_paths", f"""WITH s AS (SELECT c_custkey AS sample_id, {LETTER_IDS.format("c_mktsegment")} AS p, {LETTER_IDS.format("' ' || n_name")} AS w FROM customer JOIN nation ON n_nationkey = c_nationkey),
+st AS (SELECT sample_id, p, w, unnest(range(0, len(w))) AS i FROM s),
+c AS (SELECT sample_id, i, w[i + 1] AS token_id, list_concat(p, w[1:i]) AS context FROM st),
+v AS (SELECT *, list_sum(list_transform(range(1, len(context) + 1), lambda k: k * context[k])) % (SELECT count(*) FROM embeddings) AS vec FROM c),
+n AS (SELECT DISTINCT vec, token_id, temperature FROM v, (VALUES (cast(0.7 AS DOUBLE)), (cast(1.0 AS DOUBLE)), (cast(1.5 AS DOUBLE))) AS t(temperature)),
+x AS (SELECT n.*, list_transform(embedding, lambda z: exp(cast(z AS DOUBLE) * 8 / temperature)) AS e FROM n JOIN embeddings ON vec_id = vec),
+a AS (SELECT vec, token_id, temperature, e[token_id + 1] / list_sum(e) AS probability, len(list_filter(e, lambda z: z > e[token_id + 1])) + 1 AS rank FROM x)
+SELECT sample_id, i AS word_token_index, v.token_id, temperature, rank, round(probability, 9) AS probability FROM v JOIN a ON a.vec = v.vec AND a.token_id = v.token_id""")
+def _(spark, sf_dir):
+    letters = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: (F.ascii(x) % 32).cast("int"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    samples = rows.select(F.col("c_custkey").alias("sample_id"), letters(F.col("c_mktsegment")).alias("prefix_ids"), letters(F.concat(F.lit(" "), "n_name")).alias("word_ids"))
+    vectors = table(spark, sf_dir, "embeddings")
+    n = vectors.count()
+
+    def scorer(nodes: DataFrame) -> DataFrame:  # the vector whose id follows from the context stands for a model's scores
+        total = F.aggregate(F.transform("context", lambda x, k: (k + 1) * x), F.lit(0), lambda a, x: a + x)
+        scores = vectors.select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 8).alias("logits"))
+        return nodes.withColumn("_vec", total % n).join(scores, F.col("_vec") == F.col("vec_id")).drop("_vec", "vec_id")
+
+    a = forced.forced_audit(samples, scorer, TEMPERATURES)
+    return a.select("sample_id", "word_token_index", "token_id", "temperature", "rank", "probability")
+
+
 # ---- streams -------------------------------------------------------------------------------------
 
 @query("incremental_contexts", f"WITH {CONTEXTS} SELECT word, doc_id, start, prefix FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, start) AS n FROM ctx) WHERE n <= 12")
