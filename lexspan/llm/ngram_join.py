@@ -53,8 +53,8 @@ MARGIN = 8
 SLOTS, BLOCKS = 1 << 20, 32
 #: Most rounds of pivots before pairs between components are listed, and pivots that a group can have.
 ROUNDS, PIVOTS = 3, 4
-#: Rounds of pivots end when one links less than this share of the sets.
-FEW_LINKS = 0.02
+#: Rounds of pivots end when one with random pivots, after one with central ones, links less than this share of the sets.
+FEW_LINKS = 0.0002
 #: Bits of a prefix's bitmap for each of its tokens, at least.
 BITS = 4
 #: Parts of a common token's postings.
@@ -429,7 +429,7 @@ def link_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = scratch.written(verified(pairs, sizes, texts, ranks), "links")
         scratch.release(pairs)
         n_new = new.count()
-        enough_pivots = n_new <= FEW_LINKS * n_reps
+        enough_pivots = turn > 0 and n_new <= FEW_LINKS * n_reps
         if n_new:
             linked = new if linked is None else linked.union(new)
             labels = components(linked)
