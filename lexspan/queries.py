@@ -692,11 +692,12 @@ def _(spark, sf_dir):
     return L.expected_samples(samples(spark, sf_dir), 700)
 
 
-@query("compact_extremes", f"""WITH {AUDIT} SELECT model, temperature, sample_id, max(rank) AS worst_rank, round(max(cumulative - probability), 6) AS mass_above, round(min(ratio), 6) AS min_ratio,
-round(product(probability), 6) AS path_probability, count(*) AS n_tokens FROM audit GROUP BY ALL""")
+@query("compact_extremes", f"""WITH {AUDIT} SELECT model, temperature, sample_id, max(rank) AS worst_rank, printf('%.7e', max(cumulative - probability)) AS mass_above,
+printf('%.7e', min(ratio)) AS min_ratio, printf('%.7e', product(probability)) AS path_probability, count(*) AS n_tokens FROM audit GROUP BY ALL""")
 def _(spark, sf_dir):
+    # As text, so that all eight digits are compared, however small a number is.
     c = L.compact_extremes(audit(spark, sf_dir), ["model", "temperature", "sample_id"])
-    return c.withColumns({x: F.round(x, 6) for x in ("mass_above", "min_ratio", "path_probability")})
+    return c.withColumns({x: F.format_string("%.7e", x) for x in ("mass_above", "min_ratio", "path_probability")})
 
 
 @query("running_offsets", "SELECT page_id, length(html) AS size, coalesce(sum(length(html) + 1) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM pages")

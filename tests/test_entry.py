@@ -20,3 +20,13 @@ def test_nothing_else_imports_the_subpackage():
     for path in (ROOT / "lexspan").rglob("*.py"):
         if "llm" not in path.parts:
             assert "lexspan.llm" not in path.read_text()
+
+
+def test_no_name_is_defined_twice_in_a_module():
+    import ast
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parent.parent
+    for path in [*top.glob("*.py"), *top.glob("lexspan/**/*.py")]:
+        names = [x.name for x in ast.parse(path.read_text()).body if isinstance(x, (ast.FunctionDef, ast.ClassDef)) and x.name != "_"]
+        assert len(names) == len(set(names)), path
