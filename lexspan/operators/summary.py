@@ -53,10 +53,10 @@ def outliers(rows: DataFrame, by: list[str], preview: int = 300) -> DataFrame:
     return ordered.joined(found, texts, [*by, *own], "left")
 
 
-def with_coverage(rows: DataFrame, covered: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
-    """rows ⋈ covered without untruncated rows; missing ones are dropped, or fail the query if strict."""
+def with_coverage(rows: DataFrame, covered: DataFrame, keys: list[str], strict: bool = False, extra: list[str] | None = None) -> DataFrame:
+    """rows ⋈ covered (and its extra columns) without untruncated rows; missing ones are dropped, or fail the query if strict."""
     rows = rows.where("decoder <> 'untruncated'")
-    both = rows.join(covered.select(*keys, "coverage"), keys, "left" if strict else "inner")
+    both = rows.join(covered.select(*keys, *(extra or []), "coverage"), keys, "left" if strict else "inner")
     if strict:
         both = both.withColumn("coverage", F.coalesce("coverage", F.raise_error(F.lit("a configuration has no coverage")).cast("double")))
     return both

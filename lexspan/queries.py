@@ -467,23 +467,18 @@ rk AS (SELECT *, {RANK.format(b="model, temperature, filters, metric", v="x")} A
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = S.generation_summary(generations(spark, sf_dir), ["model", "decoder", "parameter"]).withColumn("model", F.concat(F.lit("model-"), F.right("model", F.lit(1))))
-    return S.with_coverage(summary, context_coverage(spark, sf_dir), ["model", "decoder", "parameter"])
-
-
-def _joined_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = S.generation_summary(generations(spark, sf_dir), ["model", "decoder", "parameter"]).withColumn("model", F.concat(F.lit("model-"), F.right("model", F.lit(1))))
-    return summary.join(context_coverage(spark, sf_dir).select("model", "temperature", "decoder", "parameter", "coverage"), ["model", "decoder", "parameter"])
+    return S.with_coverage(summary, context_coverage(spark, sf_dir), ["model", "decoder", "parameter"], extra=["temperature"])
 
 
 @query("diversity_with_coverage", f"WITH {COV_JOIN} SELECT model, temperature, decoder, parameter, round(mean_ttr, 9) AS mean_ttr, round(mean_mtld, 9) AS mean_mtld, round(coverage, 9) AS coverage FROM j")
 def _(spark, sf_dir):
-    return _joined_t(spark, sf_dir).select("model", "temperature", "decoder", "parameter", "mean_ttr", "mean_mtld", "coverage")
+    return joined(spark, sf_dir).select("model", "temperature", "decoder", "parameter", "mean_ttr", "mean_mtld", "coverage")
 
 
 @query("coverage_correlations", f"""WITH {JOIN_SQL} SELECT model, temperature, filters, metric, count(*) AS n, round({PEARSON.format(x="x", y="y")}, 9) AS pearson, round({PEARSON.format(x="rx", y="ry")}, 9) AS spearman
 FROM rk GROUP BY model, temperature, filters, metric HAVING count(*) >= 3""")
 def _(spark, sf_dir):
-    return S.filter_correlations(_joined_t(spark, sf_dir), ["model", "temperature"], ["mean_ttr", "mean_mtld"])
+    return S.filter_correlations(joined(spark, sf_dir), ["model", "temperature"], ["mean_ttr", "mean_mtld"])
 
 
 ORDERS = "o AS (SELECT o_orderpriority AS g, cast(o_custkey AS DOUBLE) AS x, o_totalprice AS y, o_orderkey AS k FROM orders)"
@@ -542,7 +537,7 @@ dr AS (SELECT d, cast('0x' || substr(md5('10298|' || d || '|' || q), 1, 8) AS BI
 st AS (SELECT d, sum(xy) / nullif(sqrt(sum(xx) * sum(yy)), 0) AS v FROM dr JOIN sums USING (k) GROUP BY d)
 SELECT round(sum(xy) / nullif(sqrt(sum(xx) * sum(yy)), 0), 9) AS rho, count(*) AS clusters, (SELECT round(quantile_cont(v, 0.025), 9) FROM st) AS low, (SELECT round(quantile_cont(v, 0.975), 9) FROM st) AS high FROM sums""")
 def _(spark, sf_dir):
-    return S.pooled_spearman(S.panel_ranks(_joined_t(spark, sf_dir), ["model", "temperature"], "mean_ttr"), "model", 10_000)
+    return S.pooled_spearman(S.panel_ranks(joined(spark, sf_dir), ["model", "temperature"], "mean_ttr"), "model", 10_000)
 
 
 @query("cluster_bootstrap", """WITH s AS (SELECT o_orderpriority AS g, o_custkey % 40 AS k, sum(o_totalprice) AS t, cast(count(*) AS DOUBLE) AS n FROM orders GROUP BY ALL),
@@ -562,7 +557,7 @@ pk AS (SELECT model, temperature, d, y, row_number() OVER (PARTITION BY model, t
 pr AS (SELECT pk.model, pk.temperature, d, {PEARSON.format(x="po.x", y="pk.y")} AS r FROM pk JOIN po USING (model, temperature, i) GROUP BY ALL)
 SELECT ob.model, ob.temperature, round(observed, 9) AS observed, round((count(*) FILTER (abs(r) >= abs(observed) - 1e-12) + 1) / 10001.0, 9) AS p FROM ob JOIN pr ON pr.model = ob.model AND pr.temperature = ob.temperature GROUP BY ob.model, ob.temperature, observed""")
 def _(spark, sf_dir):
-    j = _joined_t(spark, sf_dir).withColumn("o", F.concat_ws("|", "decoder", F.format_string("%08.3f", F.col("parameter"))))
+    j = joined(spark, sf_dir).withColumn("o", F.concat_ws("|", "decoder", F.format_string("%08.3f", F.col("parameter"))))
     return stats.permutation_p(j, ["model", "temperature"], "o", "coverage", "mean_ttr", 10_000)
 
 
