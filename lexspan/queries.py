@@ -47,8 +47,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    """Doubles at nine decimals: sums have no fixed order. Counts are 64-bit."""
-    kinds = {"double": lambda c: F.round(c, 9), "int": lambda c: c.cast("long")}
+    """Doubles at nine decimals, and zero without a sign: sums have no fixed order. Counts are 64-bit."""
+    kinds = {"double": lambda c: F.round(c, 9) + F.lit(0.0), "int": lambda c: c.cast("long")}
     return df.select(*[kinds[k](F.col(c)).alias(c) if k in kinds else F.col(c) for c, k in df.dtypes])
 
 
@@ -475,7 +475,7 @@ def _(spark, sf_dir):
     return joined(spark, sf_dir).select("model", "temperature", "decoder", "parameter", "mean_ttr", "mean_mtld", "coverage")
 
 
-@query("coverage_correlations", f"""WITH {JOIN_SQL} SELECT model, temperature, filters, metric, count(*) AS n, round({PEARSON.format(x="x", y="y")}, 9) AS pearson, round({PEARSON.format(x="rx", y="ry")}, 9) AS spearman
+@query("coverage_correlations", f"""WITH {JOIN_SQL} SELECT model, temperature, filters, metric, count(*) AS n, round({PEARSON.format(x="x", y="y")}, 9) + 0::DOUBLE AS pearson, round({PEARSON.format(x="rx", y="ry")}, 9) + 0::DOUBLE AS spearman
 FROM rk GROUP BY model, temperature, filters, metric HAVING count(*) >= 3""")
 def _(spark, sf_dir):
     return S.filter_correlations(joined(spark, sf_dir), ["model", "temperature"], ["mean_ttr", "mean_mtld"])
@@ -485,7 +485,7 @@ ORDERS = "o AS (SELECT o_orderpriority AS g, cast(o_custkey AS DOUBLE) AS x, o_t
 
 
 @query("group_correlations", f"""WITH {ORDERS}, r AS (SELECT g, x, y, {RANK.format(b="g", v="x")} AS rx, {RANK.format(b="g", v="y")} AS ry FROM o)
-SELECT g, 'y' AS metric, count(*) AS n, round({PEARSON.format(x="x", y="y")}, 9) AS pearson, round({PEARSON.format(x="rx", y="ry")}, 9) AS spearman FROM r GROUP BY g""")
+SELECT g, 'y' AS metric, count(*) AS n, round({PEARSON.format(x="x", y="y")}, 9) + 0::DOUBLE AS pearson, round({PEARSON.format(x="rx", y="ry")}, 9) + 0::DOUBLE AS spearman FROM r GROUP BY g""")
 def _(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").alias("y"))
     return stats.correlations(o, ["g"], "x", ["y"])
@@ -759,7 +759,7 @@ WORD_COUNTS = "wc AS (SELECT 'w' || (o_custkey % 20) AS word, count(*) AS count,
 j AS (SELECT model, temperature, score, cast(rank AS DOUBLE) AS r, log10(count) AS c FROM m JOIN wc USING (word)),
 v AS (SELECT model, temperature, 'rank' AS metric, score AS x, r AS y FROM j UNION ALL SELECT model, temperature, 'log_count', score, c FROM j),
 rk AS (SELECT *, {RANK.format(b="model, temperature, metric", v="x")} AS rx, {RANK.format(b="model, temperature, metric", v="y")} AS ry FROM v)
-SELECT model, temperature, metric, count(*) AS n, round({PEARSON.format(x="x", y="y")}, 9) AS pearson, round({PEARSON.format(x="rx", y="ry")}, 9) AS spearman FROM rk GROUP BY model, temperature, metric""")
+SELECT model, temperature, metric, count(*) AS n, round({PEARSON.format(x="x", y="y")}, 9) + 0::DOUBLE AS pearson, round({PEARSON.format(x="rx", y="ry")}, 9) + 0::DOUBLE AS spearman FROM rk GROUP BY model, temperature, metric""")
 def _(spark, sf_dir):
     checked = V.on_grid(paths(spark, sf_dir), grids.grid(spark))
     score = checked.groupBy("model", "temperature", "word").agg(F.avg(F.col("survives").cast("int")).alias("score"))
