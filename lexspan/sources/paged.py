@@ -24,7 +24,7 @@ CATALOGUE = "id long, title string, language string, text string"
 
 @dataclass
 class Page(InputPartition):
-    uri: str
+    name: str  # in the file system of the reader's path
 
 
 def retried(read: Callable[[], bytes], tries: int, wait: float) -> bytes:
@@ -74,16 +74,14 @@ class PagesReader(DataSourceReader):
 
         store, top = fs.FileSystem.from_uri(self.options["path"])
         found = store.get_file_info(fs.FileSelector(top, recursive=True))
-        files = sorted(f.path for f in found if f.is_file and f.size and not f.base_name.startswith((".", "_")))
-        scheme = self.options["path"].partition("://")[0]
-        return [Page(f"{scheme}://{p}") for p in files]
+        return [Page(p) for p in sorted(f.path for f in found if f.is_file and f.size and not f.base_name.startswith((".", "_")))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
         from pyarrow import fs
 
         def whole() -> bytes:
-            store, name = fs.FileSystem.from_uri(partition.uri)
-            with store.open_input_file(name) as f:
+            store, _ = fs.FileSystem.from_uri(self.options["path"])
+            with store.open_input_file(partition.name) as f:
                 return f.read()
 
         data = retried(whole, int(self.options.get("tries", 3)), float(self.options.get("wait", 1.0)))

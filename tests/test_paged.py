@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql.datasource import EqualNullSafe, EqualTo, GreaterThan, In, IsNotNull, IsNull
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from lexspan import queries, stored
 from lexspan.sources import paged
 
 ROWS = [{"id": i, "title": None if i % 4 == 0 else f"t{i}", "language": ["es", "fr", None][i % 3], "text": "é" * i} for i in range(25)]
@@ -34,6 +35,20 @@ def test_a_task_for_each_page_and_filters_at_the_source(spark, folder):
     assert [r for p in reader.partitions() for r in reader.read(p)] == [(r["id"], "es") for r in ROWS if r["language"] == "es"]
 
 
+@pytest.mark.parametrize("prefix", ["", "file:", "file://"])
+def test_paths_with_and_without_a_scheme(spark, folder, prefix):
+    path = prefix + folder.removeprefix("file://")
+    assert paged.read_pages(spark, path).count() == 25
+    reader = paged.PagesReader(StructType([StructField("id", LongType())]), {"path": path})
+    assert sorted(r[0] for p in reader.partitions() for r in reader.read(p)) == list(range(25))
+
+
+@pytest.mark.parametrize("name", ["paged_catalogue", "catalogue_skips"])
+def test_queries_under_a_plain_folder(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(stored, "shared_dir", lambda spark: str(tmp_path))
+    assert queries.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_filters_treat_null_as_sql_does():
     row = {"a": 1, "b": None}
     holds = lambda f: paged.passes([f])(row)
