@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 #: One class for what follows the first letter: an alternative there would cost Java a call for each letter.
 WORD = rf"{LETTER}[\p{{L}}\p{{Nl}}\p{{No}}'’\-]*+"
-LEXICAL = rf"{LETTER}+(?:['’\-]{LETTER}+)*"
+LEXICAL = rf"{LETTER}++(?:['’\-]{LETTER}++)*+"
 ASCII_WORD = r"[A-Za-z][A-Za-z'\-]*"
 EDGES = r"^['’\-]+|['’\-]+$"
 END_MARKS = ("'", "’", "-")

@@ -7,14 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.stored import shared_dir
+from lexspan.stored import ARROW_ROWS, shared_dir, small_batches  # noqa: F401 - the operators take them from here
 
 #: Estimates from here on are of plans whose size Spark doesn't know.
 UNKNOWN = 1 << 50
 
-#: Rows of a batch that goes to a Python worker.
-ARROW_ROWS = 1_000
-
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -52,15 +49,6 @@ def release(df: DataFrame) -> None:
     drop(df.sparkSession, df._scratch_path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python workers in batches of ARROW_ROWS at most, from now on in this session: texts can be long,
-    and both sides keep the memory of the largest batches that they have seen."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
 def parts(df: DataFrame, size: int) -> int:
     """How many parts of `size` bytes the rows make, as Spark estimates them, but no fewer than shuffle partitions."""
     n_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

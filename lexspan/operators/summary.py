@@ -71,6 +71,7 @@ def filter_correlations(joined: DataFrame, by: list[str], metrics: list[str], le
 def paired_effects(rows: DataFrame, by: list[str], endpoints: list[tuple[str, float, float]]) -> DataFrame:
     """by, decoder, metric: mean and median of permissive less restrictive, and the signed-rank test."""
     spark = rows.sparkSession
+    rows = stored.written(rows.select(*by, "sample_id", "decoder", "parameter", "reached", *METRICS))  # both ends read it
     table = F.broadcast(spark.createDataFrame(endpoints, "decoder string, lo double, hi double"))
     ends = rows.join(table, "decoder").where("parameter in (lo, hi)").where("reached")
     pick = lambda end: ends.where(F.col("parameter") == F.col(end)).select(*by, "sample_id", "decoder", *[F.col(m).alias(f"{end}_{m}") for m in METRICS])
