@@ -23,14 +23,15 @@ def small(df: DataFrame) -> DataFrame:
 def word_frequency(corpus: DataFrame, text: str = "text", group: str | None = None) -> DataFrame:
     """word, count; with a group, counts of each group and, as group null, of all together.
 
-    Tokens are counted as they stand; only the different ones are normalised, and their counts summed.
+    Tokens are counted as they stand; only the different ones are normalised, and their counts summed. What is
+    no word goes by an aggregate: Spark would take a condition on the word itself back to each token.
     """
     by = [group] if group else []
     tokens = stored.spread(corpus.select(*by, text)).select(*by, F.explode(T.words(F.col(text))).alias("t")).groupBy(*by, "t").agg(F.count("*").alias("n"))
-    words = tokens.select(*by, "n", T.normalize_word(F.col("t")).alias("word")).where("word <> ''")
+    words = tokens.select(*by, "n", T.normalize_word(F.col("t")).alias("word"))
+    counts = words.groupBy(*by, "word").agg(F.sum("n").alias("count"), F.max(F.length("word")).alias("_l")).where("_l > 0").drop("_l")
     if not group:
-        return words.groupBy("word").agg(F.sum("n").alias("count"))
-    counts = words.groupBy(group, "word").agg(F.sum("n").alias("count"))
+        return counts
     # The totals come from the counts, not from the tokens again; these are small beside the corpus.
     counts = stored.written(counts)
     return counts.unionByName(counts.groupBy("word").agg(F.sum("count").alias("count")).withColumn(group, F.lit(None).cast("string")))
@@ -94,22 +95,22 @@ def occurrences(corpus: DataFrame, targets: DataFrame, context: int, key: str =
     names = [r.word for r in targets.select("word").distinct().limit(TARGETS + 1).collect()]  # bounded
     if len(names) > TARGETS:
         return _occurrences_by_join(corpus, targets, context, key, text, lowercase_only)
-    rows = stored.spread(corpus.select(key, text)).select(key, tiles(F.col(text)).alias("_x")).where("_x is not null")
+    # Texts without hits end at posexplode; Spark would evaluate a condition on these columns from the text anew.
+    rows = stored.spread(corpus.select(key, text)).select(key, tiles(F.col(text)).alias("_x"))
 
-    # The first `context` tokens have too little before them.
-    found = F.transform("_x", lambda tile, at: F.struct(F.when(at >= 2 * context, _in_targets(tile, names)).alias("word"), at.alias("at"), tile.alias("tile")))
-    found = F.filter(found, lambda h: h["word"].isNotNull())
-    if lowercase_only:
-        found = F.filter(found, lambda h: ~T.is_capitalized(h["tile"]))
-    rows = rows.withColumn("_h", found).where(F.size("_h") > 0)
-    length = lambda tiles: F.aggregate(tiles, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    here = lambda h, i: F.when(i == 0, F.lit(0)).otherwise(F.get("_h", i - 1)["at"])
+    def place(tile: Column, at: Column) -> Column:
+        # The first `context` tokens have too little before them.
+        hit = (at >= 2 * context) & _in_targets(tile, names).isNotNull()
+        return F.when(hit & ~T.is_capitalized(tile) if lowercase_only else hit, at)
+
+    rows = rows.withColumn("_h", F.array_compact(F.transform("_x", place)))
+    between = lambda first, n: F.array_join(F.slice("_x", first + 1, n), "")
 
-    def cut(h: Column, i: Column) -> Column:
-        first = h["at"] - 2 * context
+    def cut(at: Column, i: Column) -> Column:
+        tile, here = F.get("_x", at), F.when(i == 0, F.lit(0)).otherwise(F.get("_h", i - 1))
         return F.struct(
-            h["word"].alias("word"), h["tile"].alias("matched"), length(F.slice("_x", here(h, i) + 1, h["at"] - here(h, i))).alias("gap"),
-            F.array_join(F.slice("_x", first + 1, F.lit(2 * context)), "").alias("before"))
+            _in_targets(tile, names).alias("word"), tile.alias("matched"), F.length(between(here, at - here)).cast("long").alias("gap"),
+            between(at - 2 * context, F.lit(2 * context)).alias("before"))
 
     hits = rows.select(key, F.posexplode(F.transform("_h", cut)).alias("_i", "_c")).select(key, "_i", "_c.*")
     start = F.sum("gap").over(Window.partitionBy(key).orderBy("_i"))
@@ -157,7 +158,7 @@ def circular_order(rows: DataFrame, offset: Column, start: str, word: str = "wor
 
 def accept(rows: DataFrame, accepted: Column, contexts: int, words: int, order: list[Column], word_order: list[Column]) -> DataFrame:
     """The first `contexts` accepted rows of each word that has so many, for the first `words` such words, with ids."""
-    first = per_word(rows.where(accepted), contexts, order)
+    first = stored.written(per_word(rows.where(accepted), contexts, order))  # read twice; `contexts` rows a word
     full = first.groupBy("word").agg(F.count("*").alias("c"), *[F.min(c).alias(f"_o{i}") for i, c in enumerate(word_order)]).where(F.col("c") >= contexts)
     chosen = full.orderBy(*[f"_o{i}" for i in range(len(word_order))], "word").limit(words)
     out = first.join(F.broadcast(chosen.drop("c")), "word")  # at most `words` rows

@@ -11,6 +11,9 @@ from lexspan import ordered
 from lexspan.functions import text as T
 from lexspan.operators import corpus
 
+#: Characters before a sample for each token of its prefix; a text is tiled whole where these don't hold enough.
+NEAR = 16
+
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work whose key isn't done yet; null keys count as equal."""
@@ -125,7 +128,13 @@ def every_kth(ranked: DataFrame, rank: str, stride: int) -> DataFrame:
 def repaired_prefixes(samples: DataFrame, corpus_rows: DataFrame, context: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """samples (key, start, ...) with `prefix` cut anew from the corpus; fails where too few tokens stand before a sample."""
     source = corpus_rows.select(key, F.regexp_replace(F.col(text), r"\r\n?", "\n").alias("_text"))
-    rows = samples.join(source, key).withColumn("_x", corpus.tiles(F.left("_text", F.col("start"))))
+    # The last NEAR characters for each token mostly hold enough; beyond the two tiles that their beginning
+    # may have cut they are tiled as the text is.
+    start, near = F.col("start"), F.lit(NEAR * context)
+    tail = F.substring("_text", F.greatest(start - near, F.lit(0)) + 1, F.least(start, near))
+    rows = samples.join(source, key).withColumn("_near", corpus.tiles(tail))
+    enough = (start <= near) | (F.size("_near") >= 2 * context + 2)
+    rows = rows.withColumn("_x", F.when(enough, F.col("_near")).otherwise(corpus.tiles(F.left("_text", start)))).drop("_near")
     # Tokens and what is between them alternate, and a gap may stand at the end.
     odd = F.when(F.element_at("_x", -1).rlike(f"^{T.LETTER}"), 2 * context - 1).otherwise(2 * context)
     short = F.size("_x") < odd
