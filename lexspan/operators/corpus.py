@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lexspan import stored
 from lexspan.functions import text as T
@@ -66,17 +69,24 @@ def tiles(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(text, r"\r\n?", "\n"), F.lit(rf"(?s){T.WORD}|[^\p{{L}}\p{{Nl}}\p{{No}}]+"), F.lit(0))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _running(numbers: pd.Series) -> pd.Series:
+    """The running sums of an array, in time linear in its length."""
+    return numbers.map(lambda a: None if a is None else np.cumsum(a, dtype=np.int32))
+
+
 def token_offsets(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, index, token, start, end (in characters) of every token; ends of lines count as one.
 
-    The text is tiled by tokens and what lies between; a running sum of lengths over a document's
-    own tiles gives the places.
+    The text is tiled by tokens and what lies between, in turn; a running sum of their lengths in the row
+    of the text gives the places, so that no token is shuffled.
     """
-    out = stored.spread(corpus.select(key, text)).select(key, F.posexplode(tiles(F.col(text))).alias("_k", "token"))
-    w = Window.partitionBy(key).orderBy("_k")
-    out = out.withColumn("end", F.sum(F.length("token")).over(w).cast("int")).withColumn("start", F.col("end") - F.length("token"))
+    stored.small_batches(corpus.sparkSession)
+    rows = stored.spread(corpus.select(key, text)).select(key, tiles(F.col(text)).alias("_x"))
+    rows = rows.withColumn("_e", _running(F.transform("_x", F.length)))
+    out = rows.select(key, F.posexplode(F.arrays_zip("_x", "_e")).alias("_k", "_t")).select(key, "_k", F.col("_t._x").alias("token"), F.col("_t._e").alias("end"))
     out = out.where(F.col("token").rlike(f"^{T.LETTER}"))
-    return out.select(key, (F.row_number().over(w) - 1).alias("index"), "token", "start", "end")
+    return out.select(key, F.shiftright("_k", 1).alias("index"), "token", (F.col("end") - F.length("token")).alias("start"), "end")
 
 
 def _in_targets(token: Column, words: list[str]) -> Column:
