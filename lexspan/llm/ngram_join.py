@@ -9,7 +9,9 @@ longer; here k is an eighth of the smaller set. Orders put tokens of many docume
 random otherwise. Candidates come from a join on the prefix tokens of the first order. A set that
 shares too few of these with all others together is out. Each set also has three small bitmaps, of its
 prefixes under the three orders; bits that one prefix has and the other lacks bound from above what
-both share, so that a pair goes on only if it can share enough under every order. What is left after
+both share, so that a pair goes on only if it can share enough under every order. How much is enough
+follows from both sizes (`need`): two sets of about one size must share two thirds of their prefixes, so that
+a set with many tokens of its own meets none of a group of near copies. What is left after
 all three filters is verified: its sets are fetched, their prefixes intersected, and compared. Equal
 sets are one class from the start.
 
@@ -37,7 +39,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,10 @@ BITS = 4
 SALTS = 16
 #: Classes to compare are broadcast up to this many rows (up to 100 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Words whose hashes a worker keeps; only saves time.
+WORDS = 20_000
+#: Postings that a task sends at a time.
+HELD = 1 << 18
 #: Digests of sets that a task remembers, to pass over copies early.
 SEEN = 200_000
 #: Postings that a task may hold, bytes of sets in a part (as many as its pairs at most), and partners of a set in one part.
@@ -74,9 +79,25 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit integers whose results look random."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
+
+
+class Hashes(dict):
+    """Hashes of words; those of the first WORDS words are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < WORDS and len(word) <= 32:
+            self[word] = h
+        return h
+
+
+_hashes = Hashes()
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -84,12 +105,13 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_ASCII).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     k = min(k, len(h))
     out = np.full(len(h) - k + 1, len(h) if len(h) < SHINGLE else SHINGLE, np.uint64)
     for i in range(k):
         out = mix(out ^ h[i : len(h) - k + 1 + i], i)
-    return np.unique(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def least_common(n):
@@ -110,6 +132,31 @@ def prefix_size(n):
     return n - least_common(n) + margin(n)
 
 
+def need(n, m):
+    """How many prefix tokens two sets of these sizes must share to link, under each order.
+
+    They share ceil(4 (n + m) / 9) tokens. Of the set whose prefix ends first, all tokens of its prefix that
+    the other one has lie in the other one's prefix too, so at most the rest of that set is shared outside prefixes.
+    """
+    return np.maximum(1, (4 * (n + m) + 8) // 9 - np.maximum(n - prefix_size(n), m - prefix_size(m)))
+
+
+def least_shared(n: Column) -> Column:
+    """`least_common` of a column."""
+    return F.floor((4 * n + 4) / 5)
+
+
+def margins(n: Column) -> Column:
+    """`margin` of a column."""
+    return F.greatest(F.lit(1), F.floor(n / MARGIN))
+
+
+def needed(n: Column, m: Column) -> Column:
+    """`need` of columns."""
+    rest = lambda x: least_shared(x) - margins(x)
+    return F.greatest(F.lit(1), F.floor((4 * (n + m) + 8) / 9) - F.greatest(rest(n), rest(m)))
+
+
 def prefix(tokens: np.ndarray, ranks: np.ndarray, order: int, in_order: bool = True) -> np.ndarray:
     """The first tokens under an order, by how common they are and at random within that; in any order if that doesn't matter."""
     p = int(prefix_size(len(tokens)))
@@ -138,10 +185,12 @@ def sketches(tokens: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return np.concatenate([bitmap(prefix(tokens, ranks, k, in_order=False)) for k in range(ORDERS)])
 
 
-def may_share(a: Column, b: Column, n: Column, m: Column) -> Column:
-    """Whether sets of n and m tokens with these sketches can share enough prefix tokens under every order."""
-    least = lambda x: F.greatest(F.lit(1), F.floor(x / MARGIN))
-    size = lambda x: x - F.floor((4 * x + 4) / 5) + least(x)
+def may_share(a: Column, b: Column, n: Column, m: Column, enough: Column | None = None) -> Column:
+    """Whether sets of n and m tokens with these sketches can share enough prefix tokens under every order.
+
+    Without a number that is enough, one that any two sets with one of these sizes must share.
+    """
+    size = lambda x: x - least_shared(x) + margins(x)
     words = F.least(F.size(a), F.size(b)) / ORDERS  # of each order, in the shorter sketch
 
     def folded(s: Column, k: int) -> Column:
@@ -154,7 +203,7 @@ def may_share(a: Column, b: Column, n: Column, m: Column) -> Column:
     def apart(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, c: s + c)
 
-    enough = F.least(least(n), least(m))
+    enough = F.least(margins(n), margins(m)) if enough is None else enough
     tests = F.lit(True)
     for k in range(ORDERS):
         x, y = folded(a, k), folded(b, k)
@@ -175,7 +224,6 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 
 _WORDS = pa.list_(pa.int64())
-SHARED = ["token", "digest", "size", "sketch"]
 SIGNED = "doc_id long, n int, digest long, block int, counts binary"
 
 
@@ -225,15 +273,30 @@ def commonness(signed: DataFrame) -> np.ndarray:
     return ranks.astype(np.uint8)
 
 
-#: size: four times the size of the set, plus the level of the token's place. A set's sketches stand in a row without token.
-POSTED = "token long, salt int, digest long, size int, sketch array<long>"
+#: A posting: size is eight times the size of the set, plus twice the level of the token's place, plus 1 if the token is common.
+POSTING = np.dtype([("token", "<u8"), ("digest", "<u8"), ("size", "<u4")])
+
 
+def _packed(tokens: list[np.ndarray], digests: list[int], sizes: list[np.ndarray], ranks: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each part with its postings; those of a common token lie in SALTS parts by their sets."""
+    out = np.empty(sum(map(len, tokens)), POSTING)
+    token, digest = np.concatenate(tokens), np.repeat(np.array(digests, np.uint64), [len(t) for t in tokens])
+    common = ranks[(token >> np.uint64(44)).astype(np.int64)] > 0
+    part = (mix(token + np.where(common, digest % np.uint64(SALTS), np.uint64(0)), 31) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part)
+    out["token"], out["digest"], out["size"] = token[order], digest[order], (np.concatenate(sizes) * 2 + common)[order]
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(ends))
+    at = np.append(ends[some], len(out)) * POSTING.itemsize
+    data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), data], ["part", "postings"])
 
-def _postings(ranks):
+
+def _postings(ranks, parts: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        tokens, digests, sizes, held = [], [], [], 0
         for batch in _slices(batches):
-            tokens, digests, sizes, own = [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
                 digest = xxhash.xxh3_64_intdigest(s.tobytes())
@@ -243,53 +306,65 @@ def _postings(ranks):
                     seen.add(digest)
                 first = prefix(s, ranks.value, 0)
                 tokens.append(first)
-                digests.append(np.full(len(first), digest ^ (1 << 63), np.uint64))
+                digests.append(digest ^ (1 << 63))
                 sizes.append(len(s) * 4 + levels(len(s), len(first)))
-                own.append((digest ^ (1 << 63), len(s) * 4, sketches(s, ranks.value).view(np.int64)))
-            if tokens:
-                t, d = np.concatenate(tokens), np.concatenate(digests)
-                common = ranks.value[(t >> np.uint64(44)).astype(np.int64)] > 0
-                salt = np.where(common, (d % np.uint64(SALTS)).astype(np.int32), -1).astype(np.int32)
-                yield _batch({"token": (t.view(np.int64), pa.int64()), "salt": (salt, pa.int32()), "digest": (d.view(np.int64), pa.int64()), "size": (np.concatenate(sizes).astype(np.int32), pa.int32()), "sketch": ([None] * len(t), _WORDS)})
-                digest, size, sketch = zip(*own, strict=True)
-                digest, nothing = np.array(digest, np.uint64).view(np.int64), [None] * len(own)
-                yield _batch({"token": (nothing, pa.int64()), "salt": ([int(d % SALTS) for d in digest], pa.int32()), "digest": (digest, pa.int64()), "size": (size, pa.int32()), "sketch": (list(sketch), _WORDS)})
+                held += len(first)
+                if held >= HELD:
+                    yield _packed(tokens, digests, sizes, ranks.value, parts)
+                    tokens, digests, sizes, held = [], [], [], 0
+        if held:
+            yield _packed(tokens, digests, sizes, ranks.value, parts)
 
     return post
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of tokens that more than one set has; of salted tokens all, each once; and the sketches."""
-    parts = []
-    for b in batches:
-        is_sketch = b.column(4).is_valid()
-        own = b.filter(is_sketch)
-        if own.num_rows:
-            yield own.select(SHARED)
-        rest = b.filter(pc.invert(is_sketch))
-        parts.append([rest.column(i).to_numpy() for i in range(4)])
+    """The postings of tokens that more than one set has; of common tokens all; each once."""
+    parts = [np.frombuffer(x.as_buffer(), POSTING) for b in batches for x in b.column(0)]
     if not parts:
         return
-    token, salt, digest, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    x = np.concatenate(parts)
     del parts
-    order = np.lexsort((digest, token))
-    token, salt, digest, n = token[order], salt[order], digest[order], n[order]
-    new = np.ones(len(token), bool)
+    x = x[np.argsort(x["token"])]
+    same = x["token"][1:] == x["token"][:-1]
+    x = x[np.append(same, False) | np.append([False], same) | (x["size"] % 2 == 1)]
+    x = x[np.lexsort((x["digest"], x["token"]))]
+    token, digest, size = x["token"], x["digest"], x["size"]
+    new = np.ones(len(x), bool)  # tasks post copies of their own
     new[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])
-    token, salt, digest, n = token[new], salt[new], digest[new], n[new]
+    token, digest, size = token[new], digest[new], size[new]
     same = token[1:] == token[:-1]
-    more = np.append(same, False) | np.append([False], same) | (salt >= 0)
-    for i in range(0, int(more.sum()), 1 << 17):
-        part = np.flatnonzero(more)[i : i + (1 << 17)]
-        yield _batch({"token": (token[part], pa.int64()), "digest": (digest[part], pa.int64()), "size": (n[part], pa.int32()), "sketch": ([None] * len(part), _WORDS)})
+    more = np.flatnonzero(np.append(same, False) | np.append([False], same) | (size % 2 == 1))
+    for i in range(0, len(more), 1 << 17):
+        part = more[i : i + (1 << 17)]
+        yield _batch({"token": (token[part].view(np.int64), pa.int64()), "digest": (digest[part].view(np.int64), pa.int64()), "size": ((size[part] // 2).astype(np.int32), pa.int32())})
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each text, once for each part that compares it."""
-    for batch in batches:
-        for rep, text, parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            n = len(parts)
-            yield _batch({"part": (parts, pa.int32()), "a": ([rep] * n, pa.int64()), "b": ([None] * n, pa.int64()), "tokens": ([shingles(text).tobytes()] * n, pa.binary())})
+def _sets(ranks):
+    """The set of each text, its size, digest and sketches."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def packed() -> pa.RecordBatch:
+            rep, n, digest, tokens, sketch = zip(*rows, strict=True)
+            return _batch({"rep": (rep, pa.int64()), "n": (n, pa.int32()), "digest": (digest, pa.int64()), "tokens": (tokens, pa.binary()), "sketch": (sketch, _WORDS)})
+
+        for batch in batches:
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingles(text)
+                if not len(s):
+                    continue
+                tokens = s.tobytes()
+                rows.append((rep, len(s), xxhash.xxh3_64_intdigest(tokens) - (1 << 63), tokens, sketches(s, ranks.value).view(np.int64)))
+                held += len(tokens)
+                if held >= SET_BYTES // 4:
+                    yield packed()
+                    rows, held = [], 0
+        if rows:
+            yield packed()
+
+    return sets
 
 
 def _compared(ranks):
@@ -313,7 +388,7 @@ def _compared(ranks):
 
         def linked(a: int, i: int, b: int, j: int) -> bool:
             x, y = sets[a][i], sets[b][j]
-            least = min(margin(len(x)), margin(len(y)))
+            least = need(len(x), len(y))
             if any(common(first(a, i, k), first(b, j, k)) < least for k in range(ORDERS)):
                 return False
             return links(len(x), len(y), common(x, y))
@@ -347,7 +422,7 @@ def dealt(pairs: DataFrame, parts: int) -> DataFrame:
     return out.select(F.pmod(F.xxhash64("a", salt), F.lit(parts)).cast("int").alias("part"), "a", "b")
 
 
-def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, ranks) -> DataFrame:
+def verified(pairs: DataFrame, sizes: DataFrame, kept: DataFrame, ranks) -> DataFrame:
     """Those of the pairs (a, b, big) whose sets link. A part holds the sets of its pairs, each once, in bounded bytes."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     n_sets, tokens = ids.join(sizes, "rep").agg(F.count("*"), F.sum("n")).first()
@@ -357,7 +432,7 @@ def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, ranks) -> Dat
     ends = pairs.select("part", F.explode(F.array("a", "b")).alias("rep"))
     need = scratch.written(ends.groupBy("rep").agg(F.collect_set("part").alias("parts")), "needed")
     need = F.broadcast(need) if n_sets <= BROADCAST_ROWS else need
-    sets = texts.join(need, F.col("doc_id") == F.col("rep")).select("rep", "text", "parts").mapInArrow(_set_rows, "part int, a long, b long, tokens binary")
+    sets = kept.select("rep", "tokens").join(need, "rep").select(F.explode("parts").alias("part"), F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
     rows = sets.union(pairs.select("part", "a", "b", F.lit(None).cast("binary")))
     rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("b").isNotNull())
     return rows.mapInArrow(_compared(ranks), "a long, b long")
@@ -371,53 +446,56 @@ def link_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = scratch.written(texts.mapInArrow(_signatures, SIGNED), "signatures")
     signed = both.where(F.col("n").isNotNull()).select("doc_id", "n", "digest")
     ranks = spark.sparkContext.broadcast(commonness(both))
+    scratch.give_back()  # counts of all slots go
     reps = signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
 
     n_posted = signed.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_posted) // 3 // POSTINGS + 1)
-    posted = texts.select("text").mapInArrow(_postings(ranks), POSTED).repartition(tasks, F.coalesce("token", "digest"), "salt")
-    written = scratch.written(posted.mapInArrow(_shared, "token long, digest long, size int, sketch array<long>"), "shared")
-    shared = written.where("token is not null").select("token", "digest", F.shiftright("size", 2).alias("n"), (F.col("size") % 4).alias("level"))
-    # A set that shares fewer prefix tokens than any partner would need has none.
-    smallest = F.floor((4 * F.col("n") + 4) / 5)
-    enough = shared.groupBy("digest", "n").count().where(F.col("count") >= F.greatest(F.lit(1), F.floor(smallest / MARGIN)))
-    # The larger the share of its tokens that others have, the likelier a set is amid its near copies.
-    enough = enough.join(reps, ["digest", "n"]).select("digest", "n", "rep", (F.col("count") / F.col("n")).alias("central"))
-    enough = scratch.written(enough, "enough")
-    here = F.broadcast(enough) if enough.count() <= BROADCAST_ROWS else enough
-    active = scratch.written(shared.join(here, ["digest", "n"]).select("token", "rep", "n", "level", "central"), "active")
-    # Sets of equal size and digest are one class, so any of their sketches will do; classes may have one rep if ids repeat.
-    own = written.where("sketch is not null").select("digest", F.shiftright("size", 2).alias("n"), "sketch").dropDuplicates(["digest", "n"])
-    own = scratch.written(own.join(here, ["digest", "n"]).select("rep", "n", "sketch"), "sketches")
+    posted = texts.select("text").mapInArrow(_postings(ranks, tasks), "part int, postings binary").repartitionById(tasks, F.col("part"))
+    written = scratch.written(posted.select("postings").mapInArrow(_shared, "token long, digest long, size int"), "shared")
+    shared = written.select("token", "digest", F.shiftright("size", 2).alias("n"), (F.col("size") % 4).alias("level"))
+    # k: how many of its prefix tokens others have. A set with fewer than any partner would need has no partner.
+    enough = shared.groupBy("digest", "n").agg(F.count("*").cast("int").alias("k")).where(F.col("k") >= margins(least_shared(F.col("n"))))
+    enough = scratch.written(enough.join(reps, ["digest", "n"]).select("digest", "n", "rep", "k"), "enough")
+    few = enough.count() <= BROADCAST_ROWS
+    here = F.broadcast(enough) if few else enough
+    active = scratch.written(shared.join(here, ["digest", "n"]).select("token", "rep", "n", "level", "k"), "active")
     scratch.release(written)
-    repeated = own.groupBy("rep").agg(F.count("*").alias("k"), F.max("n").alias("most"))
-    sizes = scratch.written(repeated.select("rep", F.col("most").alias("n"), (F.col("k") > 1).alias("several")), "sizes")
-    # A rep that stands for several sets is not tested by sketches.
-    tested = own.join(sizes.where("not several").select("rep"), "rep")
+    # Sets that may have partners are made once more and kept, as each round compares some.
+    ids = enough.select("rep").distinct()
+    kept = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep")).select("rep", "text")
+    kept = scratch.written(kept.mapInArrow(_sets(ranks), "rep long, n int, digest long, tokens binary, sketch array<long>"), "sets")
+    sizes = kept.groupBy("rep").agg(F.max("n").alias("n"), (F.min("digest") != F.max("digest")).alias("several"))
+    sizes = scratch.written(sizes, "sizes")
+    # A rep that stands for several sets, as ids repeat, is not tested by sketches.
+    tested = kept.select("rep", "n", "sketch").join(sizes.where("not several").select("rep"), "rep").dropDuplicates(["rep"])
+    tested = scratch.written(tested, "sketches")
     n_reps = sizes.count()
 
     linked, labels, enough_pivots = None, spark.createDataFrame([], "id long, comp long"), False
     for turn in range(ROUNDS + 1):
         if enough_pivots and turn < ROUNDS:
             continue
-        posts = active.join(labels, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", "level", "central", F.coalesce("comp", "rep").alias("comp"))
-        # Pivots are the most central sets first, then any; many tokens of a group agree on them.
-        turn_order = F.struct((-F.col("central") if turn % 2 == 0 else F.lit(0.0)).alias("c"), F.xxhash64(F.lit(turn), F.pmod("token", F.lit(PIVOTS)), "rep").alias("h"))
-        mixed = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "n", "comp"), turn_order).alias("pivot")).where("lo < hi")
-        fits = lambda m: (5 * F.col("n") >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col("n"))
+        posts = active.join(labels, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", "level", "k", F.coalesce("comp", "rep").alias("comp"))
+        # Pivots are the most central sets first, then any; many tokens of a group agree on them. The larger the
+        # share of its tokens that others have, the likelier a set is amid its near copies.
+        turn_order = F.struct((-F.col("k") / F.col("n") if turn % 2 == 0 else F.lit(0.0)).alias("c"), F.xxhash64(F.lit(turn), F.pmod("token", F.lit(PIVOTS)), "rep").alias("h"))
+        mixed = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "n", "k", "comp"), turn_order).alias("pivot")).where("lo < hi")
+        # Sizes fit, and neither set has fewer tokens in common with others than this pair must share.
+        fits = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n")) & (F.least("k", "l") >= needed(F.col("n"), F.col("m")))
         if turn < ROUNDS:
-            met = posts.join(mixed.select("token", F.col("pivot.rep").alias("r"), F.col("pivot.n").alias("m"), F.col("pivot.comp").alias("c")), "token")
-            met = met.where((F.col("comp") != F.col("c")) & fits("m"))
+            met = posts.join(mixed.select("token", F.col("pivot.rep").alias("r"), F.col("pivot.n").alias("m"), F.col("pivot.k").alias("l"), F.col("pivot.comp").alias("c")), "token")
+            met = met.where((F.col("comp") != F.col("c")) & fits)
         else:
-            open_posts = posts.join(mixed.select("token"), "token")
-            # Again a set is out that shares too few tokens with sets of other components.
-            still = open_posts.groupBy("rep").agg(F.count("*").alias("k"), F.first("n").alias("n0"))
-            still = still.where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.floor((4 * F.col("n0") + 4) / 5) / MARGIN))).select("rep")
-            open_posts = scratch.written(open_posts.join(still, "rep"), "open")
+            # From here on k counts tokens that sets of other components have.
+            open_posts = posts.drop("k").join(mixed.select("token"), "token")
+            still = open_posts.groupBy("rep", "n").agg(F.count("*").cast("int").alias("k"))
+            still = still.where(F.col("k") >= margins(least_shared(F.col("n"))))
+            open_posts = scratch.written(open_posts.join(still, ["rep", "n"]), "open")
             # The smaller set comes with its shortest prefix, the larger one with a longer one.
-            other = open_posts.where("level >= 1").select("token", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("c"))
+            other = open_posts.where("level >= 1").select("token", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("k").alias("l"), F.col("comp").alias("c"))
             smaller = (F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("rep") < F.col("r"))
-            met = open_posts.where("level = 2").join(other, "token").where((F.col("comp") != F.col("c")) & smaller & fits("m"))
+            met = open_posts.where("level = 2").join(other, "token").where((F.col("comp") != F.col("c")) & smaller & fits)
         # Rounds of pivots only merge what is quick to find, so they ask for more than one common token;
         # the last round leaves nothing out.
         met = met.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("big"))
@@ -426,13 +504,14 @@ def link_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = scratch.written(filtered(pairs.select("a", "b", "big"), tested), "pairs")
         if pairs.isEmpty():
             continue  # pivots that fit no other set leave pairs to later rounds
-        new = scratch.written(verified(pairs, sizes, texts, ranks), "links")
+        new = scratch.written(verified(pairs, sizes, kept, ranks), "links")
         scratch.release(pairs)
         n_new = new.count()
         enough_pivots = turn > 0 and n_new <= FEW_LINKS * n_reps
         if n_new:
             linked = new if linked is None else linked.union(new)
             labels = components(linked)
+            labels = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
     return signed, labels
 
 
@@ -440,7 +519,7 @@ def filtered(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs that can share enough prefix tokens under every order."""
     side = lambda c, n, s: tested.select(F.col("rep").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
     both = pairs.join(side("a", "n_a", "s_a"), "a", "left").join(side("b", "n_b", "s_b"), "b", "left")
-    can = F.coalesce(may_share(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b")), F.lit(True))
+    can = F.coalesce(may_share(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), needed(F.col("n_a"), F.col("n_b"))), F.lit(True))
     return both.where(can).select("a", "b", "big")
 
 

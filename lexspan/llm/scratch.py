@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,14 @@ def release(df: DataFrame) -> None:
     drop(df.sparkSession, df._scratch_path)
 
 
+def give_back() -> None:
+    """Return to the system what Python has freed: the allocator keeps it else, for as long as the driver lives."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def parts(df: DataFrame, size: int) -> int:
     """How many parts of `size` bytes the rows make, as Spark estimates them, but no fewer than shuffle partitions."""
     n_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

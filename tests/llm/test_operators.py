@@ -91,6 +91,34 @@ def test_ngram_join_of_copies_that_a_longer_text_quotes(spark):
     assert sorted(map(tuple, ngram_join.ngram_join(df).collect())) == expected
 
 
+def test_ngram_join_lists_few_pairs_beside_a_group_of_near_copies(spark, monkeypatch):
+    # Each outlier shares most of a base with 60 near copies, but too little of it to link with any.
+    base = prose(400, 90)
+    w = base.split()
+    texts = [(i, edited(base, 1, i)) for i in range(60)]
+    texts += [(100 + i, " ".join(["own" + str(k * 99 + i) if k % 37 == i % 37 else x for k, x in enumerate(w)])) for i in range(30)]
+    listed, plain = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: listed.append(pairs.count()) or plain(pairs, *rest))
+    got = sorted(map(tuple, ngram_join.ngram_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()))
+    assert got == components_by_force(texts) and len({c for _, _, c in got}) == 31
+    assert sum(listed) < 6 * len(texts)
+
+
+def test_sets_that_link_share_what_they_need_of_prefixes():
+    r = np.random.default_rng(8)
+    ranks = r.integers(0, 3, 1 << 20).astype(np.uint8)
+    linked = 0
+    for _ in range(3000):
+        n = int(r.integers(1, 80))
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < r.choice([0.85, 0.9, 0.95, 1.0])], r.integers(0, 1 << 63, int(r.integers(0, 1 + n // 6))).astype(np.uint64)]))
+        if len(y) and ngram_join.links(len(x), len(y), len(np.intersect1d(x, y))):
+            linked += 1
+            for k in range(ngram_join.ORDERS):
+                assert len(np.intersect1d(ngram_join.prefix(x, ranks, k), ngram_join.prefix(y, ranks, k))) >= ngram_join.need(len(x), len(y))
+    assert linked > 1000
+
+
 def test_one_of_each(docs, empty):
     kept = sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect())
     assert kept == sorted({c for _, n, c in components_by_force(TEXTS)})
