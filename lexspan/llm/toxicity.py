@@ -17,7 +17,6 @@ gives an empty result; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import math
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -218,7 +217,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     share = float(y.mean()) if len(y) else 0.0
     if len(set(y)) < 2:
         return Model(frozenset(), None, (np.zeros(1), np.zeros(1)), share)
-    words = [list(map(sys.intern, cores(t))) for t, _ in rows]  # each word is held once
+    held_once: dict[str, str] = {}
+    words = [[held_once.setdefault(w, w) for w in cores(t)] for t, _ in rows]
     both = list(zip(words, y.astype(int), strict=True))
     fold = np.arange(len(rows)) % FOLDS
     crossed = [Lexicon(learn_lexicon([r for r, f in zip(both, fold, strict=True) if f != k])) for k in range(FOLDS)]
@@ -239,7 +239,9 @@ def _scored(model):
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = labelled.FIT_ROWS) -> Model:
-    return fit([(t, y) for _, t, y in labelled.sample(documents, labels, "toxic", BY, HELD_OUT, rows)])
+    model = fit([(t, y) for _, t, y in labelled.sample(documents, labels, "toxic", BY, HELD_OUT, rows)])
+    scratch.give_back()  # the sample and its words go
+    return model
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, rows: int = labelled.FIT_ROWS) -> DataFrame:

@@ -119,6 +119,14 @@ def test_sets_that_link_share_what_they_need_of_prefixes():
     assert linked > 1000
 
 
+def test_training_gives_the_memory_of_its_sample_back(spark, monkeypatch):
+    given, plain = [], toxicity.scratch.give_back
+    monkeypatch.setattr(toxicity.scratch, "give_back", lambda: given.append(plain()))
+    texts = spark.createDataFrame([(i, "you awful fool" if i % 2 else "a fine day") for i in range(40)], "doc_id long, text string")
+    model = toxicity.train(texts, texts.selectExpr("doc_id", "int(doc_id % 2) AS toxic"))
+    assert given and model.trees is not None
+
+
 def test_one_of_each(docs, empty):
     kept = sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect())
     assert kept == sorted({c for _, n, c in components_by_force(TEXTS)})
