@@ -1,4 +1,4 @@
-"""A bounded sample of labelled documents, to fit a classifier on the driver."""
+"""A bounded sample of labelled documents, to fit a classifier on."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ def remainder(doc_id: Column | str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit(""))) % by
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, by: int, held_out: int, rows: int = FIT_ROWS) -> list[tuple[str, int]]:
-    """(text, label) of labelled documents outside the held-out remainder, by a hash of their ids.
+def sampled(documents: DataFrame, labels: DataFrame, label: str, by: int, held_out: int, rows: int = FIT_ROWS) -> DataFrame:
+    """(t, y, id): text and label of labelled documents outside the held-out remainder, by a hash of their ids.
 
     Labels other than 0 and 1 are left out; of repeated ids each label that is given counts once.
     """
@@ -24,5 +24,9 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, by: int, held_ou
     if n > rows:
         known = known.where(F.pmod(F.xxhash64("id", F.lit(label)), F.lit(1_000_000)) < int(1e6 * rows / n))
     known = F.broadcast(known)  # about `rows` rows at most
-    found = documents.select("doc_id", "text").join(known, F.col("doc_id") == F.col("id")).select(F.coalesce("text", F.lit("")).alias("t"), "y", "id")
-    return sorted((r.id, r.t, r.y) for r in found.collect())
+    return documents.select("doc_id", "text").join(known, F.col("doc_id") == F.col("id")).select(F.coalesce("text", F.lit("")).alias("t"), "y", "id")
+
+
+def sample(documents: DataFrame, labels: DataFrame, label: str, by: int, held_out: int, rows: int = FIT_ROWS) -> list[tuple[int, str, int]]:
+    """(id, text, label) of `sampled`, in order."""
+    return sorted((r.id, r.t, r.y) for r in sampled(documents, labels, label, by, held_out, rows).collect())

@@ -20,14 +20,16 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm import labelled, scratch
+from lexspan.stored import numbered
 
 BY, HELD_OUT, THRESHOLD = 4, 2, 0.3
 STARTS = (4, 5)
@@ -56,20 +58,33 @@ def cores(text: str) -> list[str]:
     return [w.strip(SIGNS) for w in text.lower().split()]
 
 
-def learn_lexicon(rows: list[tuple[list[str], int]]) -> frozenset[str]:
+def frequent(toxic: dict[str, int], n: dict[int, int]) -> set[str]:
+    """Units of enough toxic rows; n: how many rows have each label."""
+    return {u for u, c in toxic.items() if c >= least(n) and u not in ("", "*")}
+
+
+def least(n: dict[int, int]) -> int:
+    return max(LEAST, math.ceil(SHARE * n[1]))
+
+
+def chosen(toxic: dict[str, int], other: dict[str, int], n: dict[int, int]) -> frozenset[str]:
     """Units far more common among toxic rows, by document counts."""
+    held = frequent(toxic, n)
+    odds = {u: math.log((toxic[u] + 0.5) / (n[1] + 1)) - math.log((other[u] + 0.5) / (n[0] + 1)) for u in held}
+    return frozenset(sorted((u for u in held if odds[u] >= ODDS), key=lambda u: (-odds[u] * toxic[u], u))[:UNITS])
+
+
+def learn_lexicon(rows: list[tuple[list[str], int]]) -> frozenset[str]:
     toxic, other = Counter(), Counter()
     n = Counter(y for _, y in rows)
     for words, y in rows:
         if y:
             toxic.update(units(words))
-    least = max(LEAST, math.ceil(SHARE * n[1]))
-    held = {u for u, c in toxic.items() if c >= least and u not in ("", "*")}
+    held = frequent(toxic, n)
     for words, y in rows:
         if not y:
             other.update(held & units(words))
-    odds = {u: math.log((toxic[u] + 0.5) / (n[1] + 1)) - math.log((other[u] + 0.5) / (n[0] + 1)) for u in held}
-    return frozenset(sorted((u for u in held if odds[u] >= ODDS), key=lambda u: (-odds[u] * toxic[u], u))[:UNITS])
+    return chosen(toxic, other, n)
 
 
 class Lexicon:
@@ -212,21 +227,79 @@ class Model:
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model from (text, label) rows."""
+    """A model from (text, label) rows at hand; `train` makes the same from tables."""
     y = np.array([v for _, v in rows], float)
-    share = float(y.mean()) if len(y) else 0.0
     if len(set(y)) < 2:
-        return Model(frozenset(), None, (np.zeros(1), np.zeros(1)), share)
-    held_once: dict[str, str] = {}
-    words = [[held_once.setdefault(w, w) for w in cores(t)] for t, _ in rows]
+        return _constant(y.sum(), len(y))
+    words = [cores(t) for t, _ in rows]
     both = list(zip(words, y.astype(int), strict=True))
     fold = np.arange(len(rows)) % FOLDS
     crossed = [Lexicon(learn_lexicon([r for r, f in zip(both, fold, strict=True) if f != k])) for k in range(FOLDS)]
     x = np.array([features(t, w, crossed[f]) for (t, _), w, f in zip(rows, words, fold, strict=True)])
-    held = np.zeros(len(rows))
+    return _fitted(learn_lexicon(both), x, y)
+
+
+def _constant(n_toxic: float, n: int) -> Model:
+    return Model(frozenset(), None, (np.zeros(1), np.zeros(1)), float(n_toxic) / n if n else 0.0)
+
+
+def _fitted(lexicon: frozenset[str], x: np.ndarray, y: np.ndarray) -> Model:
+    """A model from the features of rows, whose folds take turns."""
+    fold = np.arange(len(y)) % FOLDS
+    held = np.zeros(len(y))
     for k in range(FOLDS):
         held[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(learn_lexicon(both), Trees().fit(x, y), isotonic(held, y), share)
+    return Model(lexicon, Trees().fit(x, y), isotonic(held, y), float(y.mean()))
+
+
+def _tallied(held):
+    """In how many texts of a task and fold each unit stands, or each of those held."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [Counter() for _ in range(FOLDS)]
+        for batch in batches:
+            for fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = units(cores(text))
+                counts[fold].update(found & held.value if held else found)
+        for fold, count in enumerate(counts):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(count), pa.string()), pa.array([fold] * len(count), pa.int32()), pa.array(list(count.values()), pa.int64())], ["unit", "fold", "n"])
+
+    return tally
+
+
+def _tally(sample: DataFrame, label: int, held=None) -> DataFrame:
+    """unit, n_0, n_1, ...: in how many texts of a label and each fold it stands."""
+    rows = sample.where(F.col("y") == label).select("fold", "t").mapInArrow(_tallied(held), "unit string, fold int, n long")
+    return rows.groupBy("unit").agg(*[F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in range(FOLDS)])
+
+
+def learn_lexicons(sample: DataFrame, n: dict[tuple[int, int], int]) -> list[frozenset[str]]:
+    """For each fold the lexicon of all other folds, and last that of all; n: how many rows have each fold and label.
+
+    Units are counted by tasks; only those that stand in enough toxic texts come to the driver.
+    """
+    folds = [[j for j in range(FOLDS) if j != k] for k in range(FOLDS + 1)]
+    totals = [{y: sum(n.get((j, y), 0) for j in own) for y in (0, 1)} for own in folds]
+    enough = [sum(F.col(f"n_{j}") for j in own) >= least(total) for own, total in zip(folds, totals, strict=True)]
+    toxic = {r.unit: r[1:] for r in _tally(sample, 1).where(reduce(Column.__or__, enough)).collect()}
+    held = sample.sparkSession.sparkContext.broadcast(frozenset(toxic))
+    other = {r.unit: r[1:] for r in _tally(sample, 0, held).collect()}
+    held.destroy()
+    none = (0,) * FOLDS
+    return [chosen(*({u: sum(counts.get(u, none)[j] for j in own) for u in toxic} for counts in (toxic, other)), total) for own, total in zip(folds, totals, strict=True)]
+
+
+def _featured(crossed):
+    """Features of a text, by the lexicon that has not seen it, as the bytes of its doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicons = [Lexicon(held) for held in crossed.value]
+        for batch in batches:
+            x = [np.array(features(t, cores(t), lexicons[f])).tobytes() for f, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["number", "y", "x"])
+
+    return run
 
 
 def _scored(model):
@@ -239,8 +312,24 @@ def _scored(model):
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = labelled.FIT_ROWS) -> Model:
-    model = fit([(t, y) for _, t, y in labelled.sample(documents, labels, "toxic", BY, HELD_OUT, rows)])
-    scratch.give_back()  # the sample and its words go
+    """A model of the labelled sample, whose texts stay with the tasks: the driver gets counts of units, and features."""
+    spark = documents.sparkSession
+    scratch.small_batches(spark)
+    sample = numbered(labelled.sampled(documents, labels, "toxic", BY, HELD_OUT, rows), [F.col(c) for c in ("id", "t", "y")])
+    sample = scratch.written(sample.select("number", "y", F.pmod(F.col("number") - 1, F.lit(FOLDS)).cast("int").alias("fold"), "t"), "sample")
+    n = {(r.fold, r.y): r["count"] for r in sample.groupBy("fold", "y").count().collect()}
+    if len({y for _, y in n}) < 2:
+        model = _constant(sum(c for (_, y), c in n.items() if y), sum(n.values()))
+    else:
+        *crossed, lexicon = learn_lexicons(sample, n)
+        held = spark.sparkContext.broadcast(crossed)
+        found = sorted(sample.mapInArrow(_featured(held), "number long, y int, x binary").collect())
+        held.destroy()
+        x = np.frombuffer(b"".join(r.x for r in found)).reshape(-1, N_FEATURES)
+        model = _fitted(lexicon, x, np.array([r.y for r in found], float))
+        del found, x
+    scratch.release(sample)
+    scratch.give_back()  # what training held goes
     return model
 
 

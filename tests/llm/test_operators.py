@@ -127,6 +127,28 @@ def test_training_gives_the_memory_of_its_sample_back(spark, monkeypatch):
     assert given and model.trees is not None
 
 
+def test_training_leaves_texts_to_the_tasks(spark, monkeypatch):
+    """The driver gets no text of the sample; the model is that of the rows at hand, also with repeated ids."""
+    rows, docs, labels = labelled_data(spark, "toxic")
+    docs, labels = docs.union(docs.where("doc_id < 9")), labels.union(labels.where("doc_id = 7").selectExpr("doc_id", "quality", "1 - toxic"))
+    plain = toxicity.fit([(t, y) for _, t, y in labelled.sample(docs, labels, "toxic", toxicity.BY, toxicity.HELD_OUT)])
+    sent, collect = [], type(docs).collect
+
+    def watched(self):
+        out = collect(self)
+        sent.extend(out)
+        return out
+
+    monkeypatch.setattr(type(docs), "collect", watched)
+    model = toxicity.train(docs, labels)
+    assert sent and max(len(v) for r in sent for v in r if isinstance(v, str)) < 30
+    assert model.lexicon == plain.lexicon and model.lexicon and model.share == plain.share
+    texts = [t or "" for _, t, _ in rows]
+    assert model.scores(texts).tolist() == plain.scores(texts).tolist()
+    one = toxicity.train(docs, labels.where("toxic = 1"))
+    assert one.trees is None and one.share == 1
+
+
 def test_one_of_each(docs, empty):
     kept = sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect())
     assert kept == sorted({c for _, n, c in components_by_force(TEXTS)})
