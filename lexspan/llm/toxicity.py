@@ -315,7 +315,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = labelled.FIT_ROWS
     """A model of the labelled sample, whose texts stay with the tasks: the driver gets counts of units, and features."""
     spark = documents.sparkSession
     scratch.small_batches(spark)
-    sample = numbered(labelled.sampled(documents, labels, "toxic", BY, HELD_OUT, rows), [F.col(c) for c in ("id", "t", "y")])
+    sample = numbered(labelled.sampled(documents, labels, "toxic", BY, HELD_OUT, rows), [F.col(c) for c in ("id", "t", "y")], dealt=1)
     sample = scratch.written(sample.select("number", "y", F.pmod(F.col("number") - 1, F.lit(FOLDS)).cast("int").alias("fold"), "t"), "sample")
     n = {(r.fold, r.y): r["count"] for r in sample.groupBy("fold", "y").count().collect()}
     if len({y for _, y in n}) < 2:

@@ -68,14 +68,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str = "number", dealt: int | None = None) -> DataFrame:
     """df, written, with numbers 1, 2, ... in a total order, without one task that holds all rows.
 
     Rows are dealt by ranges and sorted there; the number of a row is its place in its range and the
-    sizes of the ranges before it, of which there are as many as shuffle partitions.
+    sizes of the ranges before it, of which there are as many as shuffle partitions. Ranges are of the
+    first `dealt` columns alone where that is given: the driver gets a sample of these, so texts should stay out.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = df.repartitionByRange(n, *order[:dealt]).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     rows = written(rows)
     part = F.shiftright("_at", 33)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
