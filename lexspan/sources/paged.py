@@ -4,6 +4,10 @@ A page is a JSON object whose `results` are rows. Pages lie as files below a fol
 reach; nothing is fetched over a network. Options: `path`; `tries` and `wait` (seconds, doubling) for
 pages that can't be read at once. Filters on single columns by equality, lists of values and null are
 applied before rows become Spark's, where `spark.sql.python.filterPushdown.enabled` is set.
+
+A file may hold many pages, one to a line. Large files are dealt to several tasks, each of which reads
+the lines that begin in its range of bytes, a piece at a time; no task holds more than a piece, a page
+and a batch of rows.
 """
 
 from __future__ import annotations
@@ -14,17 +18,26 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.conversion import LocalDataToArrowConversion
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull
 from pyspark.sql.types import StructType
 
+from lexspan import stored
+
 NAME = "saved_pages"
 #: Rows of a catalogue.
 CATALOGUE = "id long, title string, language string, text string"
+#: Bytes of a file for a task, and of a piece that is read at once; characters that complete a batch of rows.
+RANGE, PIECE, BATCH = 1 << 25, 1 << 20, 1 << 22
 
 
 @dataclass
 class Page(InputPartition):
+    """The pages whose lines begin in bytes start to end of a file."""
+
     name: str  # in the file system of the reader's path
+    start: int
+    end: int
 
 
 def retried(read: Callable[[], bytes], tries: int, wait: float) -> bytes:
@@ -39,6 +52,37 @@ def retried(read: Callable[[], bytes], tries: int, wait: float) -> bytes:
     raise ValueError("tries must be 1 or more")
 
 
+def lines(read: Callable[[int], bytes], start: int, end: int) -> Iterator[bytes]:
+    """The lines that begin in bytes start to end of a file; read(at): a piece of it, empty at its end."""
+    at, begun, parts = max(start - 1, 0), start == 0, []  # the byte before the range may end a line
+    while piece := read(at):
+        *ended, rest = piece.replace(b"\r", b"\n").split(b"\n")
+        for x in ended:
+            if begun:
+                yield b"".join([*parts, x])
+            at += len(x) + 1
+            begun, parts = True, []
+            if at >= end:
+                return
+        parts += [rest] * begun
+        at += len(rest)
+    if begun:
+        yield b"".join(parts)
+
+
+def batches(rows: Iterable[tuple], schema: StructType):
+    """Rows as Arrow batches that end by their characters, as texts can be long, or by their number."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, str))
+        if size >= BATCH or len(held) >= stored.ARROW_ROWS:
+            yield from LocalDataToArrowConversion.convert(held, schema, False).to_batches()
+            held, size = [], 0
+    if held:
+        yield from LocalDataToArrowConversion.convert(held, schema, False).to_batches()
+
+
 def passes(filters: list[Filter]) -> Callable[[dict], bool]:
     """Whether a row passes filters as SQL has them: comparisons with null pass nothing."""
 
@@ -74,24 +118,42 @@ class PagesReader(DataSourceReader):
 
         store, top = fs.FileSystem.from_uri(self.options["path"])
         found = store.get_file_info(fs.FileSelector(top, recursive=True))
-        return [Page(p) for p in sorted(f.path for f in found if f.is_file and f.size and not f.base_name.startswith((".", "_")))]
+        found = sorted((f.path, f.size) for f in found if f.is_file and f.size and not f.base_name.startswith((".", "_")))
+        return [Page(p, k, min(k + RANGE, size)) for p, size in found for k in range(0, size, RANGE)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
         from pyarrow import fs
 
-        def whole() -> bytes:
-            store, _ = fs.FileSystem.from_uri(self.options["path"])
-            with store.open_input_file(partition.name) as f:
-                return f.read()
+        tries, wait, opened = int(self.options.get("tries", 3)), float(self.options.get("wait", 1.0)), []
+
+        def piece(at: int) -> bytes:
+            try:
+                if not opened:
+                    store, _ = fs.FileSystem.from_uri(self.options["path"])
+                    opened.append(store.open_input_file(partition.name))
+                return opened[0].read_at(PIECE, at)
+            except OSError:
+                opened.clear()  # and it is opened anew
+                raise
 
-        data = retried(whole, int(self.options.get("tries", 3)), float(self.options.get("wait", 1.0)))
         passing = passes(self.filters)
-        for line in data.decode("utf-8").splitlines():  # a file may hold several pages, one to a line
-            for row in json.loads(line).get("results") or [] if line.strip() else []:
+        for line in lines(lambda at: retried(lambda: piece(at), tries, wait), partition.start, partition.end):
+            for row in json.loads(line.decode("utf-8")).get("results") or [] if line.strip() else []:
                 if passing(row):
                     yield tuple(row.get(n) for n in self.names)
 
 
+class BatchesReader(PagesReader):
+    """PagesReader for Spark, which would gather rows by their number alone."""
+
+    def __init__(self, schema: StructType, options: dict):
+        super().__init__(schema, options)
+        self.schema = schema
+
+    def read(self, partition: Page) -> Iterator:
+        return batches(super().read(partition), self.schema)
+
+
 class SavedPages(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -101,7 +163,7 @@ class SavedPages(DataSource):
         return CATALOGUE
 
     def reader(self, schema: StructType) -> PagesReader:
-        return PagesReader(schema, self.options)
+        return BatchesReader(schema, self.options)
 
 
 def read_pages(spark: SparkSession, path: str, tries: int = 3, wait: float = 1.0, schema: str = CATALOGUE) -> DataFrame:

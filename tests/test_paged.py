@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql.datasource import EqualNullSafe, EqualTo, GreaterThan, In, IsNotNull, IsNull
@@ -69,3 +70,66 @@ def test_pages_are_tried_again():
     asked.clear()
     with pytest.raises(OSError):
         paged.retried(read, 2, 0.0)
+
+
+def test_lines_of_ranges_are_those_of_the_file():
+    data = b"\r\nab\n\ncde\r\nf\rghijkl\xc2\x85\xe2\x80\xa8m\n" + b"n" * 9 + b"\no"
+    whole = [x for x in data.splitlines() if x]
+    for step in range(1, len(data) + 1):
+        for piece in (1, 2, 5, 100):
+            got = [list(paged.lines(lambda at, piece=piece: data[at : at + piece], k, min(k + step, len(data)))) for k in range(0, len(data), step)]
+            assert [x for part in got for x in part if x] == whole
+
+
+def test_large_files_are_read_in_ranges_and_pieces(spark, tmp_path, monkeypatch):
+    rows = [{"id": i, "title": "t", "language": "es", "text": "é\u2028\x85\n" * (i % 700)} for i in range(4000)]
+    with (tmp_path / "pages").open("w", encoding="utf-8", newline="") as f:
+        f.writelines(json.dumps({"results": rows[k : k + 40]}, ensure_ascii=False) + "\n" for k in range(0, 4000, 40))
+    size = (tmp_path / "pages").stat().st_size
+    monkeypatch.setattr(paged, "RANGE", size // 7)
+    monkeypatch.setattr(paged, "PIECE", 10_000)
+    reader = paged.PagesReader(StructType([StructField("id", LongType()), StructField("text", StringType())]), {"path": f"file://{tmp_path}"})
+    parts = reader.partitions()
+    assert len(parts) == 8 and max(p.end - p.start for p in parts) <= size // 7
+    tracemalloc.start()
+    got = [[r[0] for r in reader.read(p)] for p in parts]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(got, []) == list(range(4000)) and all(got[:-1]) and most < size / 5
+    assert sorted(map(tuple, paged.read_pages(spark, f"file://{tmp_path}").select("id", "text").collect())) == [(r["id"], r["text"]) for r in rows]
+
+
+def test_batches_of_long_texts_are_small(monkeypatch):
+    monkeypatch.setattr(paged, "BATCH", 1000)
+    schema = StructType([StructField("id", LongType()), StructField("text", StringType())])
+    rows = [(i, None if i % 5 == 0 else "é" * (i % 300)) for i in range(3000)]
+    made = list(paged.batches(iter(rows), schema))
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == rows and max(sum(len(t or "") for t in b.to_pydict()["text"]) for b in made) < 1300
+    assert [b.num_rows for b in paged.batches(iter([(i, None) for i in range(2500)]), schema)] == [1000, 1000, 500] and not list(paged.batches(iter([]), schema))
+    assert isinstance(paged.SavedPages({"path": "x"}).reader(schema), paged.BatchesReader)
+
+
+def test_a_piece_that_fails_is_read_again(folder, monkeypatch):
+    from pyarrow import fs
+
+    failed = []
+
+    class Store:
+        def open_input_file(self, name):
+            return self.file(name)
+
+        class file:  # noqa: N801
+            def __init__(self, name):
+                self.of = fs.LocalFileSystem().open_input_file(name)
+
+            def read_at(self, n, at):
+                if at and at not in failed:  # each piece but the first, once
+                    failed.append(at)
+                    raise OSError("busy")
+                return self.of.read_at(n, at)
+
+    reader = paged.PagesReader(StructType([StructField("id", LongType())]), {"path": folder, "wait": 0.0})
+    parts = reader.partitions()
+    monkeypatch.setattr(paged, "PIECE", 50)
+    monkeypatch.setattr(fs, "FileSystem", type("", (), {"from_uri": staticmethod(lambda path: (Store(), path))}))
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == list(range(25)) and failed
