@@ -863,7 +863,7 @@ def saved_pages(spark: SparkSession, sf_dir: str) -> str:
     row = F.struct(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("lang").alias("language"), "text")
     pages = table(spark, sf_dir, "documents").groupBy(F.expr("doc_id div 40").alias("page")).agg(F.sort_array(F.collect_list(row)).alias("results"))
     path = stored.folder(spark)
-    pages.select(F.to_json(F.struct("page", "results")).alias("value")).repartition(8).write.text(path)
+    pages.select(F.to_json(F.struct("page", "results")).alias("value")).write.option("compression", "none").text(path)
     return path
 
 

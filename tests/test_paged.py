@@ -1,5 +1,6 @@
 import json
 import tracemalloc
+from pathlib import Path
 
 import pytest
 from pyspark.sql.datasource import EqualNullSafe, EqualTo, GreaterThan, In, IsNotNull, IsNull
@@ -133,3 +134,19 @@ def test_a_piece_that_fails_is_read_again(folder, monkeypatch):
     monkeypatch.setattr(paged, "PIECE", 50)
     monkeypatch.setattr(fs, "FileSystem", type("", (), {"from_uri": staticmethod(lambda path: (Store(), path))}))
     assert sorted(r[0] for p in parts for r in reader.read(p)) == list(range(25)) and failed
+
+
+def test_pages_lie_in_as_many_files_as_the_shuffle_has_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "shared_dir", lambda spark: str(tmp_path))
+    conf = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        path = queries.saved_pages(spark, "/root/testdata/sf0.01")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    pages = [json.loads(x) for x in spark.read.text(path).toPandas()["value"]]
+    assert len(list(Path(path).glob("part-*"))) == 13 and sorted(p["page"] for p in pages) == list(range(25))
+    assert [r["id"] for p in sorted(pages, key=lambda p: p["page"]) for r in p["results"]] == list(range(1000))
